@@ -1,0 +1,13 @@
+"""All registered queries and their SQL checks."""
+
+import importlib
+
+from noticeflow.catalog.base import ORACLES, QUERIES, Query
+
+MODULES = ("texts",)
+
+
+def load() -> tuple[dict[str, Query], dict[str, str]]:
+    for module in MODULES:
+        importlib.import_module(f"{__name__}.{module}")
+    return QUERIES, ORACLES

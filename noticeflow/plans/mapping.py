@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.operators.platforms import fill_website, pending_mapping, resolve_platform
+from noticeflow.operators.ranking import limit_ordered, rotate
 from noticeflow.sources.registry import assert_wellformed, extract_funded_rows, order_progressive, preserve_mapping
 
 
@@ -26,9 +27,6 @@ def run_order(registry: DataFrame, ordinal: str, start: int, limit: int | None =
 
     ``ordinal`` is the 1-based position among the mapped rows.
     """
-    from noticeflow.operators.ranking import limit_ordered, rotate
-
     if limit:
         return limit_ordered(registry, limit, ordinal).withColumn("run_order", F.col(ordinal) - 1)
-    total = registry.agg(F.count(F.lit(1)).alias("total_rows"))
-    return rotate(registry.join(total), ordinal, start, F.col("total_rows")).drop("total_rows")
+    return rotate(registry, ordinal, start, registry.count())
