@@ -123,13 +123,14 @@ def _parse_piece(pattern: str, date_at: int, time_at: int, raw: Column) -> Colum
 
 def application_deadline(normalized: Column) -> Column:
     """Deadline stated in normalised text: struct<date, time 'HH:mm' or null, raw>, null if none."""
-    return F.when(F.contains(normalized, F.lit("entro")), _first_found(normalized, DEADLINE_PATTERNS))
+    return let(normalized, lambda t: F.when(
+        F.contains(t, F.lit("entro")), _first_found(t, DEADLINE_PATTERNS)))
 
 
 def published_date(normalized: Column) -> Column:
     """Publication date stated in normalised text, else the date of a protocol citation."""
-    cited = F.contains(normalized, F.lit("pubblicat")) | F.contains(normalized, F.lit("prot"))
-    return F.when(cited, _first_found(normalized, PUBLISHED_PATTERNS))["date"]
+    return let(normalized, lambda t: F.when(
+        F.contains(t, F.lit("pubblicat")) | F.contains(t, F.lit("prot")), _first_found(t, PUBLISHED_PATTERNS)))["date"]
 
 
 def rome_clock(as_of: datetime) -> datetime:
@@ -139,7 +140,10 @@ def rome_clock(as_of: datetime) -> datetime:
 
 def deadline_passed(deadline: Column, as_of: datetime) -> Column:
     """Timed deadlines pass after their minute in Rome; date-only ones stay open all day."""
-    now = rome_clock(as_of)
+    return let(deadline, lambda d: _passed(d, rome_clock(as_of)))
+
+
+def _passed(deadline: Column, now: datetime) -> Column:
     today, clock = F.lit(now.date()), F.lit(now.strftime("%H:%M:%S.%f"))
     day, time = deadline["date"], F.concat(deadline["time"], F.lit(":00.000000"))
     late_today = F.coalesce((day == today) & (time < clock), F.lit(False))
@@ -153,7 +157,7 @@ def format_deadline(deadline: Column) -> Column:
 def deadline_display(deadline: Column, expires: Column, own: Column) -> Column:
     """Document deadline, else platform expiry, else the verdict's own wording."""
     return F.coalesce(
-        F.when(deadline.isNotNull(), format_deadline(deadline)),
+        let(deadline, lambda d: F.when(d.isNotNull(), format_deadline(d))),
         F.date_format(parse_notice_date(expires), "dd/MM/yyyy"),
         own,
     )
@@ -168,7 +172,11 @@ def open_status(c: Column, today, strict: bool = False) -> Column:
     raw = F.trim(F.coalesce(c, F.lit("")))
     if not strict:
         raw = F.regexp_replace(raw, r" \d{2}:\d{2}$", "")
-    due = F.coalesce(*[_shaped_date(raw, p, o) for p, o in _PLATFORM_SHAPES[:3]])
+    return let(let(raw, lambda r: F.coalesce(*[_shaped_date(r, p, o) for p, o in _PLATFORM_SHAPES[:3]])),
+               lambda due: _status(due, today))
+
+
+def _status(due: Column, today) -> Column:
     return (
         F.when(due < F.lit(today), vocab.STATUS_EXPIRED)
         .when(due.isNotNull(), vocab.STATUS_OPEN)

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeflow import vocab
-from noticeflow.functions.text import term_hits
+from noticeflow.functions.text import let, term_hits
 
 
 def item_key(school_code: Column, item_id: Column) -> Column:
@@ -26,9 +26,8 @@ def normalize_amount(c: Column) -> Column:
 
 def protocol_ref(normalized: Column) -> Column:
     """"number|date" of the first protocol citation, null when there is none."""
-    cited = F.regexp_extract(normalized, vocab.PROTOCOL, 0)
-    number, day = (F.regexp_extract(cited, vocab.PROTOCOL, i) for i in (1, 2))
-    return F.when(cited != "", F.concat_ws("|", number, day))
+    return let(F.regexp_extract(normalized, vocab.PROTOCOL, 0), lambda cited: F.when(
+        cited != "", F.concat_ws("|", *[F.regexp_extract(cited, vocab.PROTOCOL, i) for i in (1, 2)])))
 
 
 def role_signature(normalized: Column, roles=vocab.ROLE_TERMS) -> Column:
@@ -37,11 +36,10 @@ def role_signature(normalized: Column, roles=vocab.ROLE_TERMS) -> Column:
 
 def is_actionable(normalized: Column, external: Column) -> Column:
     """Does the text tell a candidate how to apply?  ``external`` settles the unclear middle."""
-    return (
-        F.when(normalized.rlike(vocab.APPLY_INSTRUCTION), F.lit(True))
-        .when(normalized.rlike(vocab.AUTHORISING_ONLY) | ~normalized.rlike(vocab.WEAK_APPLICATION), F.lit(False))
-        .otherwise(F.coalesce(external, F.lit(True)))
-    )
+    told = let(normalized, lambda t: (
+        F.when(t.rlike(vocab.APPLY_INSTRUCTION), F.lit(True))
+        .when(t.rlike(vocab.AUTHORISING_ONLY) | ~t.rlike(vocab.WEAK_APPLICATION), F.lit(False))))
+    return F.coalesce(told, external, F.lit(True))
 
 
 def answer_starts_with(answer: Column, word: str) -> Column:

@@ -64,6 +64,10 @@ def _fold_tables() -> tuple[str, str, str, str]:
 
 def fold_marks(c: Column) -> Column:
     """NFKD without combining marks, separators as spaces; pure-ASCII values take a short path."""
+    return let(c, _fold)
+
+
+def _fold(c: Column) -> Column:
     source, target, expanding, expansions = _fold_tables()
     table = F.str_to_map(F.lit(expansions), F.lit("\x01"), F.lit("\x02"))
     beyond_ascii = F.regexp_replace(c, r"[\x00-\x7f]+", "")
@@ -100,6 +104,10 @@ def let(value: Column, body) -> Column:
 
 def collapse_ws(c: Column) -> Column:
     """Every run of Unicode white space becomes one space, ends trimmed."""
+    return let(c, _collapse)
+
+
+def _collapse(c: Column) -> Column:
     ascii_only = F.octet_length(c) == F.char_length(c)
     return F.trim(F.when(ascii_only, F.regexp_replace(c, _ASCII_WS, " ")).otherwise(
         F.regexp_replace(c, _ANY_WS, " ")))
@@ -118,11 +126,11 @@ def term_array(terms, normalized: bool = True) -> Column:
 
 def term_hits(text: Column, terms, normalized: bool = True) -> Column:
     """Vocabulary terms contained in the text, in vocabulary order."""
-    return F.filter(term_array(terms, normalized), lambda t: F.contains(text, t))
+    return let(text, lambda x: F.filter(term_array(terms, normalized), lambda t: F.contains(x, t)))
 
 
 def has_any(text: Column, terms, normalized: bool = True) -> Column:
-    return F.exists(term_array(terms, normalized), lambda t: F.contains(text, t))
+    return let(text, lambda x: F.exists(term_array(terms, normalized), lambda t: F.contains(x, t)))
 
 
 def first_non_empty(*cols: Column) -> Column:
@@ -177,6 +185,10 @@ def html_unescape(c: Column) -> Column:
 
     Longer entities go first and a produced ``&`` is parked as U+FFFF, so nothing is decoded twice.
     """
+    return let(c, _unescape)
+
+
+def _unescape(c: Column) -> Column:
     table, open_prefix = _entity_tables()
     names = F.str_to_map(F.lit(table), F.lit("\x01"), F.lit("\x02"))
 

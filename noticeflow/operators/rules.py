@@ -5,21 +5,22 @@ from pyspark.sql import functions as F
 
 from noticeflow import vocab
 from noticeflow.functions import keys
-from noticeflow.functions.text import has_any, joined, normalize_text, term_hits
+from noticeflow.functions.text import has_any, joined, let, normalize_text, term_hits
+from noticeflow.session import evaluate_once
 
 
 def prefilter(title: Column, category: Column, strong=vocab.STRONG_PREFILTER_TERMS,
               project=vocab.PROJECT_CONTEXT_TERMS,
               weak=vocab.WEAK_PREFILTER_TERMS + vocab.CALL_TERMS) -> Column:
     """Cheap gate: a strong term, or a programme term together with a weak one."""
-    text = normalize_text(F.concat_ws(" ", title, category))
-    return has_any(text, strong) | (has_any(text, project) & has_any(text, weak))
+    return let(normalize_text(F.concat_ws(" ", title, category)), lambda t: (
+        has_any(t, strong) | (has_any(t, project) & has_any(t, weak))))
 
 
 def code_hits(text: Column, *codes: Column) -> Column:
     """Normalised, non-empty identifiers contained in the text."""
     wanted = F.array(*[normalize_text(F.coalesce(c, F.lit(""))) for c in codes])
-    return F.filter(wanted, lambda c: (c != "") & F.contains(text, c))
+    return let(text, lambda t: F.filter(wanted, lambda c: (c != "") & F.contains(t, c)))
 
 
 def kind_window(title: Column, url: Column, text: Column) -> Column:
@@ -62,9 +63,9 @@ def with_rule_verdict(df: DataFrame, title: str = "title", url: str = "url", tex
     body = F.col(normalized) if normalized else normalize_text(F.col(text))
     title_n, url_n = normalize_text(F.col(title)), normalize_text(F.col(url))
     staged = df.withColumn("_title", title_n).withColumn("_full", joined(F.col("_title"), url_n, body))
-    staged = staged.withColumn("_kind", kind_window(F.col(title), F.col(url), F.col(text)))
+    staged = evaluate_once(staged.withColumn("_kind", kind_window(F.col(title), F.col(url), F.col(text))))
     full = F.col("_full")
-    staged = staged.withColumn("_hits", F.struct(
+    staged = evaluate_once(staged.withColumn("_hits", F.struct(
         code_hits(full, F.col(cup), F.col(clp)).alias("exact"),
         term_hits(full, vocab.PROJECT_CONTEXT_TERMS).alias("context"),
         term_hits(full, vocab.CALL_CORE_TERMS).alias("core"),
@@ -72,11 +73,11 @@ def with_rule_verdict(df: DataFrame, title: str = "title", url: str = "url", tex
         strong_negative(F.col("_kind"), F.col("_title")).alias("strong"),
         term_hits(full, vocab.INTERNAL_TERMS).alias("internal"),
         external_hits(full).alias("external"),
-    ))
+    )))
     staged = staged.withColumn(
         "_internal_only", internal_only(full, F.col("_hits.internal"), F.col("_hits.external")))
-    return staged.withColumn("rule", rule_verdict(F.col("_hits"), F.col("_internal_only"))).drop(
-        "_title", "_full", "_kind", "_hits", "_internal_only")
+    ruled = staged.withColumn("rule", rule_verdict(F.col("_hits"), F.col("_internal_only")))
+    return evaluate_once(ruled.drop("_title", "_full", "_kind", "_hits", "_internal_only"))
 
 
 def rule_verdict(hits: Column, reserved: Column) -> Column:
@@ -157,7 +158,7 @@ def with_gate(df: DataFrame, verification_required: bool = True, answer: str = "
         F.lit("Rule confidence '"), level,
         F.lit("' on a mixed internal/external signal without an AI confirmation (AI not consulted — "
               "mode/budget/key); holding back rather than sending unconfirmed.")))
-    out = df.withColumn("final", F.when(rule["is_match"], final))
+    out = evaluate_once(df.withColumn("final", F.when(rule["is_match"], final)))
     return out.withColumn("unverified", F.coalesce(sent, F.lit(False))).withColumn(
         "gate_stage",
         F.when(~rule["is_match"], F.lit("rule_rejected"))

@@ -16,6 +16,7 @@ from noticeflow.functions.text import joined, normalize_text
 from noticeflow.operators import lookups, rules, state_ops, threads
 from noticeflow.operators.clusters import cluster_new
 from noticeflow.operators.reports import digest
+from noticeflow.session import evaluate_once
 
 # Stages that leave a notice open for the next run; every other stage finalises it.
 RETRIED_STAGES = ("ai_unavailable_deferred_ambiguous", "send_failed")
@@ -79,7 +80,7 @@ def screen(notices: DataFrame, registry: DataFrame, processed: DataFrame, texts:
     history = lookups.with_superseded(known)
     fresh = lookups.new_notices(history, processed)
     none = F.lit(None).cast("string")
-    cheap = _first_stage(
+    cheap = evaluate_once(_first_stage(
         fresh.withColumn("stage", none).withColumn("reason", none),
         ("superseded", F.col("superseded"), F.lit(SUPERSEDED_REASON)),
         ("prefilter_rejected", ~rules.prefilter(F.col("title"), F.col("category")), F.lit(PREFILTER_REASON)),
@@ -87,20 +88,21 @@ def screen(notices: DataFrame, registry: DataFrame, processed: DataFrame, texts:
         # search notices get their real date from the text first, so only other vendors leave here
         ("expired", (F.lower("vendor") != "search") & expired_by_metadata(F.col("expires"), run.today),
          F.concat(F.lit("Platform-reported archive/expiry date "), F.col("expires"), F.lit(" has passed."))),
-    )
+    ))
     text_key = F.when(F.col("stage").isNull(), F.col("item_key")).otherwise(F.concat(F.lit("left:"), F.col("item_key")))
     bodies = texts.select(F.col("item_key").alias("_text_key"), "text", "hydrate_error")
     read = cheap.withColumn("_text_key", text_key).join(bodies, "_text_key", "left").drop("_text_key")
-    read = read.withColumn("_body", normalize_text(F.coalesce("text", F.lit(""))))
+    read = evaluate_once(read.withColumn("_body", normalize_text(F.coalesce("text", F.lit("")))))
     search = (F.lower("vendor") == "search") & F.col("stage").isNull()
     dated = read.withColumn("published", F.when(
         search, enrich_published(F.col("published"), F.col("_body"))).otherwise(F.col("published")))
-    open_rows = dated.withColumn("_deadline", F.when(F.col("stage").isNull(), application_deadline(F.col("_body"))))
+    open_rows = evaluate_once(dated.withColumn(
+        "_deadline", F.when(F.col("stage").isNull(), application_deadline(F.col("_body")))))
     late = F.concat(
         F.lit("Document-stated application deadline "), format_deadline(F.col("_deadline")),
         F.lit(" has passed (platform-reported expiry was "),
         F.coalesce(F.nullif("expires", F.lit("")), F.lit("unspecified")), F.lit(")."))
-    return _first_stage(
+    return evaluate_once(_first_stage(
         open_rows,
         ("outside_search_window", outside_window(F.col("vendor"), F.col("published"), run.today),
          F.concat(F.lit("Published "), F.col("published"), F.lit(
@@ -109,7 +111,7 @@ def screen(notices: DataFrame, registry: DataFrame, processed: DataFrame, texts:
          F.concat(F.lit("Platform-reported archive/expiry date "), F.col("expires"), F.lit(" has passed."))),
         ("hydrate_error", F.coalesce("hydrate_error", F.lit("")) != "", F.left("hydrate_error", F.lit(vocab.ERROR_CHARS))),
         ("expired", deadline_passed(F.col("_deadline"), run.as_of), late),
-    )
+    ))
 
 
 def judge(screened: DataFrame, verdicts: DataFrame, alerts: DataFrame, run: Run) -> DataFrame:
@@ -162,7 +164,7 @@ def decide(notices: DataFrame, registry: DataFrame, texts: DataFrame, verdicts:
         "opportunity_type", F.col("final.opportunity_type")).withColumn(
         "ai_used", F.col("final.ai_used")).withColumn("ai_error", F.col("final.ai_error")).withColumn(
         "reason", F.coalesce("reason", "final.reason"))
-    return flat.select(*RESULT_COLUMNS)
+    return evaluate_once(flat.select(*RESULT_COLUMNS))
 
 
 def plan_alerts(decided: DataFrame, open_calls: DataFrame, alerts: DataFrame, run: Run, order: str = "seq") -> DataFrame:
