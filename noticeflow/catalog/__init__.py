@@ -4,7 +4,7 @@ import importlib
 
 from noticeflow.catalog.base import ORACLES, QUERIES, Query
 
-MODULES = ("texts",)
+MODULES = ("texts", "joins", "state")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

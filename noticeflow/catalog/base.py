@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a file stream; a glob, because the source may be one file or a folder."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 @dataclass(frozen=True)
 class View:
     """Rows of one table reshaped by expressions."""
@@ -37,7 +43,12 @@ class View:
     where: str = ""
 
     def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = table(spark, sf_dir, self.source)
+        return self.of(table(spark, sf_dir, self.source))
+
+    def stream(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.of(stream(spark, sf_dir, self.source))
+
+    def of(self, rows: DataFrame) -> DataFrame:
         if self.where:
             rows = rows.filter(self.where)
         return rows.selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])

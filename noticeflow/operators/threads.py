@@ -81,7 +81,9 @@ def match_thread(items: DataFrame, threads: DataFrame, as_of, key: str = "item_k
         .when(F.col("_nearest").isNotNull(), "AI judged same process")
         .when(F.col("any_open"), "no matching thread")
         .otherwise("no open threads for this CUP").alias("match_why"))
-    return items.join(answer, key, "left")
+    unlinked = "no open threads for this CUP"
+    return items.join(answer, key, "left").withColumn("any_open", F.coalesce("any_open", F.lit(False))).withColumn(
+        "match_why", F.coalesce("match_why", F.lit(unlinked)))
 
 
 def _days_around(column: str, distance: int) -> Column:
