@@ -30,7 +30,7 @@ _TITLES = {
 }
 _BODIES = {
     "0": f"'Procedura di selezione CUP ' || {_CUP} || ' per esperti esterni. Presentare domanda entro le ore 12:00 del '"
-         " || " + text("doc_id % 28 + 1") + " || ' luglio 2026. Prot. n. ' || " + text("doc_id + 100") + " || ' del 08/05/2026'",
+         " || " + text("doc_id % 28 + 1") + " || CASE WHEN doc_id % 3 = 0 THEN ' giugno' ELSE ' luglio' END || ' 2026. Prot. n. ' || " + text("doc_id + 100") + " || ' del 08/05/2026'",
     "1": "'Si pubblica la graduatoria. Decreto di assegnazione al dirigente scolastico dell’incarico'",
     "2": "'Il sottoscritto RUP dichiara. Avviso pubblico CUP ' || " + _CUP,
     "3": f"'Avviso interno CUP ' || {_CUP} || ' riservato a personale interno; procedura di selezione. "

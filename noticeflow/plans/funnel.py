@@ -76,7 +76,8 @@ def screen(notices: DataFrame, registry: DataFrame, processed: DataFrame, texts:
     base = notices.withColumn("item_key", keys.item_key(F.col("school_code"), F.col("item_id")))
     if "enrich_error" not in base.columns:
         base = base.withColumn("enrich_error", F.lit(None).cast("string"))
-    known = lookups.project_lookup(base, registry, ["school_name", "region", "cup", "clp", "amount"])
+    project = ["school_name", "region", "cup", "clp", "amount"]
+    known = lookups.project_lookup(base.drop(*project), registry, project)
     history = lookups.with_superseded(known)
     fresh = lookups.new_notices(history, processed)
     none = F.lit(None).cast("string")

@@ -121,7 +121,7 @@ def list_category_documents(registry: DataFrame, pages: DataFrame,
         "school_code", F.concat(F.lit(head), F.col("_code"), F.lit(tail)).alias("url"))
     category = boards.join(pages, "url").select(
         "school_code", "url",
-        F.element_at(F.filter(anchors(F.col("html")), lambda a: a["label"] == target), 1)["href"].alias("href")
+        F.get(F.filter(anchors(F.col("html")), lambda a: a["label"] == target), F.lit(0))["href"].alias("href")
     ).filter(F.col("href").isNotNull()).select(
         "school_code", url_join(F.col("url"), F.col("href")).alias("url"))
     listed = category.join(pages, "url").select(

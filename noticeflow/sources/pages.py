@@ -91,7 +91,7 @@ def crawl_frontier(starts: DataFrame, pages: DataFrame, max_pages: int = vocab.M
         level = cut_lineage(ranked.select("start_id", "url", "visit_order"))
         if level.isEmpty():
             break
-        visited = level if visited is None else cut_lineage(visited.unionByName(level))
+        visited = level if visited is None else visited.unionByName(level)
         out = level.join(facts.select("url", "links"), "url").join(ids, "start_id").select(
             "start_id", "visit_order", "host", F.explode("links").alias("a")).filter(
             url_host(F.col("a.url")) == F.col("host")).select("start_id", "visit_order", "a.*")
