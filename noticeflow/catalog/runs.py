@@ -154,5 +154,5 @@ def q_alert_digest(spark, sf_dir):
     plan = planned(spark, sf_dir, rows)
     _, known = _inputs(spark, sf_dir)
     sent = plan.filter(F.col("stage") == "alerted").select("item_key", "group_key")
-    messages = funnel.alert_digest(plan, known).filter(F.length("subject") > 20)
+    messages = funnel.alert_digest(plan, known).filter(F.length("subject") > 5)
     return sent.join(messages, "group_key").groupBy("item_key").agg(F.count(F.lit(1)).alias("n"))

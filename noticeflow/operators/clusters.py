@@ -35,9 +35,9 @@ def cluster_new(entries: DataFrame, group: str, order: str, hot_rows: int = HOT_
     many groups per task; a group beyond ``hot_rows`` is instead peeled cluster by cluster with
     distributed aggregations, so no task has to walk it.
     """
-    slim = entries.select(
+    slim = cut_lineage(entries.select(
         F.col(group).alias("g"), F.col(order).cast("bigint").alias("o"),
-        role_mask(F.col("role_signature"), terms).alias("m"), F.nullif("protocol_ref", F.lit("")).alias("p"))
+        role_mask(F.col("role_signature"), terms).alias("m"), F.nullif("protocol_ref", F.lit("")).alias("p")))
     cited = slim.filter((F.col("m") > 0) & F.col("p").isNotNull()).select("g", "p").distinct()
     lone = slim.filter((F.col("m") == 0) & F.col("p").isNull()).select("g", "o", F.col("o").alias("c"))
     bare = slim.filter((F.col("m") == 0) & F.col("p").isNotNull())

@@ -16,7 +16,7 @@ from noticeflow.functions.text import joined, normalize_text
 from noticeflow.operators import lookups, rules, state_ops, threads
 from noticeflow.operators.clusters import cluster_new
 from noticeflow.operators.reports import digest
-from noticeflow.session import evaluate_once
+from noticeflow.session import cut_lineage, evaluate_once
 
 # Stages that leave a notice open for the next run; every other stage finalises it.
 RETRIED_STAGES = ("ai_unavailable_deferred_ambiguous", "send_failed")
@@ -175,12 +175,13 @@ def plan_alerts(decided: DataFrame, open_calls: DataFrame, alerts: DataFrame, ru
     before the run, so one look-up serves all notices.
     """
     pending = decided.filter(F.col("stage").isNull())
-    resolved = threads.resolve_thread(threads.match_thread(pending, open_calls, run.utc))
+    # pending alerts are few, and several passes follow: each pass starts from a reliable checkpoint
+    resolved = cut_lineage(threads.resolve_thread(threads.match_thread(pending, open_calls, run.utc)))
     project = F.concat_ws("|", "school_code", F.coalesce(F.nullif("cup", F.lit("")), F.col("school_code")))
     fresh = cluster_new(resolved.filter(F.col("thread_id").isNull()).withColumn("_project", project), "_project", order)
     fresh = fresh.withColumn("group_key", F.concat_ws("#", "_project", "cluster_id")).drop("_project", "cluster_id")
-    grouped = fresh.unionByName(
-        resolved.filter(F.col("thread_id").isNotNull()).withColumn("group_key", F.col("thread_id")))
+    grouped = cut_lineage(fresh.unionByName(
+        resolved.filter(F.col("thread_id").isNotNull()).withColumn("group_key", F.col("thread_id"))))
     acted = grouped.join(threads.group_action(grouped, "group_key"), "group_key", "left")
     reserved = state_ops.reserve_groups(state_ops.reserve_alerts(
         acted.filter(F.col("group_action").isin("send_new", "send_reply")), alerts, run.utc, order), "group_key")
@@ -193,7 +194,7 @@ def plan_alerts(decided: DataFrame, open_calls: DataFrame, alerts: DataFrame, ru
         F.when(F.col("group_action") == "hold", F.lit(HELD_REASON))
         .when(F.col("group_action") == "suppress", F.col("action_reason"))
         .when(F.col("group_granted"), F.col("reason")).otherwise(F.lit(RESERVED_REASON)))
-    return rows.withColumn("reason", why).withColumn("stage", stage)
+    return cut_lineage(rows.withColumn("reason", why).withColumn("stage", stage))
 
 
 def final_decisions(decided: DataFrame, planned: DataFrame) -> DataFrame:
