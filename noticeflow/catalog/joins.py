@@ -232,7 +232,22 @@ def q_groups(spark, sf_dir):
     return matched.groupBy(key.alias("group_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cluster_new")
+_ROLE_LIST = "list_filter(string_split(roles, ','), lambda x: x <> '')"
+
+
+@query("cluster_new", f"""
+    WITH RECURSIVE e AS (SELECT group_key, seq, {_ROLE_LIST} AS rs, protocol_ref AS p,
+        row_number() OVER (PARTITION BY group_key ORDER BY seq) AS rn FROM {ENTRIES.sql}),
+    walk AS (
+      SELECT group_key, rn, seq, seq AS cluster_id, [{{'f': seq, 'r': rs, 'p': p}}] AS cs FROM e WHERE rn = 1
+      UNION ALL
+      SELECT group_key, rn, seq, CASE WHEN k > 0 THEN cs[k].f ELSE seq END,
+        CASE WHEN k > 0 THEN list_transform(cs, lambda c, i: CASE WHEN i = k
+               THEN {{'f': c.f, 'r': list_distinct(list_concat(c.r, rs)), 'p': coalesce(c.p, p)}} ELSE c END)
+             ELSE list_append(cs, {{'f': seq, 'r': rs, 'p': p}}) END
+      FROM (SELECT e.*, w.cs, coalesce(list_position(list_transform(w.cs, lambda c: coalesce(c.p = e.p, false) OR list_has_any(c.r, e.rs)), true), 0) AS k
+            FROM walk w JOIN e ON e.group_key = w.group_key AND e.rn = w.rn + 1))
+    SELECT group_key, seq, cluster_id FROM walk""")
 def q_cluster(spark, sf_dir):
     entries = _signalled(ENTRIES, spark, sf_dir).select("group_key", "seq", "role_signature", "protocol_ref")
     return cluster_new(entries, "group_key", "seq").select("group_key", "seq", "cluster_id")

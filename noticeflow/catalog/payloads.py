@@ -126,14 +126,14 @@ _RSS_ITEM = ("'<item><title>  Avviso &amp;  n. ' || " + text("event_id") + " ||
     "'view'": f"'<guid isPermaLink=\"false\">guid-' || {text('event_id')} || '</guid>'",
     "'signup'": f"'<link>https://albo.example.it/n/' || {text('event_id')} || '</link><guid></guid>'"}, "''")
     + " || '<pubDate>' || " + italian_date("ts") + " || '</pubDate></item>'")
-_DAY = "day(ts)"
+_STRETCH = "cast(floor(event_id / 500) as bigint)"
 
 
 def _grouped(spark, sf_dir, piece):
-    """One document per organisation and day, its pieces in event order."""
-    rows = table(spark, sf_dir, "events").selectExpr("user_id", f"{_DAY} AS day", "event_id", f"{piece} AS piece")
+    """One document per organisation and stretch of 500 events, its pieces in event order."""
+    rows = table(spark, sf_dir, "events").selectExpr("user_id", f"{_STRETCH} AS stretch", "event_id", f"{piece} AS piece")
     pieces = F.array_sort(F.collect_list(F.struct("event_id", "piece")))
-    return rows.groupBy("user_id", "day").agg(
+    return rows.groupBy("user_id", "stretch").agg(
         F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("body"))
 
 
@@ -182,16 +182,16 @@ _RESULT = case("event_type", {
     "'view'": "'<a class=\"result__a\" href=\"https://albo.example.it/' || " + text("event_id") + " || '.PDF\">Bando ' || " + text("event_id") + " || '</a>'"},
     "'<a class=\"other\" href=\"https://albo.example.it/x\">x</a>'")
 _RESULTS_SQL = f"""(SELECT query_id, url, title, row_number() OVER (PARTITION BY query_id ORDER BY event_id) AS position FROM (
-    SELECT user_id || '/' || {_DAY} AS query_id, event_id,
+    SELECT user_id || '/' || {_STRETCH} AS query_id, event_id,
       CASE event_type WHEN 'click' THEN 'https://albo.example.it/a+b/' || (event_id % 7) ELSE 'https://albo.example.it/' || event_id || '.PDF' END AS url,
       CASE event_type WHEN 'click' THEN 'Avviso n. ' || event_id ELSE 'Bando ' || event_id END AS title,
-      row_number() OVER (PARTITION BY user_id, {_DAY}, CASE event_type WHEN 'click' THEN 'c' || (event_id % 7) ELSE 'v' || event_id END ORDER BY event_id) AS copy
+      row_number() OVER (PARTITION BY user_id, {_STRETCH}, CASE event_type WHEN 'click' THEN 'c' || (event_id % 7) ELSE 'v' || event_id END ORDER BY event_id) AS copy
     FROM events WHERE event_type IN ('click', 'view')) WHERE copy = 1)"""
 
 
 def _results(spark, sf_dir):
     docs = _grouped(spark, sf_dir, _RESULT)
-    stored = docs.select(F.concat_ws("/", F.col("user_id").cast("string"), F.col("day").cast("string")).alias("query_id"), F.col("body").alias("html"))
+    stored = docs.select(F.concat_ws("/", F.col("user_id").cast("string"), F.col("stretch").cast("string")).alias("query_id"), F.col("body").alias("html"))
     return feeds.parse_search_results(stored)
 
 

@@ -70,8 +70,8 @@ def screen(notices: DataFrame, registry: DataFrame, processed: DataFrame, texts:
     """Everything before the document rules; ``stage`` is set for notices that leave here.
 
     Notices: notice columns plus optional enrich_error.  Texts: item_key, text, hydrate_error.
-    Cheap title checks come first; a notice that has left gets a text key that matches nothing, so
-    the bodies of rejected notices are pruned by the join's runtime filter and never carried along.
+    Cheap title checks come first; a notice that has left gets a text key that matches nothing, so no
+    body is attached to it or scanned for it.  Store texts bucketed by item_key to spare their shuffle.
     """
     base = notices.withColumn("item_key", keys.item_key(F.col("school_code"), F.col("item_id")))
     if "enrich_error" not in base.columns:

@@ -11,6 +11,7 @@ from noticeflow.functions.text import collapse_ws, first_non_empty, html_unescap
 from noticeflow.functions.web import anchors, is_pdf_url, url_join
 from noticeflow.operators.ranking import keep_first
 from noticeflow.schemas import NOTICE_COLUMNS
+from noticeflow.session import evaluate_once
 
 _RSS = (
     "channel struct<item: array<struct<title: string, link: string, guid: string, pubDate: string>>>, "
@@ -119,10 +120,10 @@ def list_category_documents(registry: DataFrame, pages: DataFrame,
     head, tail = board.split("{code}")
     boards = registry.withColumn("_code", code).filter(F.col("_code") != "").select(
         "school_code", F.concat(F.lit(head), F.col("_code"), F.lit(tail)).alias("url"))
-    category = boards.join(pages, "url").select(
-        "school_code", "url",
-        F.get(F.filter(anchors(F.col("html")), lambda a: a["label"] == target), F.lit(0))["href"].alias("href")
-    ).filter(F.col("href").isNotNull()).select(
+    # only pages that lead to the category take part in the first join, as a short reference
+    leads = pages.select("url", F.get(
+        F.filter(anchors(F.col("html")), lambda a: a["label"] == target), F.lit(0))["href"].alias("href"))
+    category = boards.join(evaluate_once(leads).filter(F.col("href").isNotNull()), "url").select(
         "school_code", url_join(F.col("url"), F.col("href")).alias("url"))
     listed = category.join(pages, "url").select(
         "school_code", "url", F.posexplode(anchors(F.col("html"))).alias("pos", "a")

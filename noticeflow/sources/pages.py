@@ -9,7 +9,7 @@ from noticeflow.functions.web import (
     anchors, html_title, html_to_text, is_pdf_url, last_segment, looks_like_document, url_clean, url_host, url_join,
 )
 from noticeflow.operators.ranking import keep_first, top_k
-from noticeflow.session import cut_lineage
+from noticeflow.session import cut_lineage, evaluate_once
 from noticeflow.sources.feeds import as_notices
 
 
@@ -43,14 +43,11 @@ def candidate_page_filter(url: Column, title: Column, text: Column, cup: Column,
     return names(cup) | names(clp) | has_any(head, terms, normalized=False)
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """What a crawl needs of every page, without its HTML: title, text, links that lead on."""
-    html = F.col("html")
-    facts = pages.select("url", html_title(html).alias("title"), html_to_text(html).alias("text"),
-                         anchors(html).alias("links"))
-    links = F.transform("links", lambda a, i: F.struct(
+def leading_links(pages: DataFrame) -> DataFrame:
+    """Same-host links of every page that a crawl follows or reports: url, links."""
+    links = F.transform(anchors(F.col("html")), lambda a, i: F.struct(
         i.alias("pos"), url_clean(url_join(F.col("url"), a["href"])).alias("url"), a["label"].alias("label")))
-    facts = facts.withColumn("links", links)
+    facts = evaluate_once(pages.select("url", links.alias("links")))
     host = url_host(F.col("url"))
 
     def haystack(a: Column) -> Column:
@@ -58,10 +55,12 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
     inside = F.filter("links", lambda a: a["url"].isNotNull() & (url_host(a["url"]) == host)
                       & ~has_any(haystack(a), vocab.NOISE_TERMS, normalized=False))
-    return facts.withColumn("links", inside).withColumn("links", F.transform("links", lambda a: F.struct(
+    told = F.transform(inside, lambda a: F.struct(
         a["pos"].alias("pos"), a["url"].alias("url"), a["label"].alias("label"),
         has_any(haystack(a), vocab.SECTION_TERMS, normalized=False).alias("section"),
-        has_any(haystack(a), vocab.CANDIDATE_TERMS, normalized=False).alias("candidate"))))
+        has_any(haystack(a), vocab.CANDIDATE_TERMS, normalized=False).alias("candidate")))
+    kept = F.filter(told, lambda a: a["section"] | a["candidate"])
+    return evaluate_once(facts.select("url", kept.alias("links"))).filter(F.size("links") > 0)
 
 
 def crawl_frontier(starts: DataFrame, pages: DataFrame, max_pages: int = vocab.MAX_PAGES_PER_SITE) -> DataFrame:
@@ -72,7 +71,7 @@ def crawl_frontier(starts: DataFrame, pages: DataFrame, max_pages: int = vocab.M
     each level is one join; at most ``max_pages`` visits bound the number of levels.  A page that is
     not stored is a failed fetch: it uses up a visit and leads nowhere.
     """
-    facts = cut_lineage(page_facts(pages))
+    leads = cut_lineage(leading_links(pages))
     ids = starts.select("start_id", "cup", "clp", url_host(F.col("url")).alias("host"))
     frontier = starts.select("start_id", "url", F.lit(0).cast("bigint").alias("turn"))
     visited: DataFrame | None = None
@@ -92,15 +91,18 @@ def crawl_frontier(starts: DataFrame, pages: DataFrame, max_pages: int = vocab.M
         if level.isEmpty():
             break
         visited = level if visited is None else visited.unionByName(level)
-        out = level.join(facts.select("url", "links"), "url").join(ids, "start_id").select(
+        out = level.join(leads, "url").join(ids, "start_id").select(
             "start_id", "visit_order", "host", F.explode("links").alias("a")).filter(
             url_host(F.col("a.url")) == F.col("host")).select("start_id", "visit_order", "a.*")
-        out = cut_lineage(out.filter("section or candidate"))
+        out = cut_lineage(out)
         links = out if links is None else links.unionByName(out)
         # both parts of the order key are positive and the anchor position fits well below 2^31
         turn = F.col("visit_order") * F.lit(1 << 31) + F.col("pos")
         frontier = out.filter("section").select("start_id", "url", turn.alias("turn"))
-    read = visited.join(facts.select("url", "title", "text"), "url").join(ids, "start_id").filter(
+    html = F.col("html")
+    bodies = visited.join(pages.select("url", "html"), "url").select(
+        "start_id", "url", "visit_order", html_title(html).alias("title"), html_to_text(html).alias("text"))
+    read = evaluate_once(bodies).join(ids, "start_id").filter(
         candidate_page_filter(F.col("url"), F.col("title"), F.col("text"), F.col("cup"), F.col("clp"))
     ).select("start_id", "url", "title", "text", "visit_order")
     first_link = keep_first(
