@@ -7,7 +7,7 @@ the position of its founder, so the result does not depend on the path that comp
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow import vocab
@@ -69,12 +69,12 @@ def _fold(mixed: DataFrame) -> DataFrame:
     import pandas as pd
 
     def walk(batches: Iterator["pd.DataFrame"]) -> Iterator["pd.DataFrame"]:
-        current, clusters, owner, cited = object(), [], {}, {}
+        clusters, owner, cited = [], {}, {}
         for batch in batches:
             names = []
-            for g, o, m, p in zip(batch["g"], batch["o"], batch["m"], batch["p"]):
-                if g != current:
-                    current, clusters, owner, cited = g, [], {}, {}
+            for n, o, m, p in zip(batch["n"], batch["o"], batch["m"], batch["p"]):
+                if n == 1:
+                    clusters, owner, cited = [], {}, {}
                 bits = [b for b in range(m.bit_length()) if m >> b & 1]
                 homes = [owner[b] for b in bits if b in owner] + ([cited[p]] if p in cited else [])
                 home = min(homes, default=len(clusters))
@@ -88,8 +88,11 @@ def _fold(mixed: DataFrame) -> DataFrame:
             yield pd.DataFrame({"g": batch["g"], "o": batch["o"], "c": names})
 
     kind = mixed.schema["g"].dataType.simpleString()
-    return mixed.withColumn("p", F.coalesce("p", F.lit(""))).repartition("g").sortWithinPartitions("g", "o").mapInPandas(
-        walk, f"g {kind}, o bigint, c bigint")
+    # A window, not repartition + sort: it makes whole, ordered groups a requirement that adaptive
+    # re-planning must keep, whereas a repartition over an equal partitioning is dropped.
+    in_order = Window.partitionBy("g").orderBy("o")
+    placed = mixed.withColumn("p", F.coalesce("p", F.lit(""))).withColumn("n", F.row_number().over(in_order))
+    return placed.mapInPandas(walk, f"g {kind}, o bigint, c bigint")
 
 
 def _peel(hot: DataFrame) -> list[DataFrame]:
