@@ -42,7 +42,7 @@ def _fold_tables() -> tuple[str, str, str, str]:
     Latin vocabulary; :func:`exact_fold` covers them.
     """
     source, target, removed, expanding, expansions = [], [], [], [], []
-    for point in range(0x20, sys.maxunicode + 1):
+    for point in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= point <= 0xDFFF or 0xAC00 <= point <= 0xD7A3:
             continue
         char = chr(point)
@@ -68,17 +68,21 @@ def fold_marks(c: Column) -> Column:
 
 
 def _fold(c: Column) -> Column:
+    """ASCII values need four replacements; others one more per distinct character that folds."""
     source, target, expanding, expansions = _fold_tables()
     table = F.str_to_map(F.lit(expansions), F.lit("\x01"), F.lit("\x02"))
-    beyond_ascii = F.regexp_replace(c, r"[\x00-\x7f]+", "")
-    expanded = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(beyond_ascii, F.lit(expanding), F.lit(0))),
-        c,
-        lambda acc, ch: F.replace(acc, ch, F.element_at(table, ch)),
-    )
-    plain = reduce(lambda acc, s: F.replace(acc, F.lit(s), F.lit(" ")), "`'_-", c)
-    return F.when(F.octet_length(c) == F.char_length(c), plain).otherwise(
-        F.translate(expanded, source, target))
+
+    def folded(char: Column) -> Column:
+        return F.when(char.rlike(expanding), F.element_at(table, char)).otherwise(
+            F.translate(char, source, target))
+
+    characters = F.array_distinct(F.split(F.regexp_replace(c, r"[\x00-\x7f]+", ""), ""))
+    pairs = F.transform(characters, lambda ch: F.struct(ch.alias("char"), folded(ch).alias("to")))
+    changed = F.filter(pairs, lambda p: p["char"] != p["to"])
+    beyond = F.aggregate(changed, c, lambda acc, p: F.replace(acc, p["char"], p["to"]))
+    ascii_only = F.octet_length(c) == F.char_length(c)
+    return reduce(lambda acc, s: F.replace(acc, F.lit(s), F.lit(" ")), "`'_-",
+                  F.when(ascii_only, c).otherwise(beyond))
 
 
 def normalize_text(c: Column) -> Column:
@@ -129,6 +133,11 @@ def term_hits(text: Column, terms, normalized: bool = True) -> Column:
     return let(text, lambda x: F.filter(term_array(terms, normalized), lambda t: F.contains(x, t)))
 
 
+def among(hits: Column, terms) -> Column:
+    """Terms of a vocabulary that are in an array of hits, in vocabulary order."""
+    return let(hits, lambda found: F.filter(term_array(terms), lambda t: F.array_contains(found, t)))
+
+
 def has_any(text: Column, terms, normalized: bool = True) -> Column:
     return let(text, lambda x: F.exists(term_array(terms, normalized), lambda t: F.contains(x, t)))
 

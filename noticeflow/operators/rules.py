@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from noticeflow import vocab
 from noticeflow.functions import keys
-from noticeflow.functions.text import has_any, joined, let, normalize_text, term_hits
+from noticeflow.functions.text import among, has_any, joined, let, normalize_term, normalize_text, term_hits
 from noticeflow.session import evaluate_once
 
 
@@ -28,14 +28,18 @@ def kind_window(title: Column, url: Column, text: Column) -> Column:
     return normalize_text(F.concat_ws(" ", title, url, F.substring(text, 1, vocab.KIND_WINDOW_CHARS)))
 
 
-def strong_negative(kind: Column, title: Column) -> Column:
-    """Closing or administrative signals in the kind window and in the normalised title."""
+def strong_negative(kind: Column, title: Column, hits: Column | None = None) -> Column:
+    """Closing or administrative signals in the kind window and in the normalised title.
+
+    ``hits`` holds the window's terms when they were looked up before.
+    """
+    listed = term_hits(kind, vocab.STRONG_NEGATIVE_TERMS) if hits is None else among(hits, vocab.STRONG_NEGATIVE_TERMS)
     extra = F.array_compact(F.array(
         F.when(kind.rlike(vocab.ROLE_ASSIGNMENT), F.lit(vocab.HIT_ROLE_ASSIGNMENT)),
         F.when(title.rlike(vocab.STANDALONE_DECLARATION), F.lit(vocab.HIT_STANDALONE_DECLARATION)),
         F.when(title.rlike(vocab.AUTHORISATION_REQUEST), F.lit(vocab.HIT_AUTHORISATION_REQUEST)),
     ))
-    return F.concat(term_hits(kind, vocab.STRONG_NEGATIVE_TERMS), extra)
+    return F.concat(listed, extra)
 
 
 def external_hits(text: Column) -> Column:
@@ -58,26 +62,34 @@ def with_rule_verdict(df: DataFrame, title: str = "title", url: str = "url", tex
     """Add ``rule``: struct<is_match, confidence, reason, opportunity_type, deadline, ambiguous>.
 
     ``normalized`` names a column holding the normalised text when the caller has one already.
-    Hit lists live in their own projection, so each vocabulary scans a document once.
+    Each vocabulary scans a document at most once: the two rejecting lists share one look-up, and
+    lists that an earlier rule makes irrelevant are not looked up at all.
     """
     body = F.col(normalized) if normalized else normalize_text(F.col(text))
     title_n, url_n = normalize_text(F.col(title)), normalize_text(F.col(url))
     staged = df.withColumn("_title", title_n).withColumn("_full", joined(F.col("_title"), url_n, body))
     staged = evaluate_once(staged.withColumn("_kind", kind_window(F.col(title), F.col(url), F.col(text))))
-    full = F.col("_full")
+    full, kind, none = F.col("_full"), F.col("_kind"), F.array().cast("array<string>")
+    rejecting = list(dict.fromkeys(map(normalize_term, vocab.STRONG_NEGATIVE_TERMS + vocab.NEGATIVE_TERMS)))
+    staged = evaluate_once(staged.withColumn("_rejecting", term_hits(kind, rejecting)))
+    staged = evaluate_once(staged.withColumn(
+        "_strong", strong_negative(kind, F.col("_title"), F.col("_rejecting"))
+    ).withColumn("_core", term_hits(full, vocab.CALL_CORE_TERMS)))
+    clean = F.size("_strong") == 0
+    staged = evaluate_once(staged.withColumn(
+        "_internal", F.when(clean, term_hits(full, vocab.INTERNAL_TERMS)).otherwise(none)
+    ).withColumn("_exact", F.when(clean, code_hits(full, F.col(cup), F.col(clp))).otherwise(none)))
+    undecided = clean & (F.size("_core") > 0) & (F.size("_exact") == 0)
     staged = evaluate_once(staged.withColumn("_hits", F.struct(
-        code_hits(full, F.col(cup), F.col(clp)).alias("exact"),
-        term_hits(full, vocab.PROJECT_CONTEXT_TERMS).alias("context"),
-        term_hits(full, vocab.CALL_CORE_TERMS).alias("core"),
-        term_hits(F.col("_kind"), vocab.NEGATIVE_TERMS).alias("negative"),
-        strong_negative(F.col("_kind"), F.col("_title")).alias("strong"),
-        term_hits(full, vocab.INTERNAL_TERMS).alias("internal"),
-        external_hits(full).alias("external"),
-    )))
-    staged = staged.withColumn(
-        "_internal_only", internal_only(full, F.col("_hits.internal"), F.col("_hits.external")))
-    ruled = staged.withColumn("rule", rule_verdict(F.col("_hits"), F.col("_internal_only")))
-    return evaluate_once(ruled.drop("_title", "_full", "_kind", "_hits", "_internal_only"))
+        F.col("_strong").alias("strong"), F.col("_core").alias("core"), F.col("_exact").alias("exact"),
+        F.col("_internal").alias("internal"), among(F.col("_rejecting"), vocab.NEGATIVE_TERMS).alias("negative"),
+        F.when(undecided, term_hits(full, vocab.PROJECT_CONTEXT_TERMS)).otherwise(none).alias("context"),
+        F.when(F.size("_internal") > 0, external_hits(full)).otherwise(none).alias("external"))))
+    reserved = internal_only(full, F.col("_hits.internal"), F.col("_hits.external"))
+    ruled = staged.withColumn("_reserved", reserved).withColumn(
+        "rule", rule_verdict(F.col("_hits"), F.col("_reserved")))
+    return evaluate_once(ruled.drop(
+        "_title", "_full", "_kind", "_rejecting", "_strong", "_core", "_internal", "_exact", "_hits", "_reserved"))
 
 
 def rule_verdict(hits: Column, reserved: Column) -> Column:

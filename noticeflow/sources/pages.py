@@ -75,9 +75,7 @@ def crawl_frontier(starts: DataFrame, pages: DataFrame, max_pages: int = vocab.M
     ids = starts.select("start_id", "cup", "clp", url_host(F.col("url")).alias("host"))
     frontier = starts.select("start_id", "url", F.lit(0).cast("bigint").alias("turn"))
     visited: DataFrame | None = None
-    links: DataFrame | None = None
     for _ in range(max_pages):
-        # an upper bound per start is enough before the look-up: nobody visits more than max_pages
         if visited is None:
             room = frontier.withColumn("used", F.lit(0).cast("bigint"))
         else:
@@ -85,20 +83,16 @@ def crawl_frontier(starts: DataFrame, pages: DataFrame, max_pages: int = vocab.M
             room = frontier.join(visited.select("start_id", "url"), ["start_id", "url"], "left_anti").join(
                 used, "start_id")
         fresh = keep_first(room, ["start_id", "url"], "turn")
+        # nobody visits more than max_pages, so that many per start are enough before the budget check
         ranked = top_k(fresh, ["start_id"], max_pages, "turn").withColumn(
             "visit_order", F.col("used") + F.col("rank")).filter(F.col("visit_order") <= max_pages)
         level = cut_lineage(ranked.select("start_id", "url", "visit_order"))
         if level.isEmpty():
             break
         visited = level if visited is None else visited.unionByName(level)
-        out = level.join(leads, "url").join(ids, "start_id").select(
-            "start_id", "visit_order", "host", F.explode("links").alias("a")).filter(
-            url_host(F.col("a.url")) == F.col("host")).select("start_id", "visit_order", "a.*")
-        out = cut_lineage(out)
-        links = out if links is None else links.unionByName(out)
         # both parts of the order key are positive and the anchor position fits well below 2^31
         turn = F.col("visit_order") * F.lit(1 << 31) + F.col("pos")
-        frontier = out.filter("section").select("start_id", "url", turn.alias("turn"))
+        frontier = _outgoing(level, leads, ids).filter("section").select("start_id", "url", turn.alias("turn"))
     html = F.col("html")
     bodies = visited.join(pages.select("url", "html"), "url").select(
         "start_id", "url", "visit_order", html_title(html).alias("title"), html_to_text(html).alias("text"))
@@ -106,13 +100,20 @@ def crawl_frontier(starts: DataFrame, pages: DataFrame, max_pages: int = vocab.M
         candidate_page_filter(F.col("url"), F.col("title"), F.col("text"), F.col("cup"), F.col("clp"))
     ).select("start_id", "url", "title", "text", "visit_order")
     first_link = keep_first(
-        links.filter("candidate").withColumn("_turn", F.struct("visit_order", "pos")), ["start_id", "url"], "_turn")
+        _outgoing(visited, leads, ids).filter("candidate").withColumn("_turn", F.struct("visit_order", "pos")), ["start_id", "url"], "_turn")
     linked = first_link.join(read.select("start_id", "url"), ["start_id", "url"], "left_anti").select(
         "start_id", "url", first_non_empty(F.col("label"), F.col("url")).alias("title"),
         F.lit("").alias("text"), F.lit(None).cast("bigint").alias("visit_order"))
     return read.unionByName(linked)
 
 
+def _outgoing(visits: DataFrame, leads: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links of visited pages that stay on their start's host."""
+    out = visits.join(leads, "url").join(ids, "start_id").select(
+        "start_id", "visit_order", "host", F.explode("links").alias("a"))
+    return out.filter(url_host(F.col("a.url")) == F.col("host")).select("start_id", "visit_order", "a.*")
+
+
 def crawl_starts(registry: DataFrame) -> DataFrame:
     """Start page per organisation: its board page, else its website."""
     return registry.select(
