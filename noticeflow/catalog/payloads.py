@@ -245,8 +245,9 @@ _CLEAN_SQL = (r"regexp_replace(html, '(?is)<!--.*?-->|<![^>]*>|<script\b[^>]*>.*
 
 
 def _decoded_sql(e):
-    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&amp;", "&")):
-        e = f"replace({e}, '{entity}', '{char}')"
+    """Entities of these pages; a page cut short may end one without its semicolon."""
+    for entity, char in (("&copy;?", "©"), ("&middot;?", "·"), ("&quot;?", '"'), ("&lt;?", "<"), ("&amp;?", "&")):
+        e = f"regexp_replace({e}, '{entity}', '{char}', 'g')"
     return e
 
 
@@ -474,8 +475,8 @@ def q_sniff(spark, sf_dir):
         F.encode("body", "UTF-8"), F.col("url"), F.col("content_type")).alias("kind"))
 
 
-@query("choose_extraction", """SELECT doc_id, CASE WHEN length(text) < 80 THEN 'fallback' WHEN doc_id % 3 = 0 THEN md5(text)
-    WHEN doc_id % 3 = 1 THEN md5('seconda ' || text) ELSE 'fallback' END AS chosen FROM documents""")
+@query("choose_extraction", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND length(text) >= 80 THEN md5(text)
+    WHEN doc_id % 3 = 1 AND length('seconda ' || text) >= 80 THEN md5('seconda ' || text) ELSE 'fallback' END AS chosen FROM documents""")
 def q_choose(spark, sf_dir):
     whole = F.col("text")
     garbled = F.concat(whole, F.repeat(F.lit("�"), F.length(whole)))
