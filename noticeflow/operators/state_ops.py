@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noticeflow import vocab
 from noticeflow.operators.lookups import live_alerts
-from noticeflow.operators.ranking import keep_first, keep_last
+from noticeflow.operators.ranking import keep_first
 
 # Columns an update may change, per table; everything else keeps its first value.
 UPDATE_POLICY = {
@@ -29,12 +29,12 @@ def insert_if_absent(state: DataFrame, batch: DataFrame, key: str, order: str) -
 
 def upsert(state: DataFrame, batch: DataFrame, key: str, updatable: tuple[str, ...], order: str) -> DataFrame:
     """Insert new keys; for known keys change only the updatable columns."""
-    latest = keep_last(batch, [key], order).select(*state.columns)
-    if set(updatable) != set(state.columns) - {key}:
-        # a new key keeps the frozen columns of its first batch row
-        first = keep_first(batch, [key], order)
-        frozen = [c for c in state.columns if c != key and c not in updatable]
-        latest = first.select(key, *frozen).join(latest.drop(*frozen), key).select(*state.columns)
+    changing = [c for c in state.columns if c in updatable]
+    frozen = [c for c in state.columns if c != key and c not in updatable]
+    # a new key keeps the frozen columns of its first batch row; the others come from its last one
+    latest = batch.groupBy(key).agg(
+        F.min_by(F.struct(*frozen), order).alias("_first"), F.max_by(F.struct(*changing), order).alias("_last")
+    ).select(key, "_first.*", "_last.*")
     old, new = state.alias("o"), latest.alias("n")
     known, touched = F.col(f"o.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
 

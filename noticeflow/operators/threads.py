@@ -36,54 +36,48 @@ def match_thread(items: DataFrame, threads: DataFrame, as_of, key: str = "item_k
 
     Items carry school_code, cup, protocol_ref, role_signature, published_date and
     same_process (external verdict about the nearest thread); ``key`` is unique.
-    Three look-ups instead of a pairwise join: threads shrink to the newest one per protocol,
-    per (role, day) and per day, and an item only asks for the days it may match (11 or 61).
-    Work is linear in items however many threads share one project.
+    Two look-ups instead of a pairwise join: threads shrink to the newest one per protocol, per
+    (role, day) and per day, and an item asks only for the days it may match (11 per role, 61 for the
+    nearest).  Work is linear in items however many threads share one project.
     """
     project = ["school_code", "cup"]
-    live = open_threads(threads, as_of).withColumn("_day", F.to_date("updated_at"))
-    linked = items.filter(F.coalesce(F.col("cup"), F.lit("")) != "")
-    slim = linked.select(
-        key, *project, "protocol_ref", "role_signature", "published_date", "same_process")
-
+    live = open_threads(threads, as_of).filter(F.coalesce("cup", F.lit("")) != "").withColumn(
+        "_day", F.to_date("updated_at"))
     by_protocol = _newest(live.filter(F.coalesce(F.col("protocol_ref"), F.lit("")) != ""),
                           [*project, "protocol_ref"])
-    first = slim.join(by_protocol, [*project, "protocol_ref"], "left").select(
-        *slim.columns, F.col("_thread").alias("_by_protocol"))
-
-    by_role = _newest(live.withColumn("_role", F.explode("role_signature")), [*project, "_role", "_day"])
-    asked = first.filter(F.col("_by_protocol").isNull()).select(
-        key, *project, F.explode("role_signature").alias("_role"),
-        F.col("published_date")).withColumn("_day", F.explode(_days_around("published_date", vocab.ROLE_MATCH_DAYS)))
-    role_hits = asked.join(by_role, [*project, "_role", "_day"]).groupBy(key).agg(
-        F.min_by("_thread", F.struct(-F.unix_micros("_thread.updated_at"), F.col("_thread.thread_id"))).alias("_by_role"))
-
-    by_day = _newest(live, [*project, "_day"])
-    near = first.filter(F.col("_by_protocol").isNull() & F.coalesce(F.col("same_process"), F.lit(False))).select(
-        key, *project, "published_date").withColumn(
-        "_day", F.explode(_days_around("published_date", vocab.NEAREST_THREAD_DAYS)))
-    near_hits = near.join(by_day, [*project, "_day"]).groupBy(key).agg(
-        F.min_by("_thread", F.struct(
-            days_apart(F.col("published_date"), F.col("_day")),
-            -F.unix_micros("_thread.updated_at"), F.col("_thread.thread_id"))).alias("_nearest"))
+    cited = items.join(by_protocol.withColumnRenamed("_thread", "_by_protocol"), [*project, "protocol_ref"], "left")
+
+    way = F.lit("role"), F.lit("day")
+    by_role = live.withColumn("_way", way[0]).withColumn("_role", F.explode("role_signature"))
+    by_day = live.withColumn("_way", way[1]).withColumn("_role", F.lit(""))
+    spots = _newest(by_role.unionByName(by_day), [*project, "_way", "_role", "_day"])
+
+    def ask(kind: Column, role: Column, distance: int) -> Column:
+        return F.transform(_days_around("published_date", distance), lambda d: F.struct(
+            kind.alias("_way"), role.alias("_role"), d.alias("_day")))
+
+    of_roles = F.flatten(F.transform("role_signature", lambda r: ask(way[0], r, vocab.ROLE_MATCH_DAYS)))
+    of_days = F.when(F.col("same_process"), ask(way[1], F.lit(""), vocab.NEAREST_THREAD_DAYS))
+    asked = cited.filter(F.col("_by_protocol").isNull()).select(
+        key, *project, "published_date",
+        F.explode(F.concat(of_roles, F.coalesce(of_days, F.slice(of_roles, 1, 0)))).alias("_ask")
+    ).select(key, *project, "published_date", "_ask.*")
+    distance = F.when(F.col("_way") == "day", days_apart(F.col("published_date"), F.col("_day"))).otherwise(0)
+    rank = F.struct(F.col("_way") == "day", distance, -F.unix_micros("_thread.updated_at"), F.col("_thread.thread_id"))
+    hits = asked.join(spots, [*project, "_way", "_role", "_day"]).groupBy(key).agg(
+        F.min_by(F.struct("_thread", "_way"), rank).alias("_hit"))
 
     known = live.select(*project).distinct().withColumn("any_open", F.lit(True))
-    picked = (
-        first.select(key, *project, "_by_protocol").join(role_hits, key, "left").join(near_hits, key, "left")
-        .join(known, project, "left")
-    )
-    chosen = F.coalesce("_by_protocol", "_by_role", "_nearest")
-    answer = picked.select(
-        key, chosen["thread_id"].alias("thread_id"), chosen["status"].alias("thread_status"),
-        F.coalesce("any_open", F.lit(False)).alias("any_open"),
+    found = cited.join(hits, key, "left").join(known, project, "left").withColumn(
+        "any_open", F.coalesce("any_open", F.lit(False)))
+    chosen = F.coalesce("_by_protocol", "_hit._thread")
+    return found.select(
+        *items.columns, chosen["thread_id"].alias("thread_id"), chosen["status"].alias("thread_status"), "any_open",
         F.when(F.col("_by_protocol").isNotNull(), "matching protocol reference")
-        .when(F.col("_by_role").isNotNull(), "overlapping role + close publish date")
-        .when(F.col("_nearest").isNotNull(), "AI judged same process")
+        .when(F.col("_hit._way") == "role", "overlapping role + close publish date")
+        .when(F.col("_hit._way") == "day", "AI judged same process")
         .when(F.col("any_open"), "no matching thread")
         .otherwise("no open threads for this CUP").alias("match_why"))
-    unlinked = "no open threads for this CUP"
-    return items.join(answer, key, "left").withColumn("any_open", F.coalesce("any_open", F.lit(False))).withColumn(
-        "match_why", F.coalesce("match_why", F.lit(unlinked)))
 
 
 def _days_around(column: str, distance: int) -> Column:
