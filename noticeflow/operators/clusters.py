@@ -6,6 +6,7 @@ the position of its founder, so the result does not depend on the path that comp
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,6 @@ from noticeflow import vocab
 from noticeflow.session import cut_lineage
 
 HOT_ROWS = 100_000
-MAX_PEELS = 64
 
 
 def role_mask(roles: Column, terms=vocab.ROLE_TERMS) -> Column:
@@ -32,8 +32,8 @@ def cluster_new(entries: DataFrame, group: str, order: str, hot_rows: int = HOT_
     """Add ``cluster_id``.  ``order`` is a unique bigint; needs role_signature and protocol_ref.
 
     Entries that cannot interact are clustered by plain aggregation.  The rest is folded in order,
-    many groups per task; a group beyond ``hot_rows`` is instead peeled cluster by cluster with
-    distributed aggregations, so no task has to walk it.
+    many groups per task; a group beyond ``hot_rows`` is first peeled cluster by cluster with distributed
+    aggregations, so no task ever walks more than ``hot_rows`` of its entries.
     """
     slim = cut_lineage(entries.select(
         F.col(group).alias("g"), F.col(order).cast("bigint").alias("o"),
@@ -52,10 +52,8 @@ def cluster_new(entries: DataFrame, group: str, order: str, hot_rows: int = HOT_
         parts.append(_fold(mixed))
     else:
         parts.append(_fold(mixed.join(hot_groups, "g", "left_anti")))
-        parts.extend(_peel(mixed.join(hot_groups, "g", "left_semi").select("g", "o", "m", "p")))
-    assigned = parts[0]
-    for part in parts[1:]:
-        assigned = assigned.unionByName(part)
+        parts.extend(_peel(mixed.join(hot_groups, "g", "left_semi").select("g", "o", "m", "p"), hot_rows))
+    assigned = reduce(DataFrame.unionByName, parts)
     named = assigned.select(F.col("g").alias(group), F.col("o").alias("_o"), F.col("c").alias("cluster_id"))
     return entries.withColumn("_o", F.col(order).cast("bigint")).join(named, [group, "_o"], "left").select(
         *entries.columns, "cluster_id")
@@ -95,8 +93,8 @@ def _fold(mixed: DataFrame) -> DataFrame:
     return placed.mapInPandas(walk, f"g {kind}, o bigint, c bigint")
 
 
-def _peel(hot: DataFrame) -> list[DataFrame]:
-    """Clusters of large groups, the first of every group at a time.
+def _peel(hot: DataFrame, hot_rows: int) -> list[DataFrame]:
+    """Clusters of large groups, the first of every group at a time, until the rest is small enough to fold.
 
     A cluster only changes when a member brings a new role or its first protocol - a handful of
     times - so its history is found by a few "next change" aggregations over all rows.
@@ -105,8 +103,14 @@ def _peel(hot: DataFrame) -> list[DataFrame]:
     kind = hot.schema["g"].dataType.simpleString()
     layout = f"g {kind}, c bigint, since bigint, until bigint, cm bigint, cp string"
     head = F.min_by(F.struct("o", "m", "p"), "o").alias("e")
-    for _ in range(MAX_PEELS):
-        state = {r.g: [r.e.o, r.e.o, r.e.m, r.e.p] for r in left.groupBy("g").agg(head).collect()}
+    while True:
+        heads = left.groupBy("g").agg(head, F.count(F.lit(1)).alias("n")).collect()
+        small = [(r.g,) for r in heads if r.n <= hot_rows]
+        if small:
+            done = spark.createDataFrame(small, f"g {kind}")
+            found.append(_fold(left.join(done, "g", "left_semi").select("g", "o", "m", "p")))
+            left = left.join(done, "g", "left_anti")
+        state = {r.g: [r.e.o, r.e.o, r.e.m, r.e.p] for r in heads if r.n > hot_rows}
         if not state:
             return found
         history, active = [], dict(state)
@@ -130,8 +134,8 @@ def _peel(hot: DataFrame) -> list[DataFrame]:
         members = cut_lineage(members)
         found.append(members)
         left = cut_lineage(left.join(members.select("g", "o"), ["g", "o"], "left_anti").select("g", "o", "m", "p"))
-    found.append(_fold(left))
-    return found
+        if len(found) % 32 == 0:
+            found = [cut_lineage(reduce(DataFrame.unionByName, found))]
 
 
 def _matches() -> Column:

@@ -28,9 +28,8 @@ def clean_registry(raw: DataFrame) -> DataFrame:
 
 
 def write_registry(registry: DataFrame, path: str) -> None:
-    """Fixed column order, one file (a registry is a few thousand rows)."""
-    export = registry.select(*REGISTRY_COLUMNS)
-    export.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    """Fixed column order, a folder of CSV parts that ``read_registry`` takes back."""
+    registry.select(*REGISTRY_COLUMNS).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
 
 
 def typed_registry(registry: DataFrame) -> DataFrame:
