@@ -197,7 +197,7 @@ def q_root(spark, sf_dir):
 
 # --- groups: order lines are alerts, an order is one selection process -------------------------------------
 
-_SEQ = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey"
+_SEQ = "(l_orderkey * 10 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint)"
 ENTRIES = View("lineitem", {
     "seq": _SEQ,
     "group_key": "'G' || " + text("l_orderkey"),

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from noticeflow import vocab
 from noticeflow.catalog import joins, texts
-from noticeflow.catalog.base import PROJECTS, View, case, norm_sql, padded, query, table, text
-from noticeflow.operators import ranking, reports
+from noticeflow.catalog.base import View, case, norm_sql, padded, query, text
+from noticeflow.operators import reports
 from noticeflow.plans import funnel
 
 RUN = funnel.Run(as_of=datetime(2026, 6, 15, 9, 30))
@@ -17,6 +17,14 @@ NOTICES = View("documents", {
     "item_key": "'SC' || " + padded("doc_id", 8) + " || '|' || " + text("doc_id"),
     "enrich_error": case("doc_id % 13", {"5": "'404 Client Error'", "6": "'Read timed out'"}, "''"),
 })
+ORGANISATIONS = View("documents", {
+    "school_code": NOTICES.columns["school_code"],
+    "school_name": "'Istituto ' || " + text("doc_id"),
+    "region": "lang",
+    "cup": NOTICES.columns["cup"],
+    "clp": NOTICES.columns["clp"],
+    "amount": text("doc_id + 40000") + " || '.00'",
+})
 TEXTS = View("documents", {
     "item_key": NOTICES.columns["item_key"],
     "text": texts.NOTICES.columns["text"],
@@ -55,7 +63,7 @@ def _inputs(spark, sf_dir):
 
 def decided(spark, sf_dir):
     alerts, _ = _inputs(spark, sf_dir)
-    rows = funnel.decide(NOTICES.df(spark, sf_dir), PROJECTS.df(spark, sf_dir), TEXTS.df(spark, sf_dir),
+    rows = funnel.decide(NOTICES.df(spark, sf_dir), ORGANISATIONS.df(spark, sf_dir), TEXTS.df(spark, sf_dir),
                          VERDICTS.df(spark, sf_dir), PROCESSED.df(spark, sf_dir), alerts, RUN)
     return rows.withColumn("seq", F.col("item_id").cast("bigint"))
 
@@ -137,14 +145,14 @@ def q_log(spark, sf_dir):
 
 
 @query("run_stats", f"""
-    SELECT (SELECT count(*) FROM {PROJECTS.sql} WHERE region <> 'BUILDING') AS schools, (SELECT count(*) FROM {PROJECTS.sql} WHERE region = 'BUILDING') AS unsupported,
+    SELECT (SELECT count(*) FROM {ORGANISATIONS.sql} WHERE region <> 'de') AS schools, (SELECT count(*) FROM {ORGANISATIONS.sql} WHERE region = 'de') AS unsupported,
       count(*) AS new_items, count(*) FILTER (WHERE stage <> 'prefilter_rejected' AND stage <> 'superseded') AS prefiltered,
       count(*) FILTER (WHERE confirmed) AS confirmed, count(*) FILTER (WHERE stage = 'alerted') AS alerts
     FROM ({FINAL_SQL})""")
 def q_stats(spark, sf_dir):
     rows = decided_once(spark, sf_dir)
     final = funnel.final_decisions(rows, planned(spark, sf_dir, rows))
-    polled = PROJECTS.df(spark, sf_dir).select((F.col("region") != "BUILDING").alias("supported"))
+    polled = ORGANISATIONS.df(spark, sf_dir).select((F.col("region") != "de").alias("supported"))
     return reports.run_stats(final, polled).select("schools", "unsupported", "new_items", "prefiltered", "confirmed", "alerts")
 
 

@@ -28,7 +28,7 @@ ALERTS = View("orders", {
     "updated_at": "cast(o_orderdate as timestamp)",
 }, where="o_orderdate < timestamp '1998-06-02 00:00:00'")
 # Send requests of this run: every order line asks for its order's alert; copies ask again.
-_SEQ = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey"
+_SEQ = "(l_orderkey * 10 + l_linenumber) * 100000000 + cast(round(l_extendedprice * 100) as bigint)"
 REQUESTS = View("lineitem", {
     "alert_key": "'a' || " + text("l_orderkey"),
     "seq": _SEQ,
