@@ -55,3 +55,13 @@ def evaluate_once(df: DataFrame) -> DataFrame:
     addition per row and leaves column pruning and code generation intact.
     """
     return df.withColumn("_row", F.monotonically_increasing_id()).filter(F.col("_row") >= 0).drop("_row")
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Give text work all cores when a scan has fewer splits than cores; larger inputs stay as they are.
+
+    A file with one row group is one task however many cores wait.  Anything that already fills the
+    cluster is returned untouched, so this never adds a shuffle to a large table.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
