@@ -57,6 +57,12 @@ def message_subject(school_name: Column, n: Column, deadline: Column, reply_to:
     )
 
 
+_DIGEST_COLUMNS = (
+    "school_name", "school_code", "region", "cup", "clp", "amount", "title", "url", "opportunity_type",
+    "deadline", "confidence", "ai_used", "reason", "reply_subject",
+)
+
+
 def digest(entries: DataFrame, order: list[str]) -> DataFrame:
     """Message text per group, in pages of numbered blocks: group_key, page, n_pages, subject, body.
 
@@ -68,7 +74,8 @@ def digest(entries: DataFrame, order: list[str]) -> DataFrame:
     def text(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(""))
 
-    numbered = ordinal(entries, ["group_key"], order, "block_no")
+    needed = [c for c in entries.columns if c in ("group_key", *order, *_DIGEST_COLUMNS)]
+    numbered = ordinal(entries.select(*needed), ["group_key"], order, "block_no")
     block = F.concat(
         F.lit("\n"), F.col("block_no").cast("string"), F.lit(". "), text("title"),
         F.lit("\n   Link: "), text("url"),
