@@ -105,7 +105,6 @@ def hits_sql(e: str, terms) -> str:
     return f"list_filter({sql_list(terms)}, lambda term_: contains({e}, term_))"
 
 
-CODE = "'SC' || "
 PROJECT = {
     "school_code": "'SC' || " + padded("c_custkey", 8),
     "school_name": "c_name",

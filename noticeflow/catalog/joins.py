@@ -4,8 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from noticeflow import vocab
-from noticeflow.catalog.base import FEED, ORDER_NOTICES, PROJECTS, View, case, iso_date, italian_date, padded, query, table, text
+from noticeflow.catalog.base import FEED, ORDER_NOTICES, PROJECTS, View, case, italian_date, padded, query, table, text
 from noticeflow.functions.text import first_non_empty
 from noticeflow.operators import lookups, ranking, reports, threads
 from noticeflow.operators.clusters import cluster_new

@@ -5,7 +5,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow import vocab
 from noticeflow.functions.dates import has_deadline, open_status
 from noticeflow.functions.keys import reply_subject
 from noticeflow.functions.text import confidence_word, yes_no

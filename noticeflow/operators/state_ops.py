@@ -7,7 +7,6 @@ Batches are reduced to one row per key first.  One writer per micro-batch, see `
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow import vocab
 from noticeflow.operators.lookups import live_alerts
 from noticeflow.operators.ranking import keep_first
 

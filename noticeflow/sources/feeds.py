@@ -3,7 +3,7 @@
 from functools import reduce
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow import vocab

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeflow.functions.keys import item_key
-from noticeflow.operators import lookups, state_ops, threads
+from noticeflow.operators import state_ops, threads
 from noticeflow.session import scratch_path
 
 
