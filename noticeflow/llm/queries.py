@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import dedup, mixing, shards
+from noticeflow.llm import dedup, mixing, packing, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +20,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op5_packing, op7_exact_dedup)}
 ORACLES = {"op1_mixing": mixing.mix_sql(), "op7_exact_dedup": dedup.EXACT_DEDUP_SQL}
