@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import dedup, mixing, packing, shards
+from noticeflow.llm import dedup, mixing, packing, shards, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op5_packing, op7_exact_dedup)}
-ORACLES = {"op1_mixing": mixing.mix_sql(), "op7_exact_dedup": dedup.EXACT_DEDUP_SQL}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op5_packing, op6_warc, op7_exact_dedup)}
+ORACLES = {"op1_mixing": mixing.mix_sql(), "op6_warc": warc.ARCHIVE_SQL, "op7_exact_dedup": dedup.EXACT_DEDUP_SQL}
