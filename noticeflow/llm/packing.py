@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from noticeflow.llm.common import text_of
-from noticeflow.session import scratch_path
+from noticeflow.session import cut_lineage, scratch_path
 
 WINDOW = 2048
 SLICE = 256
 END_ID = 1
 CACHE_WORDS = 600_000
 BATCH_BYTES = 8 << 20
+BROADCAST_ROWS = 200_000
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 _TOKENS = "doc_id long, source string, part int, local long, n long, ids binary"
@@ -258,7 +259,9 @@ def pack(docs: DataFrame, tokenizer_path: str, shares: dict[str, float] | None =
     names = [s for s, _ in totals]
     schedule = Schedule.plan([n for _, n in totals], [float((shares or dict(totals)).get(s, 0.0)) for s in names])
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = cut_lineage(parts.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    # ids stay where they are while the bases, a row per partition and source, are few; else both are shuffled
+    bases = F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases
     number = {s: i for i, s in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
