@@ -17,7 +17,7 @@ from noticeflow.llm.common import text_of
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1200, 3600     # labelled rows at most that a model is fitted on
 SAMPLE_BYTES = 16_000                          # longer labelled texts are not sampled for fitting
-ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 1024   # dictionary sizes
+ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 2048   # dictionary sizes
 WINDOW, STRIDE, LEVEL = 96, 48, 9
 GRAM = 5
 LEAST_RATE, LEAST_ROWS, LEAST_RATIO = 0.01, 3, 60.0
