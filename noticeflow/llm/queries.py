@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import dedup, mixing, packing, shards, toxicity, warc
+from noticeflow.llm import dedup, mixing, ngram_join, packing, shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -37,5 +41,5 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_toxicity, op5_packing, op6_warc, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_ngram_join, op4_toxicity, op5_packing, op6_warc, op7_exact_dedup)}
 ORACLES = {"op1_mixing": mixing.mix_sql(), "op6_warc": warc.ARCHIVE_SQL, "op7_exact_dedup": dedup.EXACT_DEDUP_SQL}
