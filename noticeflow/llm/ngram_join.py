@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.common import components, text_of
 from noticeflow.llm.shingles import by_bytes, mix64, shingle_sets
-from noticeflow.llm.tables import bit_tables, level_of
+from noticeflow.llm.tables import bit_tables, counted_levels, level_of, ranges_of
 from noticeflow.session import cut_lineage
 
 ZONE = 2                          # prefixes are counted this many times their length
@@ -48,33 +48,12 @@ def _frequent(docs: DataFrame, words: int, percent: int) -> np.ndarray:
     Every document counts the smallest hashes of its set, a zone of ZONE prefixes.  Sorted runs of hashes
     travel packed; a task holds one of the hash ranges.
     """
-    spark = docs.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def zones(batch, sets):
-        kept = [s[:ZONE * _prefix(len(s), percent)] for s in sets]
-        tokens = np.sort(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
-        low = (np.arange(ranges + 1, dtype=np.float64) * (2.0**64 / ranges))
-        cuts = np.searchsorted(tokens, low[:-1].astype(np.uint64)).tolist() + [len(tokens)]
-        parts = [(r, tokens[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        if not parts:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["range", "tokens"])
+        return ranges_of(np.concatenate([s[:ZONE * _prefix(len(s), percent)] for s in sets]), ranges)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for r, blob in zip(batch.column("range").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                held.setdefault(r, []).append(blob)
-        while held:
-            tokens = np.sort(np.frombuffer(b"".join(held.popitem()[1]), np.uint64))
-            first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-            level = np.searchsorted(FREQUENT, np.diff(np.append(first, len(tokens))), "right")
-            some = level > 0
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[first[some]].view(np.int64)), pa.array(level[some].astype(np.int32))], ["key", "level"])
-
-    packed = _per_document(docs, words, zones, "range int, tokens binary").repartition(ranges, "range")
-    return bit_tables(packed.mapInArrow(count, "key long, level int"), len(FREQUENT))
+    return counted_levels(_per_document(docs, words, zones, "range int, keys binary"), ranges, FREQUENT)
 
 
 def _sets_of(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import dedup, mixing, ngram_join, packing, shards, toxicity, warc
+from noticeflow.llm import dedup, line_dedup, mixing, ngram_join, packing, shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,5 +41,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_ngram_join, op4_toxicity, op5_packing, op6_warc, op7_exact_dedup)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduped_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_ngram_join, op4_toxicity, op5_packing, op6_warc, op7_exact_dedup, op10_line_dedup)}
 ORACLES = {"op1_mixing": mixing.mix_sql(), "op6_warc": warc.ARCHIVE_SQL, "op7_exact_dedup": dedup.EXACT_DEDUP_SQL}

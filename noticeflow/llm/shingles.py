@@ -13,7 +13,7 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VALUE = np.random.default_rng(20260101).integers(1, 2**64, 256, np.uint64)   # a random number per byte
+_VALUE, _OTHER = np.random.default_rng(20260101).integers(1, 2**64, (2, 256), np.uint64)   # random numbers per byte
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -58,10 +58,11 @@ def runs(data: np.ndarray, breaks: np.ndarray, inside: np.ndarray) -> tuple[np.n
     return starts, ends
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every range of bytes, wherever it lies."""
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of every range of bytes, wherever it lies; ``other`` gives a second, independent one."""
     up, down = powers(len(data) + 1)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(_VALUE[data] * up[:len(data)], dtype=np.uint64)))
+    value = (_OTHER if other else _VALUE)[data]
+    total = np.concatenate(([np.uint64(0)], np.cumsum(value * up[:len(data)], dtype=np.uint64)))
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +34,36 @@ def level_of(tables: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys & np.uint64(tables.shape[1] * 64 - 1)
     word, bit = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
     return ((tables[:, word] >> bit) & np.uint64(1)).sum(axis=0).astype(np.int8)
+
+
+def ranges_of(keys: np.ndarray, ranges: int) -> pa.RecordBatch | None:
+    """Sorted keys (uint64) as one packed row per hash range."""
+    keys = np.sort(keys)
+    low = (np.arange(ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64)
+    cuts = np.searchsorted(keys, low).tolist() + [len(keys)]
+    parts = [(r, keys[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    if not parts:
+        return None
+    return pa.RecordBatch.from_arrays(
+        [pa.array([p for p, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["range", "keys"])
+
+
+def counted_levels(packed: DataFrame, ranges: int, steps: tuple[int, ...]) -> np.ndarray:
+    """Bit tables of the keys in ``packed`` (range int, keys binary): level l for steps[l - 1] occurrences or more.
+
+    Keys travel as sorted runs of eight bytes each; a task counts one of the ranges.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for r, blob in zip(batch.column("range").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                held.setdefault(r, []).append(blob)
+        while held:
+            keys = np.sort(np.frombuffer(b"".join(held.popitem()[1]), np.uint64))
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            level = np.searchsorted(steps, np.diff(np.append(first, len(keys))), "right")
+            some = level > 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[first[some]].view(np.int64)), pa.array(level[some].astype(np.int32))], ["key", "level"])
+
+    return bit_tables(packed.repartition(ranges, "range").mapInArrow(count, "key long, level int"), len(steps))
