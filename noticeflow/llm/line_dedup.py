@@ -16,7 +16,7 @@ from noticeflow.session import cut_lineage
 
 CHARS = 8             # characters of a shingle
 PERCENT = 80          # Jaccard similarity from which lines are linked
-BANDS, BAND = 10, 4   # a pair at 0.8 shares a band with probability 0.995
+BANDS, BAND = 14, 4   # a pair at 0.8 shares a band with probability 0.999
 LEAST_CHARS = 10      # shorter lines always stay
 
 _NEWLINE = 10
