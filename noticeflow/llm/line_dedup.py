@@ -235,27 +235,32 @@ def _document() -> tuple[Column, Column]:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, the text without its dropped lines, and _lines and _dropped counts.
+    """Each document as the struct ``doc`` with its remaining text, n_lines and n_dropped.
 
     Two lines are similar when the sets of their CHARS-character shingles have a Jaccard similarity of
     PERCENT or more.  Of every component of similar lines the first stays: smallest doc_id (null last),
     then text hash, then line number.  Lines under LEAST_CHARS characters always stay.  A null text stays
     null, an empty one has one empty line; repeated rows (same id and text) share their fate.
     """
-    lost = dropped_lines(docs).withColumnRenamed("_id", "_lost_id").withColumnRenamed("_hash", "_lost_hash")
-    keyed = docs.withColumns(dict(zip(("_own_id", "_own_hash"), _document(), strict=True)))
-    joined = keyed.join(lost, F.col("_own_id").eqNullSafe(F.col("_lost_id")) & (F.col("_own_hash") == F.col("_lost_hash")), "left")
-    lines = F.split(text_of(), "\n", -1)
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-                                 lambda s: ~F.array_contains(F.col("drop"), s["i"])).getField("x"), "\n")
-    return joined.withColumns({
-        "_lines": F.size(lines), "_dropped": F.coalesce(F.size("drop"), F.lit(0)),
-        "text": F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept),
-    }).withColumn("_dropped", F.when(F.col("drop").isNull(), 0).otherwise(F.col("_dropped"))).drop(
-        "_own_id", "_own_hash", "_lost_id", "_lost_hash", "drop")
+    lost = dropped_lines(docs)
+    keyed = docs.select(F.struct("*").alias("doc"), text_of().alias("_text"), *[c.alias(f"_own{n}") for c, n in zip(_document(), ("_id", "_hash"), strict=True)])
+    joined = keyed.join(lost, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left")
+    lines = F.split("_text", "\n", -1)
+    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    kept = F.array_join(F.transform(F.filter(numbered, lambda s: ~F.array_contains(F.col("drop"), s["i"])), lambda s: s["x"]), "\n")
+    return joined.select(
+        "doc", F.when(F.col("drop").isNull(), F.col("doc.text")).otherwise(kept).alias("text"), F.size(lines).alias("n_lines"),
+        F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).alias("n_dropped"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with their remaining text and its length; those left without any text by it go."""
+    left = dedup_lines(docs).filter(r"n_dropped = 0 OR text RLIKE '[^\\x20\\x09-\\x0D]'")
+    own = {"text": F.col("text"), "n_chars": F.length(F.coalesce("text", F.lit(""))).cast("long")}
+    return left.select(*[own.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def deduped_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the remaining text of every document."""
     return dedup_lines(docs.select("doc_id", "text")).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+        F.col("doc.doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", "text")

@@ -37,14 +37,15 @@ def draw(seed: int) -> Column:
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    """Add ``_source``, ``_lang``, ``_topic`` (null: empty name) and ``_tokens`` (words; an empty text counts one)."""
+    """Each document as the struct ``doc`` with doc_id, _source, _lang, _topic (null: empty name) and _tokens.
+
+    Tokens are words; an empty text counts one.
+    """
     text = text_of()
-    return docs.withColumns({
-        "_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-        "_topic": topic_of(text),
-        "_tokens": F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("long"),
-    })
+    return docs.select(
+        F.struct("*").alias("doc"), F.col("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"), topic_of(text).alias("_topic"),
+        F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("long").alias("_tokens"))
 
 
 def targets(cells: DataFrame, shares: dict[str, dict[str, float]] | None = None) -> DataFrame:
@@ -109,7 +110,7 @@ def rates(cells: DataFrame, shares: dict[str, dict[str, float]] | None = None) -
 
 
 def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, seed: int = 17) -> DataFrame:
-    """Add _source, _lang, _topic, _tokens, weight, probability and kept to every document.
+    """Every document as ``doc`` with its _source, _lang, _topic, _tokens, weight, probability and kept.
 
     A document is kept when its drawn number is below its cell's probability.  As every probability is in
     proportion to raked weight over tokens at hand, the kept tokens meet all three marginals in
@@ -122,6 +123,11 @@ def mix(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, seed
         "kept", draw(seed) < F.coalesce(F.col("probability"), F.lit(0.0)))
 
 
+def sampled(docs: DataFrame, shares: dict[str, dict[str, float]] | None = None, seed: int = 17) -> DataFrame:
+    """The documents that the mixture keeps, with their own columns only."""
+    return mix(docs, shares, seed).filter("kept").select("doc.*")
+
+
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The decision on every document: doc_id, source, lang, topic, tokens, weight, probability, kept."""
     narrow = cut_lineage(with_cells(docs).select("doc_id", "_source", "_lang", "_topic", "_tokens"))

@@ -212,4 +212,5 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """
     named, found = _classes(docs, words, percent)
     keep = _labelled(named, found).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_drop")).filter("_drop is not null").distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("_drop"), "left_anti")
+    wrapped = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_own"))
+    return wrapped.join(keep, F.col("_own") == F.col("_drop"), "left_anti").select("doc.*")
