@@ -16,6 +16,7 @@ from noticeflow.session import cut_lineage
 
 ZONE = 2                          # prefixes are counted this many times their length
 FREQUENT = (8, 64, 512, 4096)     # documents from which a shingle is of the next level
+NEAR = 3                          # a hub's nodes differ from it in at most a third of both sizes
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -56,6 +57,16 @@ def _frequent(docs: DataFrame, words: int, percent: int) -> np.ndarray:
     return counted_levels(_per_document(docs, words, zones, "range int, keys binary"), ranges, FREQUENT)
 
 
+def _packed(ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_bytes(whole, "prefix"):
+                out = ranges_of(np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint64), ranges)
+                if out is not None:
+                    yield out
+    return run
+
+
 def _sets_of(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
     """(node, n, values) of the wanted sets, once each; a bit table keeps most others from being sent."""
     spark = docs.sparkSession
@@ -76,26 +87,71 @@ def _sets_of(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("values").alias("values"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose sets are similar enough, by their exact intersection."""
+def _compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
+    """(a, b, n, ok, size, delta) of every pair: by their exact intersection, whether the sets are similar.
+
+    ``delta`` holds what set b has and a lacks, the rarest first, then (salted) what a has and b lacks;
+    ``size`` counts both.  It is left out for pairs that have little in common.
+    """
     nodes = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     sets = cut_lineage(_sets_of(docs, words, nodes))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            rows = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                same = int((y[at] == x).sum())
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("values").alias("x")), "a").join(
+                held = np.isin(y, x, assume_unique=True)
+                same = int(held.sum())
+                size = len(x) + len(y) - 2 * same
+                delta = None
+                if levels is not None and NEAR * size <= len(x) + len(y):
+                    more, less = y[~held], x[~np.isin(x, y, assume_unique=True)]
+                    more = more[np.argsort(level_of(levels.value, more), kind="stable")]
+                    delta = np.concatenate((more, less ^ _SALT)).tobytes()
+                rows.append((len(y), 100 * same >= percent * (len(x) + len(y) - same), size, delta))
+            n, ok, size, delta = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(ok, pa.bool_()), pa.array(size, pa.int64()),
+                pa.array(delta, pa.binary())], ["a", "b", "n", "ok", "size", "delta"])
+
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("values").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
-    return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"))
+    return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary, n long, ok boolean, size long, delta binary"))
+
+
+def _around_hubs(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of two nodes of one hub that may be similar though one of them is not similar to the hub.
+
+    ``near`` has hub, node, n, ok, size, delta and component c.  Two sets differ in the elements that are in
+    just one of their deltas, so if y differs from the hub too much, x has to share elements of its own
+    delta with y: more than (1 - c) / 2 of them, c = (100 - percent) / (100 + percent).  One of its first
+    elements, the rarest, is thus in y's delta.  Nodes are not paired through what they share with the hub.
+    """
+    far = near.filter("NOT ok")
+    open_ = near.join(far.select("hub").distinct(), "hub", "left_semi")
+
+    def unpack(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                for batch in by_bytes(part, "delta"):
+                    tokens = [np.frombuffer(d, np.int64) for d in batch.column("delta").to_pylist()]
+                    if not whole:
+                        tokens = [d[:len(d) - -(-len(d) * percent // (100 + percent)) + 1] for d in tokens]
+                    of = pa.array(np.repeat(np.arange(len(tokens)), [len(d) for d in tokens]))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.concatenate(tokens)), *[batch.column(c).take(of) for c in ("hub", "node", "n", "size", "c")]],
+                        ["token", "hub", "node", "n", "size", "c"])
+        return run
+
+    rows = "token long, hub binary, node binary, n long, size long, c binary"
+    pick = ("hub", "node", "n", "size", "c", "delta")
+    x = open_.filter("size > 0").select(*pick).mapInArrow(unpack(False), rows)
+    y = far.select(*pick).mapInArrow(unpack(True), rows)
+    close = (f"x.hub = y.hub AND x.token = y.token AND x.c <> y.c AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND "
+             f"{100 + percent} * abs(x.size - y.size) <= {100 - percent} * (x.n + y.n)")
+    return x.alias("x").join(y.alias("y"), F.expr(close)).select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _close(percent: int) -> str:
@@ -137,10 +193,11 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
 
     1. Equal sets are one node.  A node's prefix is its first shingles in an order that puts frequent ones last.
     2. Nodes with one prefix and size form a group; only groups' prefixes are spread into buckets.
-    3. In every bucket groups are verified against one of them, in every group members against one of them.
-       This joins the great groups of copies without pairing their members.
-    4. Buckets that still hold several components are expanded to members; pairs of different components
-       that sizes and places allow are verified.  Pairs within a component would change nothing.
+    3. In every bucket groups are compared with its hub, the one with the fewest rare shingles, in every group
+       members with one of them.  This joins the great groups of copies without pairing their members.
+    4. Nodes of one hub that are of different components are paired by what they differ in from the hub.
+    5. Buckets that still hold several components of different hubs are expanded to members; pairs that
+       sizes and places allow are verified.  Pairs within a component would change nothing.
     """
     spark = docs.sparkSession
     named = _named(docs, words)
@@ -150,57 +207,77 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         out = []
         for values in sets:
             if len(values):
-                order = np.argsort(level_of(levels.value, values), kind="stable")[:_prefix(len(values), percent)]
-                out.append((_digest(values), len(values), values[order].tobytes()))
+                level, first = level_of(levels.value, values), _prefix(len(values), percent)
+                order = np.argsort(level, kind="stable")[:first]
+                rare = int(1000 * (level[:ZONE * first] == 0).mean())
+                out.append((_digest(values), len(values), values[order].tobytes(), rare))
         if not out:
             return None
-        node, n, first = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(first, pa.binary())], ["node", "n", "prefix"])
+        node, n, first, rare = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([
+            pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(first, pa.binary()), pa.array(rare, pa.int32())],
+            ["node", "n", "prefix", "rare"])
 
-    nodes = _per_document(docs, words, prefixes, "node binary, n long, prefix binary").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = _per_document(docs, words, prefixes, "node binary, n long, prefix binary, rare int").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"))
     nodes = cut_lineage(nodes.withColumn("prefix_name", F.md5(F.concat(F.col("prefix"), F.col("n").cast("string").cast("binary")))))
     groups = cut_lineage(nodes.groupBy("prefix_name").agg(
-        F.min("node").alias("g"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+        F.min(F.struct("rare", "node")).alias("centre"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"),
+        F.first("prefix").alias("prefix")).select("prefix_name", "members", "n", "prefix", F.col("centre.rare").alias("rare"), F.col("centre.node").alias("g")))
+    # shingles that are in one prefix only open no bucket
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    again = spark.sparkContext.broadcast(counted_levels(groups.select("prefix").mapInArrow(_packed(ranges), "range int, keys binary"), ranges, (2,)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "prefix"):
-                firsts = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
+                firsts = [np.frombuffer(p, np.uint64) for p in batch.column("prefix").to_pylist()]
                 size = np.array([len(f) for f in firsts])
                 of = np.repeat(np.arange(len(size)), size)
                 at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                tokens = np.concatenate(firsts)
+                some = np.flatnonzero(level_of(again.value, tokens))
+                of = pa.array(of[some])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(firsts)), batch.column("g").take(pa.array(of)), batch.column("n").take(pa.array(of)),
-                    pa.array(at.astype(np.int32))], ["bucket", "g", "n", "at"])
+                    pa.array(tokens[some].view(np.int64)), *[batch.column(c).take(of) for c in ("g", "n", "rare")],
+                    pa.array(at[some].astype(np.int32))], ["bucket", "g", "n", "rare", "at"])
 
-    rows = groups.select("g", "n", "prefix").mapInArrow(spread, "bucket long, g binary, n long, at int")
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("g", "n", "at")).alias("hub")).filter("k > 1")
+    rows = cut_lineage(groups.select("g", "n", "rare", "prefix").mapInArrow(spread, "bucket long, g binary, n long, rare int, at int"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("rare", "g", "n", "at")).alias("hub")).filter("k > 1")
     shared = cut_lineage(rows.join(shared, "bucket").select("bucket", "g", "n", "at", "hub"))
-    stars = shared.alias("x").select("g", "n", "at", F.col("hub.g").alias("h"), F.struct(F.col("hub.n"), F.col("hub.at")).alias("y")).filter("g <> h")
-    stars = stars.filter(_close(percent).replace("x.n", "n").replace("x.at", "at")).select(F.col("h").alias("a"), F.col("g").alias("b"))
-    members = cut_lineage(nodes.join(groups.filter("members > 1").select("prefix_name", "g"), "prefix_name").select("node", "g", "n"))
-    tried = cut_lineage(stars.union(members.filter("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))).distinct())
-    links = _verified(tried, docs, words, percent)
+    stars = shared.select("g", "n", "at", "hub").filter("g <> hub.g").filter(_close(percent).replace("x.", "").replace("y.", "hub."))
+    stars = stars.select(F.col("hub.g").alias("a"), F.col("g").alias("b"), F.col("hub.rare").alias("rare"))
+    members = cut_lineage(nodes.join(groups.filter("members > 1").select("prefix_name", "g", F.col("rare").alias("centre")), "prefix_name").select(
+        "node", "g", "n", "centre"))
+    tried = cut_lineage(stars.union(members.filter("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"), "centre")).distinct())
+    compared = _compared(tried, docs, words, percent, levels)
+    links = compared.filter("ok").select("a", "b")
     found = cut_lineage(components(links))
 
+    # every node belongs to the most central hub that it has much in common with
+    near = compared.filter("delta IS NOT NULL").join(tried, ["a", "b"])
+    near = near.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("rare", F.col("a").alias("hub"), "n", "ok", "size", "delta")).alias("m")).select("node", "m.*")
+    near = cut_lineage(near.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component", "rare"))
+    around = _around_hubs(near, percent)
+
     # buckets and groups whose members are of several components
     alone = groups.filter("members = 1").select(F.col("g").alias("node"), "g")
     placed = members.select("node", "g").union(alone).join(found, "node", "left").select(
         "node", "g", F.coalesce("component", "node").alias("c"))
+    placed = placed.join(near.select("node", "hub"), "node", "left").withColumn("h", F.coalesce("hub", "node")).drop("hub")
     placed = cut_lineage(placed.join(shared.select("g").union(members.select("g")).distinct(), "g", "left_semi"))
     spans = placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     open_ = shared.join(spans, "g").groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("bucket")
-    rest = shared.join(open_, "bucket", "left_semi").join(placed, "g").select("bucket", "node", "n", "at", "c")
-    split = members.join(spans.filter("low < high").select("g"), "g", "left_semi").join(placed.select("node", "c"), "node").select(
-        F.xxhash64("g").alias("bucket"), "node", "n", F.lit(0).alias("at"), "c")
+    rest = shared.join(open_, "bucket", "left_semi").join(placed, "g").select("bucket", "node", "n", "at", "c", "h")
+    split = members.join(spans.filter("low < high").select("g"), "g", "left_semi").join(placed.select("node", "c", "h"), "node").select(
+        F.xxhash64("g").alias("bucket"), "node", "n", F.lit(0).alias("at"), "c", "h")
     rest = cut_lineage(rest.union(split))
-    more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket AND x.c < y.c AND {_close(percent)}")).select(
+    more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket AND x.c < y.c AND x.h <> y.h AND {_close(percent)}")).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(around).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut_lineage(more.join(done, ["a", "b"], "left_anti"))
-    links = links.union(_verified(more, docs, words, percent))
+    links = links.union(_compared(more, docs, words, percent, None).filter("ok").select("a", "b"))
     return named, components(links)
 
 
