@@ -22,15 +22,16 @@ def without_white(text: Column) -> Column:
     return text
 
 
-def prefix_sums(rows: DataFrame, order: list[str], value: str) -> DataFrame:
+def prefix_sums(rows: DataFrame, order: list[str], value: str, unique: bool = False) -> DataFrame:
     """Add ``start`` (sum of ``value`` before the row), ``position`` (rows before it), ``total`` and ``rows``.
 
     Rows are range-partitioned by ``order`` and a row number that makes it total, so repeated keys may
     span partitions.  Each partition is summed by itself; one row per partition carries the running
     total to the next.  The placed rows are checkpointed: the sampled boundaries hold for all later reads.
+    ``unique`` says that ``order`` is total by itself.
     """
-    keys = [F.col(c).asc_nulls_first() for c in order] + [F.col("_row")]
-    numbered = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    keys = [F.col(c).asc_nulls_first() for c in order] + ([] if unique else [F.col("_row")])
+    numbered = rows if unique else cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
     placed = cut_lineage(numbered.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     parts = placed.groupBy("_part").agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_count"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

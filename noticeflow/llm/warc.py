@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.llm.common import prefix_sums, text_of
-from noticeflow.session import cut_lineage, scratch_path
+from noticeflow.session import scratch_path
 
 SHARD_BYTES = 64 << 20      # payload bytes of a shard
 ROLL_BYTES = 16 << 20       # compressed bytes of a file, but for its last record
@@ -35,13 +35,12 @@ def plan(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     Pages in the order of page_id are cut into shards by a prefix sum of payload bytes, so a shard's
     content depends on the pages alone, not on how they were read.  Equal payloads meet in a maximum.
     """
-    narrow = cut_lineage(
-        pages.select(*_identity()).groupBy("_id", "_sha1").agg(F.first("_bytes").alias("_bytes"), F.count(F.lit(1)).alias("_copies"))
-    )
-    keepers = narrow.groupBy("_sha1").agg(F.max("_id").alias("_keeper"), F.sum("_copies").alias("_same"))
+    narrow = pages.select(*_identity()).groupBy("_id", "_sha1").agg(F.first("_bytes").alias("_bytes"), F.count(F.lit(1)).alias("_copies"))
+    narrow = narrow.withColumn("_size", (F.col("_bytes") + 1) * F.col("_copies"))
+    sized = prefix_sums(narrow, ["_id", "_sha1"], "_size", unique=True)
+    keepers = sized.groupBy("_sha1").agg(F.max("_id").alias("_keeper"), F.sum("_copies").alias("_same"))
     # only payloads that occur again have to be looked up
     again = keepers.filter("_same > 1").drop("_same")
-    sized = prefix_sums(narrow.withColumn("_size", (F.col("_bytes") + 1) * F.col("_copies")), ["_id", "_sha1"], "_size")
     return sized.join(again, "_sha1", "left").select(
         F.coalesce(F.col("_id").cast("string"), F.lit("null")).alias("_key"), "_sha1",
         F.coalesce("_keeper", "_id").alias("_keeper"), F.expr(f"start div {shard_bytes}").alias("_shard"))
