@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.session import cut_lineage
+from noticeflow.session import cut_lineage, scratch_path
 
 WHITE = " \t\n\x0b\x0c\r"  # [\x20\x09-\x0D]
 
@@ -22,6 +22,14 @@ def without_white(text: Column) -> Column:
     return text
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a compressed table in the shared folder, and read again."""
+    spark = df.sparkSession
+    at = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def prefix_sums(rows: DataFrame, order: list[str], value: str, unique: bool = False) -> DataFrame:
     """Add ``start`` (sum of ``value`` before the row), ``position`` (rows before it), ``total`` and ``rows``.
 

@@ -9,17 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import components, text_of
+from noticeflow.llm.common import components, stored, text_of
 from noticeflow.llm.shingles import _LOWER, _WHITE, by_bytes, mix64, range_hashes, raw_bytes
 from noticeflow.llm.tables import bit_tables, counted_levels, level_of, ranges_of
 from noticeflow.session import cut_lineage
 
 CHARS = 8             # characters of a shingle
 PERCENT = 80          # Jaccard similarity from which lines are linked
-BANDS, BAND = 14, 4   # a pair at 0.8 shares a band with probability 0.999
+BANDS, BAND = 12, 4   # a pair at 0.8 shares a band with probability 0.998
 LEAST_CHARS = 10      # shorter lines always stay
 
 _NEWLINE = 10
+_MARK = 20            # bits of a band key that tell the line, when lines with the key are counted
 _BINS = BANDS * BAND
 
 
@@ -40,17 +41,16 @@ class Lines:
         white = _WHITE[data]
         first = np.zeros(len(data) + 1, bool)
         first[starts] = True
-        # a white byte stays, as a space, if it follows a word of its line and a word of it follows
+        # a white byte stays, as a space, if it follows a word of its line; a line's last one goes at the end
         ends = np.append(starts[1:], len(data))
-        words = np.concatenate(([0], np.cumsum(~white)))
-        line = np.cumsum(first[:-1]) - 1 if len(data) else np.zeros(0, np.int64)
-        line = np.searchsorted(starts, np.arange(len(data)), "right") - 1 if len(data) else line
-        after_word = np.concatenate(([False], ~white[:-1])) & ~first[:-1] if len(data) else white
-        followed = words[ends[line]] > words[1:] if len(data) else white
-        keep = ~white | (after_word & followed)
-        place = np.concatenate(([0], np.cumsum(keep)))
+        keep = ~white
+        keep[1:] |= ~white[:-1] & ~first[1:-1]
+        place = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(keep, out=place[1:])
         self.data = np.where(white, np.uint8(32), _LOWER[data])[keep]
         self.starts, self.ends = place[starts], place[ends]
+        trailing = (self.ends > self.starts) & (np.append(self.data, 0)[self.ends - 1] == 32)
+        self.ends = self.ends - trailing
         lead = (self.data & 0xC0) != 0x80
         self.chars = np.flatnonzero(lead)
         self.first = np.searchsorted(self.chars, self.starts)
@@ -79,9 +79,10 @@ class Lines:
     def bands(self, of: np.ndarray) -> np.ndarray:
         """A key per band of the MinHash signature, by one permutation: the smallest hash of every bin."""
         hashes, owner = self.shingles(of)
-        bin_ = (hashes >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)
+        # the lower half of a hash picks the bin, the whole is the value
+        bin_ = (hashes & np.uint64(0xFFFFFFFF)) * np.uint64(_BINS) >> np.uint64(32)
         least = np.full(len(of) * _BINS, np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(least, owner * _BINS + bin_.astype(np.int64), mix64(hashes))
+        np.minimum.at(least, owner * _BINS + bin_.view(np.int64), hashes)
         least = least.reshape(len(of), _BINS)
         empty = np.iinfo(np.uint64).max
         # an empty bin takes the next one's value, marked with the distance
@@ -110,38 +111,61 @@ def _each(docs: DataFrame, rows, schema: str, columns: tuple[Column, ...] = ())
     return docs.select(*columns, text_of().alias("_text")).mapInArrow(run, schema)
 
 
-def _distinct(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
-    """One line for each name among lines that are long enough, and the names."""
-    names = lines.names()
-    of = np.flatnonzero(lines.long_enough())
-    _, at = np.unique(names[of, 0], return_index=True)
-    return of[at], names
-
-
 def _node(names: np.ndarray) -> pa.Array:
     return pa.array([n.tobytes() for n in names], pa.binary())
 
 
+def _halves(nodes: pa.Array) -> np.ndarray:
+    """The first of the two hashes that name each line."""
+    return np.frombuffer(b"".join(nodes.to_pylist()), np.uint64).reshape(-1, 2)[:, 0]
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those (a, b) whose lines' shingle sets have a Jaccard similarity of PERCENT or more."""
-    spark = docs.sparkSession
-    nodes = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    key = F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")
-    wanted = spark.sparkContext.broadcast(bit_tables(nodes.select(key.alias("key"), F.lit(1).alias("level")), 1))
 
-    def texts(batch, lines):
-        of, names = _distinct(lines)
-        key = names[of, 0].byteswap() >> np.uint64(8)  # the first seven bytes
-        of = of[level_of(wanted.value, key) > 0]
-        return pa.RecordBatch.from_arrays([_node(names[of]), pa.array([lines.raw(i) for i in of], pa.binary())], ["node", "line"])
+def _signed(docs: DataFrame) -> DataFrame:
+    """(node, times, keys) of the lines of each part of the documents: how often it occurs, and its band keys."""
+    def rows(batch, lines):
+        of = np.flatnonzero(lines.long_enough())
+        names = lines.names()
+        _, at, times = np.unique(names[of, 0], return_index=True, return_counts=True)
+        of = of[at]
+        return pa.RecordBatch.from_arrays([
+            _node(names[of]), pa.array(times.astype(np.int32)), pa.array([k.tobytes() for k in lines.bands(of)], pa.binary())],
+            ["node", "times", "keys"])
+
+    return stored(_each(docs, rows, "node binary, times int, keys binary"), "signatures")
+
+
+def _counted(signed: DataFrame, rows, marked: int = 0) -> np.ndarray:
+    """A bit table of the keys that ``rows(batch)`` gives twice or more."""
+    ranges = max(1, int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = ranges_of(rows(batch), ranges)
+            if out is not None:
+                yield out
+
+    return counted_levels(signed.mapInArrow(run, "range int, keys binary"), ranges, (2,), marked)
 
-    found = cut_lineage(_each(docs, texts, "node binary, line binary").join(nodes, "node", "left_semi").groupBy("node").agg(
-        F.first("line").alias("line")))
 
+def _bands_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64).reshape(-1, BANDS)
+
+
+def _with_line(batch: pa.RecordBatch) -> np.ndarray:
+    """Band keys, their lowest bits replaced by a line's own."""
+    low = np.uint64((1 << _MARK) - 1)
+    return ((_bands_of(batch) & ~low) | (_halves(batch.column("node")) & low)[:, None]).ravel()
+
+
+def _twice(batch: pa.RecordBatch) -> np.ndarray:
+    return np.repeat(_halves(batch.column("node")), np.minimum(2, batch.column("times").to_numpy(zero_copy_only=False)))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those (a, b) whose lines' shingle sets have a Jaccard similarity of PERCENT or more."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "x", 1 << 20):
+            for batch in by_bytes(whole, "x"):
                 sets = []
                 for side in ("x", "y"):
                     lines = Lines(batch.column(side).cast(pa.large_binary()).cast(pa.large_string()))
@@ -150,78 +174,86 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     sets.append([np.unique(hashes[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
                 keep = []
                 for x, y in zip(*sets, strict=True):
-                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    same = int(np.isin(x, y, assume_unique=True).sum())
                     keep.append(100 * same >= PERCENT * (len(x) + len(y) - same))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(
-        found.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"))
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "line-links")
+
+
+def _key(node: str) -> Column:
+    return F.conv(F.hex(F.substring(node, 1, 7)), 16, 10).cast("long").alias("key")
+
 
+def _occurrences(docs: DataFrame, repeated: np.ndarray, shared: DataFrame) -> DataFrame:
+    """(_id, _hash, number, node, line): where repeated lines and those of a shared band occur.
 
-def _line_components(docs: DataFrame, repeated: np.ndarray) -> DataFrame:
+    ``line`` is the normalised text of the latter, once in each part of the documents.
+    """
+    candidates = bit_tables(shared.select(_key("node"), F.lit(1).alias("level")), 1)
+    both = docs.sparkSession.sparkContext.broadcast((repeated, candidates))  # tables of fixed size
+
+    def rows(batch, lines):
+        again, banded = both.value
+        of, names = np.flatnonzero(lines.long_enough()), lines.names()
+        head = names[of, 0]
+        known = level_of(banded, head.byteswap() >> np.uint64(8)) > 0
+        pick = known | (level_of(again, head) > 0)
+        of, head, known = of[pick], head[pick], known[pick]
+        _, first = np.unique(head, return_index=True)
+        with_text = np.zeros(len(of), bool)
+        with_text[first] = True
+        with_text &= known
+        text = pa.array(lines.text[of])
+        return pa.RecordBatch.from_arrays([
+            batch.column("_id").take(text), batch.column("_hash").take(text), pa.array(lines.number[of].astype(np.int32)), _node(names[of]),
+            pa.array([lines.raw(i) if t else None for i, t in zip(of.tolist(), with_text.tolist(), strict=True)], pa.binary())],
+            ["_id", "_hash", "number", "node", "line"])
+
+    return stored(_each(docs, rows, "_id long, _hash long, number int, node binary, line binary", _document()), "line-occurrences")
+
+
+def _line_components(shared: DataFrame, seen: DataFrame) -> DataFrame:
     """(node, component) of the lines that are similar to another one.
 
     Lines that share a band are verified against the first of the band; bands that then still hold
     several components are paired across components.  So a great group of near copies is joined by one
     comparison a line, and no pair of a band that could join two components is left out.
     """
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(repeated)
-
-    def banded(batch, lines):
-        of, names = _distinct(lines)
-        keys = lines.bands(of)
-        line, band = np.nonzero(level_of(table.value, keys.ravel()).reshape(keys.shape))
-        return pa.RecordBatch.from_arrays([
-            pa.array(keys[line, band].view(np.int64)), _node(names[of[line]]),
-            pa.array((lines.last - lines.first)[of[line]].astype(np.int32))], ["bucket", "node", "n"])
-
-    rows = _each(docs, banded, "bucket long, node binary, n int").distinct()
-    rows = cut_lineage(rows)
-    hubs = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("node", "n")).alias("hub")).filter("k > 1").drop("k")
-    shared = cut_lineage(rows.join(hubs, "bucket"))
-    # shingle counts of similar lines are as close as their sets' sizes; repeats inside a line may hide some, so
-    # lengths are not compared
-    tried = cut_lineage(shared.filter("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = _verified(tried, docs)
+    texts = stored(seen.filter("line IS NOT NULL").groupBy("node").agg(F.first("line").alias("line")), "line-texts")
+    tried = stored(shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "line-pairs")
+    links = _verified(tried, texts)
     found = cut_lineage(components(links))
     placed = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
-    rest = cut_lineage(placed.join(mixed, "bucket", "left_semi"))
+    rest = stored(placed.join(mixed, "bucket", "left_semi"), "line-rest")
     more = rest.alias("x").join(rest.alias("y"), F.expr("x.bucket = y.bucket AND x.c < y.c")).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = cut_lineage(more.join(tried, ["a", "b"], "left_anti"))
-    return cut_lineage(components(links.union(_verified(more, docs))))
+    more = more.join(tried, ["a", "b"], "left_anti")
+    return cut_lineage(components(links.union(_verified(more, texts))))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(_id, _hash, drop): for each document that loses lines, their numbers; documents are told by id and text."""
     spark = docs.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def keys(batch, lines):
-        of, names = _distinct(lines)
-        every = names[lines.long_enough(), 0]
-        return ranges_of(np.concatenate((lines.bands(of).ravel(), every)), ranges)
-
-    repeated = counted_levels(_each(docs, keys, "range int, keys binary"), ranges, (2,))
-    found = _line_components(docs, repeated)
-    members = found.select(F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long").alias("key"), F.lit(1).alias("level"))
-    both = spark.sparkContext.broadcast((repeated, bit_tables(members, 1)))
-
-    def occurrences(batch, lines):
-        again, linked = both.value
-        of, names = np.flatnonzero(lines.long_enough()), lines.names()
-        head = names[of, 0]
-        of = of[(level_of(again, head) > 0) | (level_of(linked, head.byteswap() >> np.uint64(8)) > 0)]
-        text = pa.array(lines.text[of])
-        return pa.RecordBatch.from_arrays([
-            batch.column("_id").take(text), batch.column("_hash").take(text), pa.array(lines.number[of].astype(np.int32)),
-            _node(names[of])], ["_id", "_hash", "number", "node"])
-
-    seen = cut_lineage(_each(docs, occurrences, "_id long, _hash long, number int, node binary", _document()).distinct())
-    rooted = seen.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    signed = _signed(docs)
+    table = spark.sparkContext.broadcast(_counted(signed, _with_line, _MARK))
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _bands_of(batch)
+            line, band = np.nonzero(level_of(table.value, keys.ravel() >> np.uint64(_MARK)).reshape(keys.shape))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[line, band].view(np.int64)), batch.column("node").take(pa.array(line))], ["bucket", "node"])
+
+    rows = stored(signed.select("node", "keys").mapInArrow(banded, "bucket long, node binary").distinct(), "bands")
+    hubs = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("bucket", "hub")
+    shared = stored(rows.join(hubs, "bucket"), "shared-bands")
+    seen = _occurrences(docs, _counted(signed, _twice), shared)
+    found = _line_components(shared, seen)
+    rooted = seen.drop("line").distinct().join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "number"))
     keepers = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("k"), first.alias("keep")).filter("k > 1").drop("k")
     lost = rooted.join(keepers, "root").filter(

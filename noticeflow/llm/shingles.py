@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -21,9 +21,16 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return mix64_here(x.copy())
+
+
+def mix64_here(x: np.ndarray) -> np.ndarray:
+    """The same in the array's own place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +69,14 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other:
     """A 64-bit hash of every range of bytes, wherever it lies; ``other`` gives a second, independent one."""
     up, down = powers(len(data) + 1)
     value = (_OTHER if other else _VALUE)[data]
-    total = np.concatenate(([np.uint64(0)], np.cumsum(value * up[:len(data)], dtype=np.uint64)))
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    value *= up[:len(data)]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    out = total[ends]
+    out -= total[starts]
+    out *= down[starts]
+    out += (ends - starts).view(np.uint64)
+    return mix64_here(out)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +93,10 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     n = max(0, len(word) - words + 1)
     shingle = np.zeros(n, np.uint64)
     for i in range(words):
-        shingle = mix64(shingle * _STEP + word[i:i + n] + np.uint64(1)) if n else shingle
+        shingle *= _STEP
+        shingle += word[i:i + n]
+        shingle += np.uint64(1)
+        mix64_here(shingle)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:

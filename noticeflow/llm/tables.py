@@ -48,10 +48,11 @@ def ranges_of(keys: np.ndarray, ranges: int) -> pa.RecordBatch | None:
         [pa.array([p for p, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["range", "keys"])
 
 
-def counted_levels(packed: DataFrame, ranges: int, steps: tuple[int, ...]) -> np.ndarray:
+def counted_levels(packed: DataFrame, ranges: int, steps: tuple[int, ...], marked: int = 0) -> np.ndarray:
     """Bit tables of the keys in ``packed`` (range int, keys binary): level l for steps[l - 1] occurrences or more.
 
-    Keys travel as sorted runs of eight bytes each; a task counts one of the ranges.
+    Keys travel as sorted runs of eight bytes each; a task counts one of the ranges.  With ``marked`` the
+    lowest bits of a key tell where it occurs: equal keys count once, and the table is asked without these bits.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -60,6 +61,8 @@ def counted_levels(packed: DataFrame, ranges: int, steps: tuple[int, ...]) -> np
                 held.setdefault(r, []).append(blob)
         while held:
             keys = np.sort(np.frombuffer(b"".join(held.popitem()[1]), np.uint64))
+            if marked:
+                keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] >> np.uint64(marked)
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             level = np.searchsorted(steps, np.diff(np.append(first, len(keys))), "right")
             some = level > 0
