@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,6 @@ BESIDE_NAMES = re.compile(
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
-_BREAK = "\x00"
 
 
 @dataclass
@@ -52,7 +51,6 @@ class Node:
     path: int
     beside: bool
     main: bool
-    inner: bool = field(default=False)
 
 
 def _name(*parts) -> int:
@@ -144,16 +142,55 @@ def host_of(url: str | None) -> str:
     return match[1].lower() if match else ""
 
 
+@dataclass
+class Block:
+    """Text between two block boundaries; ``slot`` counts the template tokens before it."""
+
+    path: int
+    main: bool
+    slot: int
+    text: str
+
+
+def blocks(page: str, template: frozenset[int] = frozenset()) -> Iterator[Block]:
+    """The blocks of a page that do not stand beside the main text, character references decoded."""
+    parts: list[str] = []
+    first, slot = None, 0
+
+    def block() -> Iterator[Block]:
+        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+        if text:
+            yield Block(first.path if first else 0, bool(first and first.main), slot, text)
+        parts.clear()
+
+    place: list[Node] = []
+    for kind, node, text in events(page):
+        if kind == "text":
+            if not (node and node.beside):
+                if not parts:
+                    first = place[-1] if place else None
+                parts.append(text)
+        elif kind == "break" or node.tag not in INLINE:
+            yield from block()
+            if kind == "open":
+                place.append(node)
+            elif kind == "close" and place:
+                place.pop()
+            if kind != "break" and node.path in template:
+                slot += 1
+    yield from block()
+
+
 def page_tokens(page: str) -> tuple[dict[int, int], dict[int, int]]:
-    """Occurrences of the element tokens, and of the text-run tokens, on a page."""
+    """Occurrences of the element tokens, and of the text tokens (whole blocks), on a page."""
     tags: dict[int, int] = {}
     texts: dict[int, int] = {}
-    for kind, node, text in events(page):
+    for kind, node, _ in events(page):
         if kind == "open":
             tags[node.path] = tags.get(node.path, 0) + 1
-        elif kind == "text" and (run := _SPACE.sub(" ", text).strip()):
-            name = _name(node.path if node else 0, run)
-            texts[name] = texts.get(name, 0) + 1
+    for block in blocks(page):
+        name = _name(block.path, block.text)
+        texts[name] = texts.get(name, 0) + 1
     return tags, texts
 
 
@@ -218,8 +255,8 @@ def templates(pages: DataFrame) -> DataFrame:
         F.collect_list("token").alias("tokens"), F.collect_list("class").alias("classes")))
 
 
-def _nested(marks: list[tuple[int, int]]) -> set[int]:
-    """Classes valid on a page: their tokens' element spans do not cross those of another class.
+def _crossed(marks: list[tuple[int, int]]) -> set[int]:
+    """Classes that are not valid on a page: element spans of their tokens cross those of another class.
 
     ``marks`` are (class, +1 or -1) at every opening and closing of a template element, in page order.
     """
@@ -233,7 +270,7 @@ def _nested(marks: list[tuple[int, int]]) -> set[int]:
         elif name in open_:
             crossed.add(name)
             open_.remove(name)
-    return {name for name, _ in marks} - crossed
+    return crossed
 
 
 def main_text(page: str, template: dict[int, int]) -> str:
@@ -242,34 +279,18 @@ def main_text(page: str, template: dict[int, int]) -> str:
     The page is read along the template: valid classes nest, what lies between two of their tokens is a
     slot.  Slots inside the page's article or main element hold the text (without one, all slots do),
     unless they or an element in them stand beside it: menus, headers, footers, side bars, notices,
-    adverts, forms, readers' comments.  A text run that is itself a template token fills no slot.
+    adverts, forms, readers' comments.  A block of text that is itself a template token fills no slot.
     """
-    seen = list(events(page))
-    marks = [(template[n.path], 1 if kind == "open" else -1) for kind, n, _ in seen if kind in ("open", "close") and n.path in template]
-    valid = _nested(marks)
-    slots: list[tuple[bool, list[str]]] = []
-    parts: list[str] = []
-    inside = None
-    for kind, node, text in seen:
-        if kind == "text":
-            main = bool(node and node.main)
-            if main is not inside:
-                parts, inside = [], main
-                slots.append((main, parts))
-            if (node and node.beside) or "\x00" in text:
-                text = "" if node and node.beside else text.replace("\x00", "")
-            if text and template.get(_name(node.path if node else 0, _SPACE.sub(" ", text).strip())) not in valid - {None}:
-                parts.append(text)
-        elif kind == "break" or node.tag not in INLINE:
-            if kind != "break" and template.get(node.path) in valid:  # a template token ends a slot
-                parts, inside = [_BREAK], node.main
-                slots.append((node.main, parts))
-            else:
-                parts.append(_BREAK)
-    chosen = [p for main, p in slots if main] if any(main for main, _ in slots) else [p for _, p in slots]
-    blocks = _BREAK.join("".join(p) for p in chosen).split(_BREAK)
-    cleaned = (_SPACE.sub(" ", html.unescape(b)).strip() for b in blocks)
-    return " ".join(b for b in cleaned if b)
+    marks = [(template[n.path], 1 if kind == "open" else -1) for kind, n, _ in events(page) if kind in ("open", "close") and n.path in template]
+    crossed = _crossed(marks)
+    tokens = frozenset(t for t, c in template.items() if c not in crossed)
+    slots: dict[int, list[Block]] = {}
+    for block in blocks(page, tokens):
+        if _name(block.path, block.text) not in tokens:
+            slots.setdefault(block.slot, []).append(block)
+    filled = [b for slot in slots.values() for b in slot]
+    main = [b for b in filled if b.main]
+    return " ".join(b.text for b in main or filled)
 
 
 def extract(pages: DataFrame) -> DataFrame:
