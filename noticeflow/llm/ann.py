@@ -169,19 +169,54 @@ def _hashed(groups: DataFrame, hashing: dict[int, Hashing], query: bool) -> Data
     return groups.select("gid", "v").mapInArrow(run, _HASHED)
 
 
-def _best(key, left: pa.Table, right: pa.Table, keep: int) -> pa.Table:
-    """The ``keep`` nearest of an index block for each query of a query block, by exact inner products."""
-    empty = pa.table({"query": pa.array([], pa.int64()), "gid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+_FOUND = pa.schema([("query", pa.int64()), ("gids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+
+
+def _best(left: pa.Table, right: pa.Table, keep: int) -> pa.Table:
+    """A row for each query of a query block: the ``keep`` nearest of an index block, by exact inner products."""
     if not left.num_rows or not right.num_rows:
-        return empty
+        return _FOUND.empty_table()
     load = lambda t: np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(t.num_rows, -1)
     x, q = load(left), load(right)
     take = min(keep, len(x))
     near = np.argpartition(-(q @ x.T), take - 1, axis=1)[:, :take]
     # the reported product is summed in one order wherever the pair meets, so equal pairs have equal scores
     score = np.stack([(x[near[i]] * q[i]).sum(axis=1) for i in range(len(q))])
-    gid = left.column("gid").to_numpy()[near]
-    return pa.table({"query": np.repeat(right.column("gid").to_numpy(), take), "gid": gid.ravel(), "score": score.ravel()})
+    ends = pa.array(np.arange(len(q) + 1) * take, pa.int32())
+    gids = pa.array(left.column("gid").to_numpy()[near].ravel())
+    return pa.Table.from_arrays([
+        pa.array(right.column("gid").to_numpy()), pa.ListArray.from_arrays(ends, gids), pa.ListArray.from_arrays(ends, pa.array(score.ravel()))],
+        schema=_FOUND)
+
+
+def _merged(keep: int):
+    """Rows sorted by query: the ``keep`` best entries of each query's lists, each entry once."""
+    def top(query: np.ndarray, gid: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((gid, -score, query))
+        query, gid, score = query[order], gid[order], score[order]
+        # an entry met in several tables has the same score, so its repeats follow each other
+        new = np.concatenate(([True], (query[1:] != query[:-1]) | (gid[1:] != gid[:-1]))) if len(query) else np.zeros(0, bool)
+        query, gid, score = query[new], gid[new], score[new]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        few = rank < keep
+        return pa.RecordBatch.from_arrays([pa.array(query[few]), pa.array(gid[few]), pa.array(score[few])], ["query", "gid", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in batches:
+            lists = batch.column("gids")
+            size = np.diff(np.asarray(lists.offsets))
+            held = [np.concatenate(x) for x in zip(held, (
+                np.repeat(batch.column("query").to_numpy(zero_copy_only=False), size), lists.flatten().to_numpy(zero_copy_only=False),
+                batch.column("scores").flatten().to_numpy(zero_copy_only=False)), strict=True)]
+            # the last query may go on in the next batch
+            done = held[0] != held[0][-1] if len(held[0]) else np.zeros(0, bool)
+            if done.any():
+                yield top(*[x[done] for x in held])
+            rest = top(*[x[~done] for x in held])
+            held = [rest.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        yield top(*held)
+    return run
 
 
 def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -214,12 +249,11 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     keep = k + 1 + SPARE
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _best(None, left, right, keep)
+        return _best(left, right, keep)
 
     block = [*bucket, "a", "b"]
-    found = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(pair, "query long, gid long, score double").distinct()
-    order = [F.col("score").desc(), F.col("gid")]
-    found = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("r") <= keep)
+    lists = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(pair, "query long, gids array<long>, scores array<double>")
+    found = lists.repartition("query").sortWithinPartitions("query").mapInArrow(_merged(keep), "query long, gid long, score double")
     # every id of the best entries, then every query with its own row taken out
     ids = found.join(groups.select("gid", "ids"), "gid").select("query", "score", F.explode("ids").alias("vec_id"))
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("r") <= k + 1)
