@@ -26,9 +26,9 @@ def page(i, article, host="site.example", extra=""):
 def pages():
     rows, want = [], []
     for i in range(14):
-        url, html = page(i, f"<h1>Head &amp; {i}</h1><p>First <b>bold</b>\n text{i}<p>Second &lt;&#8364;&gt;<br>line", extra="<p>Same words on every page</p>")
+        url, html = page(i, f"<h1>Head &amp; {i}</h1><p>First <b>bold</b>\n text{i}<p>Second {i} &lt;&#8364;&gt;<br>line {i}", extra="<p>Same words on every page</p>")
         rows.append((i, url, html))
-        want.append(f"Head & {i} First bold text{i} Second <€> line")
+        want.append(f"Head & {i} First bold text{i} Second {i} <€> line {i}")
     rows += [(20, "http://one.example/a", "<div id=nav>Menu</div><p>Alone &amp fine</p><div class='post-body'>Body<span> in</span>side</div>"),
              (21, None, None), (22, None, ""), (23, "no url", "plain text only"), (24, "http://b.example", "<p>open <b>tags <i>never <div class=comment>hid</div> end" + "<b " * 2000),
              (25, "http://c.example", "<!-- never closed <p>text</p>"), (26, "http://d.example", "<p>" + "long words " * 50_000)]
