@@ -88,10 +88,10 @@ def _sets_of(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
-    """(a, b, n, ok, size, delta) of every pair: by their exact intersection, whether the sets are similar.
+    """(a, b, n, ok, size, adds, delta) of every pair: by their exact intersection, whether the sets are similar.
 
     ``delta`` holds what set b has and a lacks, the rarest first, then (salted) what a has and b lacks;
-    ``size`` counts both.  It is left out for pairs that have little in common.
+    ``size`` counts both, ``adds`` the first.  It is left out for pairs that have little in common.
     """
     nodes = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     sets = cut_lineage(_sets_of(docs, words, nodes))
@@ -109,47 +109,120 @@ def _compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int, level
                     more, less = y[~held], x[~np.isin(x, y, assume_unique=True)]
                     more = more[np.argsort(level_of(levels.value, more), kind="stable")]
                     delta = np.concatenate((more, less ^ _SALT)).tobytes()
-                rows.append((len(y), 100 * same >= percent * (len(x) + len(y) - same), size, delta))
-            n, ok, size, delta = zip(*rows, strict=True) if rows else ((), (), (), ())
+                rows.append((len(y), 100 * same >= percent * (len(x) + len(y) - same), size, len(y) - same, delta))
+            n, ok, size, adds, delta = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays([
                 batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(ok, pa.bool_()), pa.array(size, pa.int64()),
-                pa.array(delta, pa.binary())], ["a", "b", "n", "ok", "size", "delta"])
+                pa.array(adds, pa.int64()), pa.array(delta, pa.binary())], ["a", "b", "n", "ok", "size", "adds", "delta"])
 
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("values").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
-    return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary, n long, ok boolean, size long, delta binary"))
+    return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary, n long, ok boolean, size long, adds long, delta binary"))
 
 
-def _around_hubs(near: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of two nodes of one hub that may be similar though one of them is not similar to the hub.
+def _centred(near: DataFrame, percent: int) -> DataFrame:
+    """The nodes of each hub that not all nodes are similar to, seen from what most of them have in common.
 
-    ``near`` has hub, node, n, ok, size, delta and component c.  Two sets differ in the elements that are in
-    just one of their deltas, so if y differs from the hub too much, x has to share elements of its own
-    delta with y: more than (1 - c) / 2 of them, c = (100 - percent) / (100 + percent).  One of its first
-    elements, the rarest, is thus in y's delta.  Nodes are not paired through what they share with the hub.
+    ``near`` has hub, node, n, ok, size, adds and delta.  An element in most deltas of a hub moves to the
+    hub's side, which gives the deltas from a common core that need not be a document.  The node nearest to
+    the core, ``m``, is compared with the others by their deltas: ``joined`` tells that they are similar.
+    A core moves elements that most deltas hold, so it has at most twice as many as an average delta.
     """
-    far = near.filter("NOT ok")
-    open_ = near.join(far.select("hub").distinct(), "hub", "left_semi")
+    open_ = near.join(near.filter("NOT ok").select("hub").distinct(), "hub", "left_semi")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for batch in by_bytes(part, "delta"):
+                tokens = [np.frombuffer(d, np.int64) for d in batch.column("delta").to_pylist()]
+                size = np.array([len(d) for d in tokens])
+                of = np.repeat(np.arange(len(tokens)), size)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                added = at < batch.column("adds").to_numpy(zero_copy_only=False)[of]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(added), batch.column("hub").take(pa.array(of))],
+                                                 ["token", "added", "hub"])
+
+    held = open_.select("hub", "adds", "delta").mapInArrow(unpack, "token long, added boolean, hub binary").groupBy("hub", "token", "added").agg(
+        F.count(F.lit(1)).alias("k"))
+    most = held.join(open_.groupBy("hub").agg(F.count(F.lit(1)).alias("nodes")), "hub").filter("nodes > 2 AND 2 * k > nodes")
+    core = most.groupBy("hub").agg(F.collect_list(F.when(F.col("added"), F.col("token"))).alias("more"),
+                                   F.collect_list(F.when(~F.col("added"), F.col("token"))).alias("less"))
+
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, adds, deltas = [], [], []
+            for d, a, more, less in zip(*[batch.column(c).to_pylist() for c in ("delta", "adds", "more", "less")], strict=True):
+                d = np.frombuffer(d, np.uint64)
+                own, lacks = d[:a], d[a:]
+                more, less = (np.array(t or [], np.int64).view(np.uint64) for t in (more, less))
+                plus = np.concatenate((own[~np.isin(own, more)], less[~np.isin(less, lacks)] ^ _SALT))
+                minus = np.concatenate((lacks[~np.isin(lacks, less)], more[~np.isin(more, own)] ^ _SALT))
+                sizes.append(len(plus) + len(minus))
+                adds.append(len(plus))
+                deltas.append(np.concatenate((plus, minus)).tobytes())
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(c) for c in ("hub", "node", "n")], pa.array(sizes, pa.int64()), pa.array(adds, pa.int64()),
+                pa.array(deltas, pa.binary())], ["hub", "node", "n", "size", "adds", "delta"])
+
+    moved = cut_lineage(open_.select("hub", "node", "n", "adds", "delta").join(core, "hub", "left").select(
+        "hub", "node", "n", "adds", "delta", "more", "less").mapInArrow(centre, "hub binary, node binary, n long, size long, adds long, delta binary"))
+    lead = f"{100 + percent} * size - {100 - percent} * n"
+    middle = moved.groupBy("hub").agg(F.min_by(F.struct("node", "n", "size", "delta"), F.struct(F.expr(lead), "node")).alias("m"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined = []
+            for x, y, n, m in zip(*[batch.column(c).to_pylist() for c in ("delta", "delta_m", "n", "n_m")], strict=True):
+                differ = len(np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                joined.append((100 + percent) * differ <= (100 - percent) * (n + m))
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(c) for c in ("hub", "node", "n", "size", "adds", "delta", "m", "n_m", "size_m")], pa.array(joined, pa.bool_())],
+                ["hub", "node", "n", "size", "adds", "delta", "m", "n_m", "size_m", "joined"])
 
+    return cut_lineage(moved.join(middle, "hub").select(
+        "hub", "node", "n", "size", "adds", "delta", F.col("m.delta").alias("delta_m"), F.col("m.n").alias("n_m"), F.col("m.size").alias("size_m"),
+        F.col("m.node").alias("m")).mapInArrow(
+        compare, "hub binary, node binary, n long, size long, adds long, delta binary, m binary, n_m long, size_m long, joined boolean"))
+
+
+def _around_hubs(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of two nodes of one hub that may be similar though they are not both joined to its middle m.
+
+    ``near`` has the columns of :func:`_centred` and component c.  Two sets differ in the elements that are in
+    just one of their deltas.  With c = (100 - percent) / (100 + percent), similar sets differ in at most
+    c times both sizes; y, not joined to m, has size + size_m > c (n + n_m), so x shares more than half of
+    (size - c n) - (size_m - c n_m) with y's delta, a number that is never negative as m has the least.
+    One of x's first elements, the rarest, is thus in y's delta: nodes are not paired through the core.
+
+    Elements of the core that both lack are shared by many.  Two sets that share nothing the core lacks
+    differ in adds + adds + |lacks - lacks| elements at least, so such an element opens a pair only if
+    that is few enough; all other pairs share a rare element.
+    """
     def unpack(whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in batches:
                 for batch in by_bytes(part, "delta"):
                     tokens = [np.frombuffer(d, np.int64) for d in batch.column("delta").to_pylist()]
                     if not whole:
-                        tokens = [d[:len(d) - -(-len(d) * percent // (100 + percent)) + 1] for d in tokens]
-                    of = pa.array(np.repeat(np.arange(len(tokens)), [len(d) for d in tokens]))
+                        n, size, n_m, size_m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "size", "n_m", "size_m"))
+                        least = ((100 + percent) * (size - size_m) - (100 - percent) * (n - n_m)) // (2 * (100 + percent)) + 1
+                        tokens = [d[:max(0, len(d) - k + 1)] for d, k in zip(tokens, np.maximum(1, least).tolist(), strict=True)]
+                    size = np.array([len(d) for d in tokens])
+                    of = np.repeat(np.arange(len(tokens)), size)
+                    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                    added = at < batch.column("adds").to_numpy(zero_copy_only=False)[of]
+                    of = pa.array(of)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate(tokens)), *[batch.column(c).take(of) for c in ("hub", "node", "n", "size", "c")]],
-                        ["token", "hub", "node", "n", "size", "c"])
+                        pa.array(np.concatenate(tokens)), pa.array(added), *[batch.column(c).take(of) for c in ("hub", "node", "n", "size", "adds", "c")]],
+                        ["token", "added", "hub", "node", "n", "size", "adds", "c"])
         return run
 
-    rows = "token long, hub binary, node binary, n long, size long, c binary"
-    pick = ("hub", "node", "n", "size", "c", "delta")
-    x = open_.filter("size > 0").select(*pick).mapInArrow(unpack(False), rows)
-    y = far.select(*pick).mapInArrow(unpack(True), rows)
+    rows = "token long, added boolean, hub binary, node binary, n long, size long, adds long, c binary"
+    pick = ("hub", "node", "n", "size", "adds", "c", "delta", "n_m", "size_m")
+    x = near.filter("size > 0").select(*pick).mapInArrow(unpack(False), rows)
+    y = near.filter("NOT joined").select(*pick).mapInArrow(unpack(True), rows)
     close = (f"x.hub = y.hub AND x.token = y.token AND x.c <> y.c AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND "
-             f"{100 + percent} * abs(x.size - y.size) <= {100 - percent} * (x.n + y.n)")
+             f"{100 + percent} * abs(x.size - y.size) <= {100 - percent} * (x.n + y.n) AND (x.added OR {100 + percent} * "
+             f"(x.adds + y.adds + abs(x.size - x.adds - y.size + y.adds)) <= {100 - percent} * (x.n + y.n))")
     return x.alias("x").join(y.alias("y"), F.expr(close)).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
@@ -195,7 +268,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     2. Nodes with one prefix and size form a group; only groups' prefixes are spread into buckets.
     3. In every bucket groups are compared with its hub, the one with the fewest rare shingles, in every group
        members with one of them.  This joins the great groups of copies without pairing their members.
-    4. Nodes of one hub that are of different components are paired by what they differ in from the hub.
+    4. Nodes of one hub that are of different components are paired by what they differ in from their common core.
     5. Buckets that still hold several components of different hubs are expanded to members; pairs that
        sizes and places allow are verified.  Pairs within a component would change nothing.
     """
@@ -251,14 +324,14 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         "node", "g", "n", "centre"))
     tried = cut_lineage(stars.union(members.filter("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"), "centre")).distinct())
     compared = _compared(tried, docs, words, percent, levels)
-    links = compared.filter("ok").select("a", "b")
-    found = cut_lineage(components(links))
-
     # every node belongs to the most central hub that it has much in common with
     near = compared.filter("delta IS NOT NULL").join(tried, ["a", "b"])
-    near = near.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("rare", F.col("a").alias("hub"), "n", "ok", "size", "delta")).alias("m")).select("node", "m.*")
-    near = cut_lineage(near.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component", "rare"))
-    around = _around_hubs(near, percent)
+    near = cut_lineage(near.groupBy(F.col("b").alias("node")).agg(
+        F.min(F.struct("rare", F.col("a").alias("hub"), "n", "ok", "size", "adds", "delta")).alias("m")).select("node", "m.*").drop("rare"))
+    centred = _centred(near, percent)
+    links = compared.filter("ok").select("a", "b").union(centred.filter("joined AND m <> node").select("m", "node"))
+    found = cut_lineage(components(links))
+    around = _around_hubs(centred.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), percent)
 
     # buckets and groups whose members are of several components
     alone = groups.filter("members = 1").select(F.col("g").alias("node"), "g")
