@@ -218,7 +218,7 @@ def _occurrences(docs: DataFrame, repeated: np.ndarray, shared: DataFrame) -> Da
 def _line_components(shared: DataFrame, seen: DataFrame) -> DataFrame:
     """(node, component) of the lines that are similar to another one.
 
-    Lines that share a band are verified against the first of the band; bands that then still hold
+    Lines that share a band are verified against the most frequent of the band; bands that then still hold
     several components are paired across components.  So a great group of near copies is joined by one
     comparison a line, and no pair of a band that could join two components is left out.
     """
@@ -245,11 +245,16 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         for batch in batches:
             keys = _bands_of(batch)
             line, band = np.nonzero(level_of(table.value, keys.ravel() >> np.uint64(_MARK)).reshape(keys.shape))
+            of = pa.array(line)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[line, band].view(np.int64)), batch.column("node").take(pa.array(line))], ["bucket", "node"])
-
-    rows = stored(signed.select("node", "keys").mapInArrow(banded, "bucket long, node binary").distinct(), "bands")
-    hubs = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("bucket", "hub")
+                [pa.array(keys[line, band].view(np.int64)), batch.column("node").take(of), batch.column("times").take(of)], ["bucket", "node", "times"])
+
+    rows = signed.mapInArrow(banded, "bucket long, node binary, times int").groupBy("bucket", "node").agg(F.sum("times").alias("times"))
+    rows = stored(rows, "bands")
+    # the line of a band that occurs most often is the one most likely to be the others' origin
+    hubs = rows.groupBy("bucket").agg(F.max(F.struct("times", "node")).alias("most"), F.min("node").alias("low"), F.max("node").alias("high")).filter(
+        "low < high").select("bucket", F.col("most.node").alias("hub"))
+    rows = rows.drop("times")
     shared = stored(rows.join(hubs, "bucket"), "shared-bands")
     seen = _occurrences(docs, _counted(signed, _twice), shared)
     found = _line_components(shared, seen)
