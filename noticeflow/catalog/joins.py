@@ -298,7 +298,7 @@ _BLOCK = """chr(10) || rn || '. ' || title || chr(10) || '   Link: ' || url || c
 
 
 @query("digest", f"""
-    SELECT group_key, 0 AS page, 1 AS n_pages,
+    SELECT group_key,
       CASE WHEN reply IS NOT NULL THEN 'Re: ' || reply
            WHEN n > 1 THEN 'Opportunità formatore IA PNRR: ' || name || ' — ' || n || ' avvisi'
            WHEN due <> 'non specificata' THEN 'Opportunità formatore IA PNRR: ' || name || ' (scade ' || due || ')'
@@ -355,10 +355,11 @@ def q_top_k(spark, sf_dir):
     return ranking.top_k(rows, ["school_code"], 3, "seq").select("school_code", "item_id", "rank")
 
 
-@query("order_newest", f"SELECT item_key, stage FROM {FEED.sql} ORDER BY ts DESC LIMIT 100")
+@query("order_newest", f"SELECT item_key, stage, row_number() OVER (ORDER BY ts DESC, seq) AS position FROM {FEED.sql}")
 def q_newest(spark, sf_dir):
-    rows = FEED.df(spark, sf_dir)
-    return ranking.limit_ordered(rows, 100, F.desc("ts")).select("item_key", "stage")
+    age = FEED.df(spark, sf_dir).withColumn("age", -F.unix_micros(F.col("ts").cast("timestamp")))
+    placed = ranking.ordinal(age.select("item_key", "stage", "age", "seq", F.col("ts").alias("updated_at")), [], ["age", "seq"], "position")
+    return reports.decision_trail(placed).select("item_key", "stage", "position")
 
 
 @query("order_progressive", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS position FROM customer")

@@ -126,7 +126,8 @@ _OPP = {
     "seq": "event_id",
 }
 OPP_BATCH = View("events", _OPP, where="ts >= timestamp '2024-01-10 00:00:00'")
-OPP_HISTORY = View("events", _OPP, where="ts < timestamp '2024-01-02 00:00:00'")
+OPP_HISTORY = View("events", _OPP, where="ts < timestamp '2024-01-10 00:00:00'")
+OPP_ALL = View("events", _OPP)
 _OPP_STATE_SQL = f"""(SELECT opp_key, arg_min(title, seq) AS title, arg_max(deadline, seq) AS deadline, arg_min(first_seen, seq) AS first_seen,
     arg_max(last_seen, seq) AS last_seen, arg_max(confidence, seq) AS confidence FROM {OPP_HISTORY.sql} GROUP BY opp_key)"""
 
@@ -216,9 +217,9 @@ def q_checkpoint(spark, sf_dir):
     SELECT p.school_code, p.school_name, p.region, p.cup, p.clp, o.title, o.opp_key AS url, o.deadline,
       CASE WHEN strptime(o.deadline, '%d/%m/%Y') < timestamp '2024-01-20 00:00:00' THEN 'scaduta' ELSE 'aperta' END AS status,
       o.opportunity_type, o.confidence, '' AS published, o.first_seen, o.last_seen
-    FROM {OPP_BATCH.sql} o JOIN {PROJECTS.sql} p ON o.school_code = p.school_code""")
+    FROM {OPP_ALL.sql} o JOIN {PROJECTS.sql} p ON o.school_code = p.school_code""")
 def q_export(spark, sf_dir):
-    rows = OPP_BATCH.df(spark, sf_dir).join(PROJECTS.df(spark, sf_dir), "school_code")
+    rows = OPP_ALL.df(spark, sf_dir).join(PROJECTS.df(spark, sf_dir), "school_code")
     archive = rows.withColumn("url", F.col("opp_key")).withColumn("published", F.lit(""))
     return reports.export_opportunities(archive, datetime(2024, 1, 20).date())
 

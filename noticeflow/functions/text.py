@@ -147,9 +147,6 @@ def first_non_empty(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
-
 
 def truncate_text(c: Column, limit: int) -> Column:
     return F.substring(c, 1, limit)
@@ -175,10 +172,11 @@ def _entity_tables() -> tuple[str, str]:
 
 def _code_point(token: Column) -> Column:
     """Character for ``&#n;`` / ``&#xh;``: Windows-1252 for 128-159, U+FFFD out of range."""
-    body = F.regexp_replace(token, "^&#|;$", "")
-    number = F.when(
-        F.lower(F.left(body, F.lit(1))) == "x", F.conv(F.substring(body, 2, 12), 16, 10)
-    ).otherwise(F.left(body, F.lit(12))).cast("bigint")
+    is_hex = F.lower(F.substring(token, 3, 1)) == "x"
+    # leading zeros do not count; what is left of more than eight digits is out of range
+    digits = F.regexp_replace(token, "^&#[xX]?0*+|;$", "")
+    digits = F.when(F.length(digits) > 8, F.lit("99999999")).when(digits == "", F.lit("0")).otherwise(digits)
+    number = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
     windows = "".join(bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0))
     as_utf32 = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
     return (

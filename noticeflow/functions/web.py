@@ -10,8 +10,9 @@ _INVISIBLE = (
     r"(?is)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<![^>]*>|<\?[^>]*>"
     r"|<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|\z)"
 )
-_TAG = r"""<(?:/?[a-zA-Z])(?:"[^"]*"|'[^']*'|[^'">])*>"""
-_ANCHOR = r"""(?is)<a\s((?:"[^"]*"|'[^']*'|[^'">])*)>(.*?)(?:</a\s*>|(?=<a\s)|\z)"""
+# possessive runs: no step back and no nesting per character, however long a tag or text is
+_TAG = r"""<(?:/?[a-zA-Z])(?:"[^"]*+"|'[^']*+'|[^'">]++)*+>"""
+_ANCHOR = r"""(?is)<a\s((?:"[^"]*+"|'[^']*+'|[^'">]++)*+)>(.*?)(?:</a\s*>|(?=<a\s)|\z)"""
 _HREF = r"""(?is)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
@@ -52,7 +53,7 @@ def xml_to_text(xml: Column) -> Column:
     clean = F.regexp_replace(xml, r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>", "")
     cdata = r"(?s)<!\[CDATA\[(.*?)\]\]>"
     texts = F.regexp_extract_all(
-        clean, F.lit(r"(?s)<[A-Za-z_:][^<>]*(?<!/)>((?:[^<]|<!\[CDATA\[.*?\]\]>)+)"), F.lit(1))
+        clean, F.lit(r"(?s)<[A-Za-z_:][^<>]*(?<!/)>((?:[^<]++|<!\[CDATA\[.*?\]\]>)++)"), F.lit(1))
     decoded = F.transform(texts, lambda t: collapse_ws(
         F.when(F.contains(t, F.lit("<![CDATA[")), F.regexp_replace(t, cdata, "$1")).otherwise(html_unescape(t))))
     return F.array_join(F.filter(decoded, lambda t: t != ""), " ")

@@ -11,8 +11,6 @@ from noticeflow.functions.text import confidence_word, yes_no
 from noticeflow.operators.ranking import ordinal
 from noticeflow.schemas import EXPORT_COLUMNS
 
-BLOCKS_PER_PAGE = 500
-
 
 def run_stats(funnel: DataFrame, schools: DataFrame) -> DataFrame:
     """One-row run summary from the funnel table and the polled schools (column ``supported``)."""
@@ -62,12 +60,12 @@ _DIGEST_COLUMNS = (
 )
 
 
-def digest(entries: DataFrame, order: list[str]) -> DataFrame:
-    """Message text per group, in pages of numbered blocks: group_key, page, n_pages, subject, body.
+def digest_parts(entries: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Messages in two tables of the same shape at any size.
 
-    Concatenating a group's pages in order gives its message; almost every group has one page.
-    Positions come from the skew-safe ranking, so no task ever gathers more than one page.
-    Entries: group_key, school_name, school_code, region, cup, clp, amount, title, url,
+    Headers: one row per group (group_key, n, subject, header).  Blocks: one per entry (group_key,
+    block_no, text), numbered in ``order``.  Positions come from the skew-safe ranking, so no task gathers
+    a group.  Entries: group_key, school_name, school_code, region, cup, clp, amount, title, url,
     opportunity_type, deadline, confidence, ai_used, reason, reply_subject.
     """
     def text(c: str) -> Column:
@@ -82,18 +80,10 @@ def digest(entries: DataFrame, order: list[str]) -> DataFrame:
         F.lit(" | Affidabilità: "), confidence_word(F.col("confidence")),
         F.lit(" | Verifica IA: "), yes_no(F.col("ai_used")),
         F.lit("\n   Perché: "), text("reason"), F.lit("\n"))
-    page = F.floor((F.col("block_no") - 1) / BLOCKS_PER_PAGE).cast("int")
-    first = F.col("block_no") == 1
-    # the page number is part of the shuffle key: a page holds at most BLOCKS_PER_PAGE blocks
-    pages = numbered.select("group_key", page.alias("page"), F.struct("block_no", block.alias("t")).alias("_b"),
-                            F.when(first, F.struct("school_name", "school_code", "region", "cup", "clp", "amount",
-                                                   "deadline", "reply_subject")).alias("_h"))
-    bodies = pages.groupBy("group_key", "page").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("_b")), lambda b: b["t"]), "").alias("_blocks"))
-    heads = pages.groupBy("group_key").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("page").alias("_last_page"), F.max("_h").alias("_h"))
-    joined = bodies.join(heads, "group_key", "left")
-    h, n = F.col("_h"), F.col("_n")
+    first = F.when(F.col("block_no") == 1, F.struct(
+        "school_name", "school_code", "region", "cup", "clp", "amount", "deadline", "reply_subject"))
+    heads = numbered.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), F.max(first).alias("_h"))
+    h, n = F.col("_h"), F.col("n")
 
     def line(label: str, c: str) -> Column:
         return F.concat(F.lit(label), F.coalesce(h[c], F.lit("")), F.lit("\n"))
@@ -103,10 +93,21 @@ def digest(entries: DataFrame, order: list[str]) -> DataFrame:
         line("Scuola: ", "school_name"), line("Codice meccanografico: ", "school_code"),
         line("Regione: ", "region"), line("CUP: ", "cup"), line("CLP: ", "clp"), line("Importo: ", "amount"),
         F.lit("\nAvvisi trovati ("), n.cast("string"), F.lit("):\n"))
-    return joined.select(
-        "group_key", "page", (F.col("_last_page") + 1).alias("n_pages"),
-        message_subject(h["school_name"], n, h["deadline"], h["reply_subject"]).alias("subject"),
-        F.concat(F.when(F.col("page") == 0, header).otherwise(F.lit("")), F.col("_blocks")).alias("body"))
+    headers = heads.select(
+        "group_key", "n", message_subject(h["school_name"], n, h["deadline"], h["reply_subject"]).alias("subject"), header.alias("header"))
+    return headers, numbered.select("group_key", "block_no", block.alias("text"))
+
+
+def digest(entries: DataFrame, order: list[str]) -> DataFrame:
+    """One message per group: group_key, subject, body.
+
+    The last step of a digest: a message is one value, so its blocks have to meet.  A sender of
+    messages that do not fit a value takes :func:`digest_parts` and streams the blocks.
+    """
+    headers, blocks = digest_parts(entries, order)
+    bodies = blocks.groupBy("group_key").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda b: b["text"]), "").alias("_blocks"))
+    return headers.join(bodies, "group_key").select("group_key", "subject", F.concat("header", "_blocks").alias("body"))
 
 
 def export_opportunities(opportunities: DataFrame, today, strict: bool = False) -> DataFrame:

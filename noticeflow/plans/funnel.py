@@ -52,9 +52,9 @@ class Run:
         return self.as_of.astimezone(timezone.utc).replace(tzinfo=None) if self.as_of.tzinfo else self.as_of
 
 
-def processed_policy(stage: Column, reason: Column) -> Column:
-    """Does this outcome finalise the notice?  Fetch errors only when the document is gone."""
-    return F.when(stage.isin(*FETCH_ERROR_STAGES), keys.http_outcome(reason)).otherwise(
+def processed_policy(stage: Column, fetch_final: Column) -> Column:
+    """Does this outcome finalise the notice?  Fetch errors only when the document is gone, by the whole error."""
+    return F.when(stage.isin(*FETCH_ERROR_STAGES), F.coalesce(fetch_final, F.lit(False))).otherwise(
         ~stage.isin(*RETRIED_STAGES))
 
 
@@ -103,8 +103,9 @@ def screen(notices: DataFrame, registry: DataFrame, processed: DataFrame, texts:
         F.lit("Document-stated application deadline "), format_deadline(F.col("_deadline")),
         F.lit(" has passed (platform-reported expiry was "),
         F.coalesce(F.nullif("expires", F.lit("")), F.lit("unspecified")), F.lit(")."))
+    errors = F.when(F.col("stage") == "enrich_error", F.col("enrich_error")).otherwise(F.coalesce("hydrate_error", F.lit("")))
     return evaluate_once(_first_stage(
-        open_rows,
+        open_rows.withColumn("fetch_final", keys.http_outcome(errors)),
         ("outside_search_window", outside_window(F.col("vendor"), F.col("published"), run.today),
          F.concat(F.lit("Published "), F.col("published"), F.lit(
              f", older than the rolling {vocab.SEARCH_WINDOW_DAYS}-day search window as of today."))),
@@ -154,6 +155,7 @@ RESULT_COLUMNS = (
     "item_key", "school_code", "vendor", "item_id", "title", "url", "published", "school_name", "region", "cup", "clp",
     "amount", "stage", "reason", "confirmed", "confidence", "opportunity_type", "deadline", "ai_used", "ai_error",
     "alert_key", "protocol_ref", "role_signature", "published_date", "same_process", "actionable",
+    "fetch_final", "unverified", "unverified_reason",
 )
 
 
@@ -164,7 +166,9 @@ def decide(notices: DataFrame, registry: DataFrame, texts: DataFrame, verdicts:
     flat = judged.withColumn("confidence", F.col("final.confidence")).withColumn(
         "opportunity_type", F.col("final.opportunity_type")).withColumn(
         "ai_used", F.col("final.ai_used")).withColumn("ai_error", F.col("final.ai_error")).withColumn(
-        "reason", F.coalesce("reason", "final.reason"))
+        "reason", F.coalesce("reason", "final.reason")).withColumn(
+        "unverified", F.col("confirmed") & F.col("unverified")).withColumn(
+        "unverified_reason", F.when(F.col("unverified"), F.left("final.reason", F.lit(vocab.REASON_CHARS))))
     return evaluate_once(flat.select(*RESULT_COLUMNS))
 
 
@@ -200,18 +204,19 @@ def plan_alerts(decided: DataFrame, open_calls: DataFrame, alerts: DataFrame, ru
 def final_decisions(decided: DataFrame, planned: DataFrame) -> DataFrame:
     """Current decision per notice after alerts were planned: stage, reason and whether it is finalised."""
     shape = ["item_key", "school_code", "title", "url", "published", "stage", "reason", "confirmed", "ai_used",
-             "ai_error", "group_key"]
+             "ai_error", "group_key", "fetch_final"]
     left = decided.filter(F.col("stage").isNotNull()).withColumn("group_key", F.lit(None).cast("string"))
     rows = left.select(*shape).unionByName(planned.select(*shape))
-    return rows.withColumn("processed", processed_policy(F.col("stage"), F.col("reason")))
+    return rows.withColumn("processed", processed_policy(F.col("stage"), F.col("fetch_final"))).drop("fetch_final")
 
 
 def decision_log(decided: DataFrame, planned: DataFrame) -> DataFrame:
     """Every (stage, reason) row of the run in order: first exits, unverified matches, confirmations, outcomes."""
     base = ["item_key", "school_code", "title", "url"]
     first = decided.filter(F.col("stage").isNotNull()).select(*base, "stage", "reason", F.lit(3).alias("step"))
-    unverified = decided.filter("confirmed").filter(F.startswith("reason", F.lit("NON VERIFICATO DA AI"))).select(
-        *base, F.lit("confirmed_unverified").alias("stage"), "reason", F.lit(1).alias("step"))
+    # a match by rules alone is logged before the alert history is looked at
+    unverified = decided.filter("unverified").select(
+        *base, F.lit("confirmed_unverified").alias("stage"), F.col("unverified_reason").alias("reason"), F.lit(1).alias("step"))
     confirmed = decided.filter(F.col("stage").isNull()).select(
         *base, F.lit("confirmed").alias("stage"), "reason", F.lit(2).alias("step"))
     outcome = planned.select(*base, "stage", "reason", F.lit(3).alias("step"))

@@ -29,10 +29,6 @@ STATE_COLUMNS = {
     "call_threads": ("thread_id", "school_code", "cup", "clp", "role_signature", "protocol_ref", "status",
                      "subject", "message_id", "last_item_key", "last_title", "created_at", "updated_at"),
 }
-STATE_KEYS = {
-    "processed_items": "item_key", "alerts": "alert_key", "opportunities": "opp_key",
-    "decisions": "item_key", "call_threads": "thread_id",
-}
 TIMESTAMP_COLUMNS = {"first_seen", "last_seen", "created_at", "updated_at"}
 
 REGISTRY = text_schema(*REGISTRY_COLUMNS)

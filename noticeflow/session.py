@@ -25,7 +25,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's shared checkpoint folder; a temporary one only in local mode, where none is configured."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="noticeflow-"))
     return sc.getCheckpointDir()
 
@@ -55,13 +57,3 @@ def evaluate_once(df: DataFrame) -> DataFrame:
     addition per row and leaves column pruning and code generation intact.
     """
     return df.withColumn("_row", F.monotonically_increasing_id()).filter(F.col("_row") >= 0).drop("_row")
-
-
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Give text work all cores when a scan has fewer splits than cores; larger inputs stay as they are.
-
-    A file with one row group is one task however many cores wait.  Anything that already fills the
-    cluster is returned untouched, so this never adds a shuffle to a large table.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,8 +10,7 @@ from noticeflow.functions.web import html_to_text, xml_to_text
 
 def sniff_content(content: Column, url: Column, content_type: Column) -> Column:
     """Route stored bytes by their first characters, then by name and header: pdf, xml, docx, doc, html."""
-    opening = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
-    head = F.lower(F.left(F.regexp_replace(opening, r"^[\t-\r ]+", ""), F.lit(10)))
+    head = F.lower(F.regexp_extract(F.decode(content, "ISO-8859-1"), r"(?s)\A[\t-\r ]*+(.{0,10})", 1))
     name, kind = F.lower(url), F.lower(content_type)
     xml = F.lit(False)
     for mark in ("<?xml", "<rss", "<feed", "<urlset"):
@@ -57,8 +56,3 @@ def assemble_text(parts: DataFrame, key: str = "item_key") -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("rank", "pos", "text")))
     return filled.groupBy(key).agg(
         F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
-
-
-def page_part(text: Column) -> Column:
-    """Slice of a detail page's own text that goes after its attachments."""
-    return F.substring(text, 1, vocab.PAGE_TEXT_CHARS)

@@ -58,12 +58,11 @@ def parse_rss_feed(feeds: DataFrame) -> DataFrame:
 def parse_embedded_json(pages: DataFrame) -> DataFrame:
     """Pages (school_code, albo_id, html) with an escaped JSON attribute -> notices; bad JSON gives no rows."""
     payload = html_unescape(F.regexp_extract("html", _DATA_PAGE, 1))
-    records = pages.select(
+    records = pages.filter(F.trim("albo_id") != "").select(
         "school_code", "albo_id",
         F.explode(F.from_json(payload, _DOCUMENTS)["props"]["documenti"]["data"]).alias("r"))
     doc = F.col("r.documento")
-    falsy = F.nullif(F.nullif(F.col("r.id"), F.lit("")), F.lit("0"))
-    item_id = F.coalesce(falsy, doc["id"])
+    item_id = F.coalesce(F.nullif(F.col("r.id"), F.lit("")), doc["id"])
     rows = records.select(
         "school_code", item_id.alias("item_id"),
         first_non_empty(doc["nome_file_origine"], F.concat(F.lit("Atto "), item_id)).alias("title"),
@@ -121,7 +120,7 @@ def list_category_documents(registry: DataFrame, pages: DataFrame,
     boards = registry.withColumn("_code", code).filter(F.col("_code") != "").select(
         "school_code", F.concat(F.lit(head), F.col("_code"), F.lit(tail)).alias("url"))
     # only pages that lead to the category take part in the first join, as a short reference
-    leads = pages.select("url", F.get(
+    leads = pages.join(boards.select("url"), "url", "left_semi").select("url", F.get(
         F.filter(anchors(F.col("html")), lambda a: a["label"] == target), F.lit(0))["href"].alias("href"))
     category = boards.join(evaluate_once(leads).filter(F.col("href").isNotNull()), "url").select(
         "school_code", url_join(F.col("url"), F.col("href")).alias("url"))

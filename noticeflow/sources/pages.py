@@ -71,8 +71,10 @@ def crawl_frontier(starts: DataFrame, pages: DataFrame, max_pages: int = vocab.M
     each level is one join; at most ``max_pages`` visits bound the number of levels.  A page that is
     not stored is a failed fetch: it uses up a visit and leads nowhere.
     """
-    leads = cut_lineage(leading_links(pages))
     ids = starts.select("start_id", "cup", "clp", url_host(F.col("url")).alias("host"))
+    # a crawl stays on its hosts, so pages of no start's host are neither parsed nor moved
+    pages = pages.join(ids.select(F.col("host").alias("_host")).distinct(), url_host(F.col("url")) == F.col("_host"), "left_semi")
+    leads = cut_lineage(leading_links(pages))
     frontier = starts.select("start_id", "url", F.lit(0).cast("bigint").alias("turn"))
     visited: DataFrame | None = None
     for _ in range(max_pages):
@@ -114,12 +116,6 @@ def _outgoing(visits: DataFrame, leads: DataFrame, ids: DataFrame) -> DataFrame:
     return out.filter(url_host(F.col("a.url")) == F.col("host")).select("start_id", "visit_order", "a.*")
 
 
-def crawl_starts(registry: DataFrame) -> DataFrame:
-    """Start page per organisation: its board page, else its website."""
-    return registry.select(
-        F.col("school_code").alias("start_id"), first_non_empty(F.col("albo_url"), F.col("website")).alias("url"),
-        "cup", "clp").filter(F.col("url") != "")
-
 
 def crawl_to_notices(candidates: DataFrame) -> DataFrame:
     """Crawl candidates (school_code, url, title, content_type) -> notices."""

@@ -32,14 +32,6 @@ def write_registry(registry: DataFrame, path: str) -> None:
     registry.select(*REGISTRY_COLUMNS).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
 
 
-def typed_registry(registry: DataFrame) -> DataFrame:
-    """Typed views of the text columns: amount, funded_date, progressive, is_mapped, has_website."""
-    return registry.select(
-        "*", F.expr("try_cast(amount AS decimal(12,2))").alias("amount_value"),
-        F.try_to_date("funded_date").alias("funded_day"),
-        F.expr("try_cast(progressive AS int)").alias("progressive_no"),
-        (F.trim("vendor") != "").alias("is_mapped"), (F.trim("website") != "").alias("has_website"))
-
 
 def _row_pattern() -> str:
     fields = r"\s+".join(f"({pattern})" for _, pattern in vocab.FUNDED_ROW_FIELDS)

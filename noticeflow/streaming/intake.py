@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from noticeflow.functions.keys import item_key
 from noticeflow.operators import state_ops, threads
-from noticeflow.session import scratch_path
 
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -22,8 +21,10 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
     query.awaitTermination()
 
 
-def stream_new_notices(notices: DataFrame, processed_path: str, checkpoint: str, order: str = "published") -> None:
-    """Append notices never seen before to the processed table, one row per key.
+def stream_new_notices(notices: DataFrame, processed_path: str, checkpoint: str, order: str) -> None:
+    """Append notices never seen before to the processed table, one row per key: the first by ``order``.
+
+    ``order`` is an arrival sequence; a publication date as text would not sort by time.
 
     Partial replays are safe: the batch writes its own folder, so a re-run replaces it.
     """
@@ -48,11 +49,6 @@ def _earlier(spark: SparkSession, path: str, batch_id: int, schema: T.StructType
     return spark.read.schema(stored).parquet(path).filter(F.col("batch") < batch_id).drop("batch")
 
 
-def bounded_dedup(notices: DataFrame, event_time: str, delay: str) -> DataFrame:
-    """Built-in alternative with a bounded memory of keys."""
-    return notices.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["item_key"])
-
-
 def late_notice_filter(notices: DataFrame, today) -> DataFrame:
     """Rolling lower bound for dated search results; a filter, not a watermark - undated rows must pass."""
     from noticeflow.functions.dates import outside_window
@@ -102,7 +98,3 @@ def stream_funnel(notices: DataFrame, tables: Callable[[], dict[str, DataFrame]]
         write_state(state_ops.upsert_opportunity(read_state(spark, root, "opportunities"), archive), root, "opportunities")
 
     run_available(notices, handle, checkpoint)
-
-
-def temporary_table(spark: SparkSession, name: str) -> str:
-    return scratch_path(spark, name)

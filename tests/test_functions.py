@@ -140,3 +140,25 @@ def test_platform_fingerprints(spark):
              "<script src=MADISOFT>", "nothing", "albo_pretorio.php?sede_codice=Q1 customerCode=Z"]
     out = column(spark, pages, lambda c: web.detect_platform(c, F.lit("SC1")))
     assert [tuple(r) for r in out] == [("Spaggiari", "NOIT1"), ("Spaggiari", "AB1"), ("Argo", "sg9"), ("Nuvola", "SC1"), ("", ""), ("Spaggiari", "Q1")]
+
+
+def test_markup_of_any_length(spark):
+    long = "x" * 1_000_000
+    assert column(spark, [f"<a>{long}</a>"], web.xml_to_text) == [long]
+    assert column(spark, [f"<p>a</p><b {long}", f"<b title='{long}'>in</b>"], web.html_to_text) == [f"a <b {long}", "in"]
+    found = column(spark, [f"<a {long} href='/x'>go</a><a {long}"], web.anchors)
+    assert [(a.href, a.label) for a in found[0]] == [("/x", "go")]
+
+
+def test_numeric_entities_of_any_length(spark):
+    samples = ["&#00000000000065;B", "&#x000000000000041;", "&#99999999999999;", "&#xFFFFFFFFFFFF;", "&#000;", "&#65 &#x41"]
+    assert column(spark, samples, text.html_unescape) == [html.unescape(s) for s in samples]
+
+
+def test_content_is_sniffed_behind_any_blanks(spark):
+    from noticeflow.sources.documents import sniff_content
+
+    blank = b" \n" * 5000
+    rows = spark.createDataFrame([(0, blank + b"%PDF-1.7"), (1, blank + b"<?xml version='1.0'?>"), (2, blank)], "i int, c binary")
+    kinds = rows.select("i", sniff_content(F.col("c"), F.lit("a.pdf"), F.lit("")).alias("k")).orderBy("i").collect()
+    assert [r.k for r in kinds] == ["pdf", "xml", "html"]

@@ -103,18 +103,20 @@ def test_ordinal_is_exact_with_a_dominant_key(spark, keys):
     assert got == want
 
 
-def test_digest_pages_are_bounded_and_complete(spark, monkeypatch):
-    monkeypatch.setattr(reports, "BLOCKS_PER_PAGE", 4)
+def test_digest_has_one_shape_at_any_size(spark):
     names = ("school_name", "school_code", "region", "cup", "clp", "amount", "url", "opportunity_type", "deadline", "reason")
-    df = spark.range(11).select(F.lit("g").alias("group_key"), F.col("id").alias("seq"), F.concat(F.lit("T"), F.col("id")).alias("title"),
-                                *[F.lit(n).alias(n) for n in names], F.lit("high").alias("confidence"), F.lit(True).alias("ai_used"),
-                                F.lit(None).cast("string").alias("reply_subject"))
-    pages = sorted(reports.digest(df, ["seq"]).collect(), key=lambda r: r.page)
-    assert [p.n_pages for p in pages] == [3, 3, 3]
-    body = "".join(p.body for p in pages)
+    df = spark.range(1100).select(F.when(F.col("id") < 11, "g").otherwise("big").alias("group_key"), F.col("id").alias("seq"),
+                                  F.concat(F.lit("T"), F.col("id")).alias("title"), *[F.lit(n).alias(n) for n in names],
+                                  F.lit("high").alias("confidence"), F.lit(True).alias("ai_used"), F.lit(None).cast("string").alias("reply_subject"))
+    headers, blocks = reports.digest_parts(df, ["seq"])
+    assert {r.group_key: r.n for r in headers.collect()} == {"g": 11, "big": 1089}
+    assert sorted(r.block_no for r in blocks.filter("group_key = 'big'").collect()) == list(range(1, 1090))
+    messages = {r.group_key: r for r in reports.digest(df, ["seq"]).collect()}
+    body = messages["g"].body
     assert body.count("   Link: url") == 11 and body.index("\n1. T0") < body.index("\n11. T10")
     assert body.startswith("Nuova opportunità") and "Avvisi trovati (11)" in body
-    assert pages[0].subject == "Opportunità formatore IA PNRR: school_name — 11 avvisi"
+    assert messages["g"].subject == "Opportunità formatore IA PNRR: school_name — 11 avvisi"
+    assert messages["big"].body.count("   Link: url") == 1089
 
 
 ALERTS = "alert_key string, school_code string, url string, status string, message_id string, subject string, created_at timestamp, updated_at timestamp"

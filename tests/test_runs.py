@@ -113,7 +113,7 @@ def test_intake_keeps_each_key_once(spark, tables, scratch):
     for n in range(3):
         tables["notices"].coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(tables["notices"].schema).parquet(source)
-        intake.stream_new_notices(stream, f"{scratch}/seen", f"{scratch}/offsets")
+        intake.stream_new_notices(stream, f"{scratch}/seen", f"{scratch}/offsets", order="title")
         assert spark.read.parquet(f"{scratch}/seen").count() == len(CASES)
 
 
@@ -133,3 +133,21 @@ def test_thread_updates_follow_the_whitelist(spark):
         "up": ("S", ["tutor"], None, "sent", "Sub", "t1", True), "re": ("S", ["tutor"], None, "held", None, "t1", True),
         "ho": ("S", ["rup"], "9|1", "held", None, "t1", True), "un": ("S", ["tutor"], None, "held", None, "t0", False),
         "cr": ("X", ["rup"], "9|1", "sent", "Sub", "t1", True)}
+
+
+def test_a_late_404_in_a_long_error_is_final(spark, tables):
+    errors = {"gone": "x" * 400 + " 404 Client Error", "slow": "x" * 400 + " timed out"}
+    texts = tables["texts"].withColumn("hydrate_error", F.lit(""))
+    notices = tables["notices"].filter(F.col("item_id") == "new").drop("item_id").crossJoin(
+        spark.createDataFrame(list(errors.items()), "item_id string, enrich_error string"))
+    decided = funnel.decide(notices, tables["registry"], texts, tables["verdicts"], tables["processed"], tables["alerts"], RUN)
+    got = {r.item_key.split("|")[1]: funnel_row for r in decided.collect() for funnel_row in [(r.stage, r.fetch_final)]}
+    assert got == {"gone": ("enrich_error", True), "slow": ("enrich_error", False)}
+
+
+def test_unverified_matches_are_logged_with_their_reason(outcome):
+    decided, planned = outcome
+    want = {(r.item_key, r.unverified_reason) for r in decided.filter("unverified").collect()}
+    log = funnel.decision_log(decided, planned).filter("stage = 'confirmed_unverified'").collect()
+    assert {(r.item_key, r.reason) for r in log} == want
+    assert all(r.reason.startswith("NON VERIFICATO DA AI") for r in log)
