@@ -124,6 +124,8 @@ def joined(*parts: Column) -> Column:
 
 def term_array(terms, normalized: bool = True) -> Column:
     """A vocabulary as one constant array; duplicates are kept because hit counts depend on them."""
+    if not terms:
+        return F.array().cast("array<string>")
     values = [normalize_term(t) for t in terms] if normalized else list(terms)
     return F.split(F.lit("\n".join(values)), "\n")
 

@@ -26,7 +26,7 @@ def project_lookup(notices: DataFrame, registry: DataFrame, columns: list[str])
     return notices.join(registry.select("school_code", *columns), "school_code", "left")
 
 
-def with_superseded(notices: DataFrame) -> DataFrame:
+def with_superseded(notices: DataFrame, terms=vocab) -> DataFrame:
     """Add ``superseded``: a result act of the same project is as recent as the notice, or undated.
 
     Needs title, published, school_code, cup and clp.  Result acts shrink to one row per project
@@ -39,7 +39,7 @@ def with_superseded(notices: DataFrame) -> DataFrame:
         return (c != "") & F.contains(title, c)
 
     marked = notices.withColumn("_coded", names("cup") | names("clp")).withColumn(
-        "_result", F.col("_coded") & has_any(title, vocab.RESULT_MARKERS, normalized=False)
+        "_result", F.col("_coded") & has_any(title, terms.RESULT_MARKERS, normalized=False)
     ).withColumn("_day", parse_notice_date(F.col("published")))
     results = marked.filter("_result").groupBy("school_code").agg(
         F.max("_day").alias("_last_result"),

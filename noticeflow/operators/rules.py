@@ -23,33 +23,33 @@ def code_hits(text: Column, *codes: Column) -> Column:
     return let(text, lambda t: F.filter(wanted, lambda c: (c != "") & F.contains(t, c)))
 
 
-def kind_window(title: Column, url: Column, text: Column) -> Column:
+def kind_window(title: Column, url: Column, text: Column, chars: int = vocab.KIND_WINDOW_CHARS) -> Column:
     """Early part of a document that tells what kind of act it is."""
-    return normalize_text(F.concat_ws(" ", title, url, F.substring(text, 1, vocab.KIND_WINDOW_CHARS)))
+    return normalize_text(F.concat_ws(" ", title, url, F.substring(text, 1, chars)))
 
 
-def strong_negative(kind: Column, title: Column, hits: Column | None = None) -> Column:
+def strong_negative(kind: Column, title: Column, hits: Column | None = None, terms=vocab) -> Column:
     """Closing or administrative signals in the kind window and in the normalised title.
 
-    ``hits`` holds the window's terms when they were looked up before.
+    ``hits`` holds the window's terms when they were looked up before; ``terms`` are the caller's lists.
     """
-    listed = term_hits(kind, vocab.STRONG_NEGATIVE_TERMS) if hits is None else among(hits, vocab.STRONG_NEGATIVE_TERMS)
+    listed = term_hits(kind, terms.STRONG_NEGATIVE_TERMS) if hits is None else among(hits, terms.STRONG_NEGATIVE_TERMS)
     extra = F.array_compact(F.array(
-        F.when(kind.rlike(vocab.ROLE_ASSIGNMENT), F.lit(vocab.HIT_ROLE_ASSIGNMENT)),
-        F.when(title.rlike(vocab.STANDALONE_DECLARATION), F.lit(vocab.HIT_STANDALONE_DECLARATION)),
-        F.when(title.rlike(vocab.AUTHORISATION_REQUEST), F.lit(vocab.HIT_AUTHORISATION_REQUEST)),
+        F.when(kind.rlike(terms.ROLE_ASSIGNMENT), F.lit(vocab.HIT_ROLE_ASSIGNMENT)),
+        F.when(title.rlike(terms.STANDALONE_DECLARATION), F.lit(vocab.HIT_STANDALONE_DECLARATION)),
+        F.when(title.rlike(terms.AUTHORISATION_REQUEST), F.lit(vocab.HIT_AUTHORISATION_REQUEST)),
     ))
     return F.concat(listed, extra)
 
 
-def external_hits(text: Column) -> Column:
+def external_hits(text: Column, terms=vocab) -> Column:
     """External-candidate terms, the generic applicant checkbox left out."""
-    return term_hits(F.regexp_replace(text, vocab.APPLICANT_CHECKBOX, " "), vocab.EXTERNAL_TERMS)
+    return term_hits(F.regexp_replace(text, terms.APPLICANT_CHECKBOX, " "), terms.EXTERNAL_TERMS)
 
 
-def internal_only(text: Column, internal: Column, external: Column) -> Column:
+def internal_only(text: Column, internal: Column, external: Column, terms=vocab) -> Column:
     """Reserved to internal staff: no external term, or only as a fallback clause."""
-    fallback = text.rlike(vocab.EXTERNAL_FALLBACK_ONLY) & ~text.rlike(vocab.EXTERNAL_ELIGIBILITY)
+    fallback = text.rlike(terms.EXTERNAL_FALLBACK_ONLY) & ~text.rlike(terms.EXTERNAL_ELIGIBILITY)
     return (F.size(internal) > 0) & ((F.size(external) == 0) | fallback)
 
 
@@ -58,10 +58,11 @@ def _top(hits: Column) -> Column:
 
 
 def with_rule_verdict(df: DataFrame, title: str = "title", url: str = "url", text: str = "text",
-                      normalized: str | None = None, cup: str = "cup", clp: str = "clp") -> DataFrame:
+                      normalized: str | None = None, cup: str = "cup", clp: str = "clp", terms=vocab) -> DataFrame:
     """Add ``rule``: struct<is_match, confidence, reason, opportunity_type, deadline, ambiguous>.
 
-    ``normalized`` names a column holding the normalised text when the caller has one already.
+    ``normalized`` names a column holding the normalised text when the caller has one already;
+    ``terms`` are the lists to decide by, see :func:`noticeflow.vocab.own`.
     Each vocabulary scans a document at most once: the two rejecting lists share one look-up, and
     lists that an earlier rule makes irrelevant are not looked up at all.
     """
@@ -70,22 +71,22 @@ def with_rule_verdict(df: DataFrame, title: str = "title", url: str = "url", tex
     staged = df.withColumn("_title", title_n).withColumn("_full", joined(F.col("_title"), url_n, body))
     staged = evaluate_once(staged.withColumn("_kind", kind_window(F.col(title), F.col(url), F.col(text))))
     full, kind, none = F.col("_full"), F.col("_kind"), F.array().cast("array<string>")
-    rejecting = list(dict.fromkeys(map(normalize_term, vocab.STRONG_NEGATIVE_TERMS + vocab.NEGATIVE_TERMS)))
+    rejecting = list(dict.fromkeys(map(normalize_term, terms.STRONG_NEGATIVE_TERMS + terms.NEGATIVE_TERMS)))
     staged = evaluate_once(staged.withColumn("_rejecting", term_hits(kind, rejecting)))
     staged = evaluate_once(staged.withColumn(
-        "_strong", strong_negative(kind, F.col("_title"), F.col("_rejecting"))
-    ).withColumn("_core", term_hits(full, vocab.CALL_CORE_TERMS)))
+        "_strong", strong_negative(kind, F.col("_title"), F.col("_rejecting"), terms)
+    ).withColumn("_core", term_hits(full, terms.CALL_CORE_TERMS)))
     clean = F.size("_strong") == 0
     staged = evaluate_once(staged.withColumn(
-        "_internal", F.when(clean, term_hits(full, vocab.INTERNAL_TERMS)).otherwise(none)
+        "_internal", F.when(clean, term_hits(full, terms.INTERNAL_TERMS)).otherwise(none)
     ).withColumn("_exact", F.when(clean, code_hits(full, F.col(cup), F.col(clp))).otherwise(none)))
     undecided = clean & (F.size("_core") > 0) & (F.size("_exact") == 0)
     staged = evaluate_once(staged.withColumn("_hits", F.struct(
         F.col("_strong").alias("strong"), F.col("_core").alias("core"), F.col("_exact").alias("exact"),
-        F.col("_internal").alias("internal"), among(F.col("_rejecting"), vocab.NEGATIVE_TERMS).alias("negative"),
-        F.when(undecided, term_hits(full, vocab.PROJECT_CONTEXT_TERMS)).otherwise(none).alias("context"),
-        F.when(F.size("_internal") > 0, external_hits(full)).otherwise(none).alias("external"))))
-    reserved = internal_only(full, F.col("_hits.internal"), F.col("_hits.external"))
+        F.col("_internal").alias("internal"), among(F.col("_rejecting"), terms.NEGATIVE_TERMS).alias("negative"),
+        F.when(undecided, term_hits(full, terms.PROJECT_CONTEXT_TERMS)).otherwise(none).alias("context"),
+        F.when(F.size("_internal") > 0, external_hits(full, terms)).otherwise(none).alias("external"))))
+    reserved = internal_only(full, F.col("_hits.internal"), F.col("_hits.external"), terms)
     ruled = staged.withColumn("_reserved", reserved).withColumn(
         "rule", rule_verdict(F.col("_hits"), F.col("_reserved")))
     return evaluate_once(ruled.drop(

@@ -43,7 +43,7 @@ def candidate_page_filter(url: Column, title: Column, text: Column, cup: Column,
     return names(cup) | names(clp) | has_any(head, terms, normalized=False)
 
 
-def leading_links(pages: DataFrame) -> DataFrame:
+def leading_links(pages: DataFrame, terms=vocab) -> DataFrame:
     """Same-host links of every page that a crawl follows or reports: url, links."""
     links = F.transform(anchors(F.col("html")), lambda a, i: F.struct(
         i.alias("pos"), url_clean(url_join(F.col("url"), a["href"])).alias("url"), a["label"].alias("label")))
@@ -54,11 +54,11 @@ def leading_links(pages: DataFrame) -> DataFrame:
         return F.lower(F.concat_ws(" ", a["url"], a["label"]))
 
     inside = F.filter("links", lambda a: a["url"].isNotNull() & (url_host(a["url"]) == host)
-                      & ~has_any(haystack(a), vocab.NOISE_TERMS, normalized=False))
+                      & ~has_any(haystack(a), terms.NOISE_TERMS, normalized=False))
     told = F.transform(inside, lambda a: F.struct(
         a["pos"].alias("pos"), a["url"].alias("url"), a["label"].alias("label"),
-        has_any(haystack(a), vocab.SECTION_TERMS, normalized=False).alias("section"),
-        has_any(haystack(a), vocab.CANDIDATE_TERMS, normalized=False).alias("candidate")))
+        has_any(haystack(a), terms.SECTION_TERMS, normalized=False).alias("section"),
+        has_any(haystack(a), terms.CANDIDATE_TERMS, normalized=False).alias("candidate")))
     kept = F.filter(told, lambda a: a["section"] | a["candidate"])
     return evaluate_once(facts.select("url", kept.alias("links"))).filter(F.size("links") > 0)
 

@@ -4,6 +4,9 @@ Everything in this module is data, not logic.  The values are fixed because resu
 depend on them verbatim; callers can pass their own lists to every operator.
 """
 
+from types import SimpleNamespace
+
+
 # --- fixed values: programme and call vocabulary -------------------------------------
 PROJECT_CONTEXT_TERMS = (
     "dm 219/2025", "d.m. 219/2025", "dm 219_2025", "d.m. 219", "dm219", "dm 219",
@@ -272,3 +275,11 @@ CONFIDENCE_IT = {"high": "alta", "medium": "media", "low": "bassa"}
 UNKNOWN_DEADLINES = ("", "unknown", "sconosciuto", "non specificata", "non specificato")
 STATUS_OPEN, STATUS_EXPIRED, STATUS_UNKNOWN = "aperta", "scaduta", "scadenza sconosciuta"
 DEFAULT_TYPE, DEFAULT_DEADLINE = "sconosciuto", "non specificata"
+
+
+def own(**lists) -> SimpleNamespace:
+    """These values with some replaced by the caller's, for every operator that takes ``terms``."""
+    unknown = lists.keys() - globals().keys()
+    if unknown:
+        raise KeyError(f"no such lists: {sorted(unknown)}")
+    return SimpleNamespace(**{k: v for k, v in globals().items() if k.isupper()} | lists)

@@ -95,3 +95,16 @@ def test_gate(spark):
     assert (out[7].final.confidence, out[7].final.ai_used, out[7].final.deadline) == ("low", True, "non specificata")
     free = {r.i: r.gate_stage for r in rules.with_gate(df, verification_required=False).collect()}
     assert free[3] is None and free[4] is None
+
+
+def test_callers_bring_their_own_lists(spark):
+    from noticeflow import vocab
+
+    df = spark.createDataFrame([("Bando zebra", "u", "testo zebra per tutti", "", "")], "title string, url string, text string, cup string, clp string")
+    mine = vocab.own(CALL_CORE_TERMS=("zebra",), PROJECT_CONTEXT_TERMS=("testo", "tutti", "per"), STRONG_NEGATIVE_TERMS=(), NEGATIVE_TERMS=())
+    assert not rules.with_rule_verdict(df).first().rule.is_match
+    assert rules.with_rule_verdict(df, terms=mine).first().rule.is_match
+    closed = vocab.own(CALL_CORE_TERMS=("zebra",), STRONG_NEGATIVE_TERMS=("bando",))
+    assert not rules.with_rule_verdict(df, terms=closed).first().rule.is_match
+    with pytest.raises(KeyError):
+        vocab.own(NO_SUCH_LIST=())
