@@ -9,7 +9,7 @@ from noticeflow.llm.common import text_of
 from noticeflow.session import cut_lineage
 
 MARGINS = ("source", "lang", "topic")
-TEMPERATURE = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+TEMPERATURE = {"source": 0.85, "lang": 0.9, "topic": 0.95}
 SWEEPS_A_ROUND = 4
 CELLS_A_PARTITION = 100_000
 HASH_RANGE = 2**52
