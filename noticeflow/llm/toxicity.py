@@ -17,10 +17,10 @@ from noticeflow.llm.common import text_of
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1200, 3600     # labelled rows at most that a model is fitted on
 SAMPLE_BYTES = 16_000                          # longer labelled texts are not sampled for fitting
-ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 2048   # dictionary sizes
+ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 16 << 10   # dictionary sizes
 WINDOW, STRIDE, LEVEL = 96, 48, 9
-GRAM = 5
-LEAST_RATE, LEAST_ROWS, LEAST_RATIO = 0.01, 3, 60.0
+GRAMS, BEFORE = range(5, 11), 6                # sizes of n-grams, bytes before one that tell copies of it
+LEAST_ROWS, LEAST_RATIO = 4, 30.0
 RIDGE = 0.05
 
 _SCORED = "doc_id long, held_out boolean, score double"
@@ -33,48 +33,72 @@ def held_out(doc_id: Column) -> Column:
 
 
 def plain(text: str) -> bytes:
-    return _BLANK.sub(" ", text.lower()).strip().encode()
+    """White space runs one space; words get a capital letter and small ones, so that a match tells a word's beginning."""
+    return _BLANK.sub(" ", text.title()).strip().encode()
 
 
-def _grams(text: bytes) -> np.ndarray:
+def _grams(text: bytes, size: int) -> np.ndarray:
     data = np.frombuffer(text, np.uint8).astype(np.uint64)
-    n = max(0, len(data) - GRAM + 1)
-    code = np.zeros(n, np.uint64)
-    for i in range(GRAM):
-        code = (code << np.uint64(8)) | data[i:i + n]
+    n = max(0, len(data) - size + 1)
+    code = np.full(n, size, np.uint64)
+    for i in range(size):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + data[i:i + n]
+        code ^= code >> np.uint64(29)
     return code
 
 
-def _row_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([np.unique(_grams(t)) for t in texts] + [np.zeros(0, np.uint64)]), return_counts=True)
+def _rows_apart(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of the texts and in how many rows each follows other bytes; so copies of a passage count once."""
+    grams, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for text in texts:
+        found, at = np.unique(_grams(text, size), return_index=True)
+        before = _grams(b" " * BEFORE + text, BEFORE)[at]
+        grams.append(found)
+        places.append(found * np.uint64(0x9E3779B97F4A7C15) ^ before)
+    _, at = np.unique(np.concatenate(places), return_index=True)
+    return np.unique(np.concatenate(grams)[at], return_counts=True)
+
+
+def _rows_with(grams: np.ndarray, texts: list[bytes], size: int) -> np.ndarray:
+    """In how many of the texts each of the sorted ``grams`` occurs."""
+    rows = np.zeros(len(grams), np.int64)
+    for text in texts:
+        rows += np.isin(grams, _grams(text, size))
+    return rows
 
 
 def _telling_spans(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Spans of the toxic texts whose byte n-grams occur in far more toxic than ordinary rows."""
-    grams, rows = _row_counts(toxic)
-    known, others = _row_counts(ordinary)
-    at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
-    other = np.where(known[at] == grams, others[at], 0) if len(known) else np.zeros(len(grams))
-    rate = rows / max(1, len(toxic))
-    telling = grams[(rows >= LEAST_ROWS) & (rate >= LEAST_RATE)
-                    & (rate >= LEAST_RATIO * (other + 0.5) / max(1, len(ordinary)))]
+    """Spans of the toxic texts whose byte n-grams of some size occur in far more toxic than ordinary rows."""
+    toxic, ordinary = [[b" " + t for t in texts] for texts in (toxic, ordinary)]
+    inside = [np.zeros(len(t), bool) for t in toxic]
+    for size in GRAMS:
+        grams, rows = _rows_apart(toxic, size)
+        # what would tell if no ordinary row held it
+        rate = rows / max(1, len(toxic))
+        likely = (rows >= LEAST_ROWS) & (rate >= LEAST_RATIO * 0.5 / max(1, len(ordinary)))
+        grams, rate = grams[likely], rate[likely]
+        telling = grams[rate >= LEAST_RATIO * (_rows_with(grams, ordinary, size) + 0.5) / max(1, len(ordinary))]
+        for text, marks in zip(toxic, inside, strict=True):
+            for at in np.flatnonzero(np.isin(_grams(text, size), telling)):
+                marks[at:at + size] = True
     spans = []
-    for text in toxic:
-        hit = np.isin(_grams(text), telling).astype(int)
-        if not hit.any():
-            continue
-        inside = np.convolve(hit, np.ones(GRAM, int)) >= 2
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
+    for text, marks in zip(toxic, inside, strict=True):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], marks.view(np.int8), [0]))))
         spans += [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
     return spans
 
 
+def _frequent(samples: list[bytes], size: int) -> bytes:
+    """The different samples, most frequent last."""
+    return b" ".join(s for s, _ in reversed(Counter(samples).most_common()))[-size:]
+
+
 def _dictionary(samples: list[bytes], size: int, k: int, d: int) -> bytes:
     """A trained dictionary; samples too few to train on are taken as they are, most frequent last."""
     try:
         return zstd.train_dictionary(size, [s.ljust(8) for s in samples], k=k, d=d).as_bytes()
     except zstd.ZstdError:
-        return b" ".join(s for s, _ in reversed(Counter(samples).most_common()))[-size:]
+        return _frequent(samples, size)
 
 
 @dataclass
@@ -114,8 +138,8 @@ def distances(text: bytes, ordinary, toxic) -> np.ndarray:
 def features(texts: list[bytes], compressors) -> np.ndarray:
     out = np.zeros((len(texts), 4))
     for i, text in enumerate(texts):
-        top = np.sort(distances(text, *compressors))[::-1]
-        out[i] = top[0], top[:3].sum(), top[:10].sum(), np.log(len(top))
+        top = np.maximum(0, np.sort(distances(text, *compressors))[::-1])
+        out[i] = np.log1p(top[0]), np.log1p(top[:3].sum()), np.log1p(top.sum()), np.log(len(top))
     return out
 
 
@@ -146,7 +170,7 @@ def fit_model(toxic: list[str], ordinary: list[str], toxic_share: float) -> Mode
     pieces = [t[a:a + 256] for t in train[1] for a in range(0, len(t), 256)]
     step = max(1, len(pieces) // 20_000)
     model = Model(_dictionary(pieces[::step], ORDINARY_BYTES, 64, 8),
-                  _dictionary(_telling_spans(*train), TOXIC_BYTES, 16, 6), np.zeros(5), np.zeros(4), np.ones(4))
+                  _frequent(_telling_spans(*train), TOXIC_BYTES), np.zeros(5), np.zeros(4), np.ones(4))
     if not test[0] or not test[1]:  # one label only: nothing to tell apart
         share = min(max(toxic_share, 1e-6), 1 - 1e-6)
         model.weights[0] = np.log(share / (1 - share))
