@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ from noticeflow.session import cut_lineage
 CHARS = 8             # characters of a shingle
 PERCENT = 80          # Jaccard similarity from which lines are linked
 BANDS, BAND = 12, 4   # a pair at 0.8 shares a band with probability 0.998
-LEAST_CHARS = 10      # shorter lines always stay
+LEAST_CHARS = 1       # shorter lines, blank ones, always stay
+BAND_CHARS = 10       # shorter lines are compared exactly only, without bands
 
 _NEWLINE = 10
 _MARK = 20            # bits of a band key that tell the line, when lines with the key are counted
@@ -63,6 +65,9 @@ class Lines:
     def long_enough(self) -> np.ndarray:
         return self.last - self.first >= LEAST_CHARS
 
+    def banded(self) -> np.ndarray:
+        return self.last - self.first >= BAND_CHARS
+
     def raw(self, i: int) -> bytes:
         return self.data[self.starts[i]:self.ends[i]].tobytes()
 
@@ -121,15 +126,16 @@ def _halves(nodes: pa.Array) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(node, times, keys) of the lines of each part of the documents: how often it occurs, and its band keys."""
+    """(node, times, keys) of the lines of each part of the documents: how often it occurs, and its band keys (short lines: none)."""
     def rows(batch, lines):
         of = np.flatnonzero(lines.long_enough())
         names = lines.names()
         _, at, times = np.unique(names[of, 0], return_index=True, return_counts=True)
         of = of[at]
-        return pa.RecordBatch.from_arrays([
-            _node(names[of]), pa.array(times.astype(np.int32)), pa.array([k.tobytes() for k in lines.bands(of)], pa.binary())],
-            ["node", "times", "keys"])
+        keys, banded = np.full(len(of), b"", object), lines.banded()[of]
+        keys[banded] = [k.tobytes() for k in lines.bands(of[banded])]
+        return pa.RecordBatch.from_arrays([_node(names[of]), pa.array(times.astype(np.int32)), pa.array(keys, pa.binary())],
+                                          ["node", "times", "keys"])
 
     return stored(_each(docs, rows, "node binary, times int, keys binary"), "signatures")
 
@@ -147,6 +153,10 @@ def _counted(signed: DataFrame, rows, marked: int = 0) -> np.ndarray:
     return counted_levels(signed.mapInArrow(run, "range int, keys binary"), ranges, (2,), marked)
 
 
+def _with_bands(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.filter(pc.greater(pc.binary_length(batch.column("keys")), 0))
+
+
 def _bands_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64).reshape(-1, BANDS)
 
@@ -154,6 +164,7 @@ def _bands_of(batch: pa.RecordBatch) -> np.ndarray:
 def _with_line(batch: pa.RecordBatch) -> np.ndarray:
     """Band keys, their lowest bits replaced by a line's own."""
     low = np.uint64((1 << _MARK) - 1)
+    batch = _with_bands(batch)
     return ((_bands_of(batch) & ~low) | (_halves(batch.column("node")) & low)[:, None]).ravel()
 
 
@@ -242,7 +253,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     table = spark.sparkContext.broadcast(_counted(signed, _with_line, _MARK))
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_with_bands, batches):
             keys = _bands_of(batch)
             line, band = np.nonzero(level_of(table.value, keys.ravel() >> np.uint64(_MARK)).reshape(keys.shape))
             of = pa.array(line)
@@ -275,8 +286,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """Each document as the struct ``doc`` with its remaining text, n_lines and n_dropped.
 
     Two lines are similar when the sets of their CHARS-character shingles have a Jaccard similarity of
-    PERCENT or more.  Of every component of similar lines the first stays: smallest doc_id (null last),
-    then text hash, then line number.  Lines under LEAST_CHARS characters always stay.  A null text stays
+    PERCENT or more; those with under BAND_CHARS characters only when they are equal.  Of every component of
+    similar lines the first stays: smallest doc_id (null last), then text hash, then line number.  Blank lines
+    always stay.  A null text stays
     null, an empty one has one empty line; repeated rows (same id and text) share their fate.
     """
     lost = dropped_lines(docs)

@@ -5,7 +5,7 @@ import random
 import data
 import numpy as np
 
-from noticeflow.llm import toxicity
+from noticeflow.llm import line_dedup, toxicity
 
 
 def test_toxic_words_of_a_small_language_are_found():
@@ -24,3 +24,13 @@ def test_toxic_words_of_a_small_language_are_found():
     held = [(toxic, text(toxic, True)) for toxic in (True, False) for _ in range(60)]
     found = model.score(toxicity.features([toxicity.plain(t) for _, t in held], model.compressors())) >= 0.5
     assert np.mean(found[:60]) >= 0.7 and np.mean(found[60:]) <= 0.1
+
+
+def test_short_lines_are_deduplicated_exactly(spark):
+    rng = random.Random(2)
+    body = data.words(rng, 40)
+    texts = [f"{body}\nHaanth.\n今日は晴れです", f"Haanth.\n{body}\n今日は晴れです", "HAANTH.\nHaanthe.\n\n", " Haanth. "]
+    docs = data.frame(spark, [(i, t, "en", "a", 0, *["c"] * 11) for i, t in enumerate(texts)], data.DOCUMENTS)
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.deduped_documents(docs).collect()}
+    assert got == {0: (0, texts[0]), 1: (3, ""), 2: (1, "Haanthe.\n\n"), 3: (1, "")}
+    assert sorted(r.doc_id for r in line_dedup.without_repeats(docs).collect()) == [0, 2]
