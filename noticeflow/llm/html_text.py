@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.common import text_of
@@ -231,9 +231,14 @@ def _token_counts(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, _COUNTS)
 
 
+def _host() -> Column:
+    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """One row per host (and one for all): the tokens of its template, and the class of each.
 
+    Pages of a host with the same html count once.
     Tokens with the same occurrence vector over the host's pages are a class.  Classes of LEAST_CLASS
     tokens or more that occur on LEAST_SHARE of the pages make up the template; text runs have to be on
     TEXT_SHARE of at least TEXT_PAGES pages.  As each of its tokens is on half of the pages, a template has
@@ -241,7 +246,8 @@ def templates(pages: DataFrame) -> DataFrame:
     """
     # wrapping sums: fingerprints are numbers mod 2**64
     half = F.lit(1 << 32)
-    counts = _token_counts(pages).groupBy("host", "token", "is_text").agg(
+    different = pages.select("url", "html", _host().alias("_host"), F.xxhash64("html").alias("_hash")).dropDuplicates(["_host", "_hash"])
+    counts = _token_counts(different.select("url", "html")).groupBy("host", "token", "is_text").agg(
         F.sum("pages").alias("pages"),
         F.sum(F.pmod("vector", half)).alias("low"), F.sum(F.shiftright("vector", 32)).alias("high"),
     ).withColumn("vector", F.concat_ws(":", F.pmod("low", half), F.pmod(F.col("high") + F.shiftright("low", 32), half)))
@@ -279,15 +285,20 @@ def main_text(page: str, template: dict[int, int]) -> str:
     The page is read along the template: valid classes nest, what lies between two of their tokens is a
     slot.  Slots inside the page's article or main element hold the text (without one, all slots do),
     unless they or an element in them stand beside it: menus, headers, footers, side bars, notices,
-    adverts, forms, readers' comments.  A block of text that is itself a template token fills no slot.
+    adverts, forms, readers' comments.  A block of text that is itself a template token fills no
+    slot, unless all of the article's blocks are.
     """
     marks = [(template[n.path], 1 if kind == "open" else -1) for kind, n, _ in events(page) if kind in ("open", "close") and n.path in template]
     crossed = _crossed(marks)
     tokens = frozenset(t for t, c in template.items() if c not in crossed)
     slots: dict[int, list[Block]] = {}
-    for block in blocks(page, tokens):
-        if _name(block.path, block.text) not in tokens:
-            slots.setdefault(block.slot, []).append(block)
+    found = list(blocks(page, tokens))
+    new = [b for b in found if _name(b.path, b.text) not in tokens]
+    # where a template holds all of the article, its blocks are the text
+    if any(b.main for b in found) and not any(b.main for b in new):
+        new = [b for b in found if b.main]
+    for block in new or found:
+        slots.setdefault(block.slot, []).append(block)
     filled = [b for slot in slots.values() for b in slot]
     main = [b for b in filled if b.main]
     return " ".join(b.text for b in main or filled)
@@ -307,8 +318,7 @@ def extract(pages: DataFrame) -> DataFrame:
     common = dict(zip(common.tokens_all, common.classes_all, strict=True)) if common else {}
     # the templates are sent to all tasks while they are small, else pages meet them by host
     size = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = rows.withColumn("host", host).join(F.broadcast(found) if size <= BROADCAST_TOKENS else found, "host", "left")
+    joined = rows.withColumn("host", _host()).join(F.broadcast(found) if size <= BROADCAST_TOKENS else found, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict[int, int]] = {}

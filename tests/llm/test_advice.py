@@ -5,7 +5,7 @@ import random
 import data
 import numpy as np
 
-from noticeflow.llm import line_dedup, toxicity
+from noticeflow.llm import html_text, line_dedup, toxicity
 
 
 def test_toxic_words_of_a_small_language_are_found():
@@ -34,3 +34,14 @@ def test_short_lines_are_deduplicated_exactly(spark):
     got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.deduped_documents(docs).collect()}
     assert got == {0: (0, texts[0]), 1: (3, ""), 2: (1, "Haanthe.\n\n"), 3: (1, "")}
     assert sorted(r.doc_id for r in line_dedup.without_repeats(docs).collect()) == [0, 2]
+
+
+def test_a_host_of_copies_keeps_its_article(spark):
+    def page(i, article):
+        return (i, f"http://mirror.example/{i}", f"<html><body><nav>Menu</nav><article>{article}</article></body></html>", *["x"] * 5)
+    rows = [page(i, "<h1>Head</h1><p>One article.</p>") for i in range(11)]
+    rows += [page(i, f"<h1>Other {i}</h1><p>Text {i}</p>") for i in (11, 12)]
+    # not the same html, but the same article
+    rows += [(i, f"http://crawl.example/{i}", f"<body><article><h1>Head</h1><p>Again.</p></article><footer>{i}</footer>", *["x"] * 5) for i in range(20, 32)]
+    got = {r.page_id: r.text for r in html_text.extract(data.frame(spark, rows, data.PAGES)).collect()}
+    assert got == {**dict.fromkeys(range(11), "Head One article."), 11: "Other 11 Text 11", 12: "Other 12 Text 12", **dict.fromkeys(range(20, 32), "Head Again.")}
