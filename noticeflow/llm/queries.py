@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import ann, dedup, html_text, line_dedup, mixing, ngram_join, packing, periodic, shards, spelling, toxicity, warc
+from noticeflow.llm import ann, dedup, html_text, line_dedup, mixing, ngram_join, packing, periodic, shards, spelling, suffix_tree_lm, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +61,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_ngram_join, op4_toxicity, op5_packing, op6_warc, op7_exact_dedup, op8_ann, op9_html_text, op10_line_dedup, op11_spelling, op12_periodic_runs)}
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_ngram_join, op4_toxicity, op5_packing, op6_warc, op7_exact_dedup, op8_ann, op9_html_text, op10_line_dedup, op11_spelling, op12_periodic_runs, op13_lm_scoring)}
 ORACLES = {"op1_mixing": mixing.mix_sql(), "op6_warc": warc.ARCHIVE_SQL, "op7_exact_dedup": dedup.EXACT_DEDUP_SQL}
