@@ -13,7 +13,7 @@ from noticeflow.functions.dates import (
     format_deadline, outside_window, rome_clock,
 )
 from noticeflow.functions.text import joined, normalize_text
-from noticeflow.operators import lookups, rules, state_ops, threads
+from noticeflow.operators import lookups, rules, settlement, state_ops, threads
 from noticeflow.operators.clusters import cluster_new
 from noticeflow.operators.reports import digest
 from noticeflow.session import cut_lineage, evaluate_once
@@ -187,8 +187,9 @@ def plan_alerts(decided: DataFrame, open_calls: DataFrame, alerts: DataFrame, ru
     grouped = cut_lineage(fresh.unionByName(
         resolved.filter(F.col("thread_id").isNotNull()).withColumn("group_key", F.col("thread_id"))))
     acted = grouped.join(threads.group_action(grouped, "group_key"), "group_key", "left")
-    reserved = state_ops.reserve_groups(state_ops.reserve_alerts(
-        acted.filter(F.col("group_action").isin("send_new", "send_reply")), alerts, run.utc, order), "group_key")
+    asking = settlement.group_rank(acted.filter(F.col("group_action").isin("send_new", "send_reply")), "group_key", order,
+                                   F.col("thread_id").isNotNull(), project)
+    reserved = settlement.settle_groups(asking, alerts, run.utc, "group_key", order).drop("_rank")
     quiet = acted.filter(~F.col("group_action").isin("send_new", "send_reply"))
     rows = reserved.unionByName(quiet, allowMissingColumns=True)
     stage = (
@@ -201,6 +202,30 @@ def plan_alerts(decided: DataFrame, open_calls: DataFrame, alerts: DataFrame, ru
     return cut_lineage(rows.withColumn("reason", why).withColumn("stage", stage))
 
 
+@dataclass(frozen=True)
+class Settled:
+    """What a run leaves behind once its messages were tried."""
+
+    planned: DataFrame
+    alerts: DataFrame
+    changes: DataFrame
+    threads: DataFrame
+
+
+def settle(planned: DataFrame, outcomes: DataFrame, alerts: DataFrame, known_threads: DataFrame, run: Run,
+           order: str = "seq") -> Settled:
+    """Leases, deliveries and thread changes of planned rows.
+
+    ``alerts`` and ``known_threads`` are the tables before the run; ``outcomes`` tells per group whether its
+    message was delivered.  Rows of groups that were not are ``send_failed`` and stay open for the next run.
+    """
+    rows = cut_lineage(settlement.settle_delivery(planned, outcomes))
+    leased = state_ops.lease_alerts(alerts, planned, run.utc)
+    changes = cut_lineage(settlement.thread_changes(rows, "group_key", order))
+    return Settled(rows, settlement.settle_alerts(leased, rows, run.utc, run.utc), changes,
+                   state_ops.apply_thread_updates(known_threads, changes, run.utc))
+
+
 def final_decisions(decided: DataFrame, planned: DataFrame) -> DataFrame:
     """Current decision per notice after alerts were planned: stage, reason and whether it is finalised."""
     shape = ["item_key", "school_code", "title", "url", "published", "stage", "reason", "confirmed", "ai_used",

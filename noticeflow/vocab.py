@@ -270,6 +270,9 @@ THREAD_TTL_DAYS = 60
 ROLE_MATCH_DAYS = 5
 NEAREST_THREAD_DAYS = 30
 
+# --- fixed values: reasons of decisions ------------------------------------------------------------------
+SEND_FAILED_REASON = "Confirmed and grouped, but AlertService.send() did not succeed."
+
 # --- fixed values: displayed words -----------------------------------------------------------------------
 CONFIDENCE_IT = {"high": "alta", "medium": "media", "low": "bassa"}
 UNKNOWN_DEADLINES = ("", "unknown", "sconosciuto", "non specificata", "non specificato")
