@@ -9,6 +9,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from noticeflow.functions.keys import item_key
 from noticeflow.operators import state_ops, threads
@@ -16,9 +17,12 @@ from noticeflow.operators import state_ops, threads
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Process everything that has arrived, batch by batch, then stop."""
-    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
-    query.awaitTermination()
+    finish(stream.writeStream.foreachBatch(handle), checkpoint)
+
+
+def finish(writer: DataStreamWriter, checkpoint: str) -> None:
+    """Run until everything that has arrived is processed."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def stream_new_notices(notices: DataFrame, processed_path: str, checkpoint: str, order: str) -> None:
