@@ -39,14 +39,14 @@ VERDICTS = View("labels", {
 })
 # Earlier runs: notices of the organisations that had signed up, and the alerts of active buyers.
 PROCESSED = View("events", {"item_key": "'SC' || " + padded("user_id", 8) + " || '|' || " + text("user_id")},
-                 where="event_type = 'signup' AND ts < timestamp '2024-01-03 00:00:00'")
+                 where="event_type = 'signup'")
 ALERTS = View("events", {
     "alert_key": "lower('SC' || " + padded("user_id", 8) + " || '|' || 'H74D' || " + padded("user_id", 11)
                  + " || '|M4C1I2.1-2026-1745-P-' || " + text("user_id") + " || '|https://albo.example.it/src' || "
                  + text("user_id % 20") + " || '/' || " + text("user_id") + ")",
     "status": "CASE WHEN value > 20 THEN 'sent' ELSE 'failed' END",
     "updated_at": "cast(ts as timestamp)",
-}, where="event_type = 'purchase' AND ts < timestamp '2024-01-05 00:00:00'")
+}, where="event_type = 'purchase'")
 THREADS = View("orders", {
     **joins.THREADS.columns,
     "updated_at": "cast(o_orderdate as timestamp) + INTERVAL '28' YEAR",

@@ -4,6 +4,8 @@ Right sides hold one row per key (by contract, or reduced here first), so no joi
 adaptive execution may split a hot key on the left freely.  Broadcasts are left to Catalyst's size check.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,28 +28,44 @@ def project_lookup(notices: DataFrame, registry: DataFrame, columns: list[str])
     return notices.join(registry.select("school_code", *columns), "school_code", "left")
 
 
-def with_superseded(notices: DataFrame, terms=vocab) -> DataFrame:
-    """Add ``superseded``: a result act of the same project is as recent as the notice, or undated.
-
-    Needs title, published, school_code, cup and clp.  Result acts shrink to one row per project
-    (latest date, any undated) before the join, so the theta join becomes an equi-join.
-    """
+def _marked_results(notices: DataFrame, terms) -> DataFrame:
+    """Add whether a title names its project (``_coded``) and is a result act of it (``_result``), and its ``_day``."""
     title = F.lower(F.col("title"))
 
     def names(code: str) -> Column:
         c = F.lower(F.coalesce(F.col(code), F.lit("")))
         return (c != "") & F.contains(title, c)
 
-    marked = notices.withColumn("_coded", names("cup") | names("clp")).withColumn(
+    return notices.withColumn("_coded", names("cup") | names("clp")).withColumn(
         "_result", F.col("_coded") & has_any(title, terms.RESULT_MARKERS, normalized=False)
     ).withColumn("_day", parse_notice_date(F.col("published")))
-    results = marked.filter("_result").groupBy("school_code").agg(
-        F.max("_day").alias("_last_result"),
-        F.bool_or(F.col("_day").isNull()).alias("_undated_result"))
-    closed = F.col("_day").isNull() | F.col("_undated_result") | (F.col("_last_result") >= F.col("_day"))
-    return marked.join(results, "school_code", "left").withColumn(
+
+
+def result_acts(notices: DataFrame, terms=vocab) -> DataFrame:
+    """Per organisation: the day of its latest result act, and whether it has an undated one."""
+    return _marked_results(notices, terms).filter("_result").groupBy("school_code").agg(
+        F.max("_day").alias("last_result"), F.bool_or(F.col("_day").isNull()).alias("undated_result"))
+
+
+def merge_result_acts(*summaries: DataFrame) -> DataFrame:
+    """One summary of several: acts of earlier polls stay known however often they are merged."""
+    return reduce(DataFrame.unionByName, summaries).groupBy("school_code").agg(
+        F.max("last_result").alias("last_result"), F.bool_or("undated_result").alias("undated_result"))
+
+
+def with_superseded(notices: DataFrame, terms=vocab, earlier: DataFrame | None = None) -> DataFrame:
+    """Add ``superseded``: a result act of the same project is as recent as the notice, or undated.
+
+    Needs title, published, school_code, cup and clp.  Result acts shrink to one row per project
+    (latest date, any undated) before the join, so the theta join becomes an equi-join; ``earlier`` are
+    those of earlier polls (see ``result_acts``).
+    """
+    results = result_acts(notices, terms)
+    results = merge_result_acts(results, earlier) if earlier is not None else results
+    closed = F.col("_day").isNull() | F.col("undated_result") | (F.col("last_result") >= F.col("_day"))
+    return _marked_results(notices, terms).join(results, "school_code", "left").withColumn(
         "superseded", F.coalesce(F.col("_coded") & ~F.col("_result") & closed, F.lit(False))
-    ).drop("_coded", "_result", "_day", "_last_result", "_undated_result")
+    ).drop("_coded", "_result", "_day", "last_result", "undated_result")
 
 
 def live_alerts(alerts: DataFrame, as_of) -> DataFrame:

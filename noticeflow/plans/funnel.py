@@ -66,7 +66,15 @@ def _first_stage(df: DataFrame, *steps: tuple[str, Column, Column]) -> DataFrame
     return df.withColumn("_stage", stage).withColumn("reason", reason).withColumn("stage", F.col("_stage")).drop("_stage")
 
 
-def screen(notices: DataFrame, registry: DataFrame, processed: DataFrame, texts: DataFrame, run: Run) -> DataFrame:
+PROJECT = ["school_name", "region", "cup", "clp", "amount"]
+
+
+def with_project(notices: DataFrame, registry: DataFrame) -> DataFrame:
+    return lookups.project_lookup(notices.drop(*PROJECT), registry, PROJECT)
+
+
+def screen(notices: DataFrame, registry: DataFrame, processed: DataFrame, texts: DataFrame, run: Run,
+           earlier_results: DataFrame | None = None) -> DataFrame:
     """Everything before the document rules; ``stage`` is set for notices that leave here.
 
     Notices: notice columns plus optional enrich_error.  Texts: item_key, text, hydrate_error.
@@ -76,9 +84,7 @@ def screen(notices: DataFrame, registry: DataFrame, processed: DataFrame, texts:
     base = notices.withColumn("item_key", keys.item_key(F.col("school_code"), F.col("item_id")))
     if "enrich_error" not in base.columns:
         base = base.withColumn("enrich_error", F.lit(None).cast("string"))
-    project = ["school_name", "region", "cup", "clp", "amount"]
-    known = lookups.project_lookup(base.drop(*project), registry, project)
-    history = lookups.with_superseded(known)
+    history = lookups.with_superseded(with_project(base, registry), earlier=earlier_results)
     fresh = lookups.new_notices(history, processed)
     none = F.lit(None).cast("string")
     cheap = evaluate_once(_first_stage(
@@ -160,9 +166,12 @@ RESULT_COLUMNS = (
 
 
 def decide(notices: DataFrame, registry: DataFrame, texts: DataFrame, verdicts: DataFrame,
-           processed: DataFrame, alerts: DataFrame, run: Run) -> DataFrame:
-    """One row per new notice: where it left the funnel and why; ``stage`` is null for a pending alert."""
-    judged = judge(screen(notices, registry, processed, texts, run), verdicts, alerts, run)
+           processed: DataFrame, alerts: DataFrame, run: Run, earlier_results: DataFrame | None = None) -> DataFrame:
+    """One row per new notice: where it left the funnel and why; ``stage`` is null for a pending alert.
+
+    ``earlier_results`` are the result acts of earlier runs (``lookups.result_acts``).
+    """
+    judged = judge(screen(notices, registry, processed, texts, run, earlier_results), verdicts, alerts, run)
     flat = judged.withColumn("confidence", F.col("final.confidence")).withColumn(
         "opportunity_type", F.col("final.opportunity_type")).withColumn(
         "ai_used", F.col("final.ai_used")).withColumn("ai_error", F.col("final.ai_error")).withColumn(
@@ -212,24 +221,31 @@ class Settled:
     threads: DataFrame
 
 
-def settle(planned: DataFrame, outcomes: DataFrame, alerts: DataFrame, known_threads: DataFrame, run: Run,
+def settle(planned: DataFrame, outcomes: DataFrame | None, alerts: DataFrame, known_threads: DataFrame, run: Run,
            order: str = "seq") -> Settled:
     """Leases, deliveries and thread changes of planned rows.
 
-    ``alerts`` and ``known_threads`` are the tables before the run; ``outcomes`` tells per group whether its
-    message was delivered.  Rows of groups that were not are ``send_failed`` and stay open for the next run.
+    ``alerts`` and ``known_threads`` are the tables before the run, or their rows that it may touch;
+    ``outcomes`` tells per group whether its message was delivered.  Rows of groups that were not are
+    ``send_failed`` and stay open for the next run.  Without outcomes the messages are left to a sender
+    outside: alerts stay leased, and of the threads only held ones change.
     """
-    rows = cut_lineage(settlement.settle_delivery(planned, outcomes))
     leased = state_ops.lease_alerts(alerts, planned, run.utc)
-    changes = cut_lineage(settlement.thread_changes(rows, "group_key", order))
-    return Settled(rows, settlement.settle_alerts(leased, rows, run.utc, run.utc), changes,
-                   state_ops.apply_thread_updates(known_threads, changes, run.utc))
+    if outcomes is None:
+        none = F.lit(None).cast("string")
+        rows = planned.withColumns({"delivery": none, "message_id": none, "subject": none})
+        after, threaded = leased, rows.filter(F.col("stage") == "held")
+    else:
+        rows = threaded = cut_lineage(settlement.settle_delivery(planned, outcomes))
+        after = settlement.settle_alerts(leased, rows, run.utc, run.utc)
+    changes = cut_lineage(settlement.thread_changes(threaded, "group_key", order))
+    return Settled(rows, after, changes, state_ops.apply_thread_updates(known_threads, changes, run.utc))
 
 
 def final_decisions(decided: DataFrame, planned: DataFrame) -> DataFrame:
     """Current decision per notice after alerts were planned: stage, reason and whether it is finalised."""
     shape = ["item_key", "school_code", "title", "url", "published", "stage", "reason", "confirmed", "ai_used",
-             "ai_error", "group_key", "fetch_final"]
+             "ai_error", "group_key", "fetch_final"] + (["seq"] if "seq" in decided.columns else [])
     left = decided.filter(F.col("stage").isNotNull()).withColumn("group_key", F.lit(None).cast("string"))
     rows = left.select(*shape).unionByName(planned.select(*shape))
     return rows.withColumn("processed", processed_policy(F.col("stage"), F.col("fetch_final"))).drop("fetch_final")

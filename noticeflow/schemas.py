@@ -28,18 +28,23 @@ STATE_COLUMNS = {
     "decisions": ("item_key", "school_code", "title", "url", "stage", "reason", "updated_at"),
     "call_threads": ("thread_id", "school_code", "cup", "clp", "role_signature", "protocol_ref", "status",
                      "subject", "message_id", "last_item_key", "last_title", "created_at", "updated_at"),
+    "outcomes": ("group_key", "delivered", "message_id", "subject"),
+    "result_acts": ("school_code", "last_result", "undated_result"),
+}
+STATE_KEYS = {
+    "processed_items": "item_key", "alerts": "alert_key", "opportunities": "opp_key", "decisions": "item_key",
+    "call_threads": "thread_id", "outcomes": "group_key", "result_acts": "school_code",
+}
+APPENDED = ("processed_items", "outcomes")   # runs only add keys to these
+COLUMN_TYPES = {
+    **dict.fromkeys(("first_seen", "last_seen", "created_at", "updated_at"), T.TimestampType()),
+    "role_signature": T.ArrayType(T.StringType()), "delivered": T.BooleanType(),
+    "last_result": T.DateType(), "undated_result": T.BooleanType(),
 }
-TIMESTAMP_COLUMNS = {"first_seen", "last_seen", "created_at", "updated_at"}
 
 REGISTRY = text_schema(*REGISTRY_COLUMNS)
 NOTICES = text_schema(*NOTICE_COLUMNS)
 
 
 def state_schema(table: str) -> T.StructType:
-    fields = []
-    for name in STATE_COLUMNS[table]:
-        kind = T.TimestampType() if name in TIMESTAMP_COLUMNS else T.StringType()
-        if name == "role_signature":
-            kind = T.ArrayType(T.StringType())
-        fields.append(T.StructField(name, kind))
-    return T.StructType(fields)
+    return T.StructType([T.StructField(n, COLUMN_TYPES.get(n, T.StringType())) for n in STATE_COLUMNS[table]])

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from noticeflow.functions.keys import item_key
 from noticeflow.operators import state_ops, threads
+from noticeflow.schemas import STATE_KEYS
 
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -69,36 +70,69 @@ def stream_threads(items: DataFrame, known_threads: DataFrame, as_of, out_path:
     run_available(items, handle, checkpoint)
 
 
-def stream_funnel(notices: DataFrame, tables: Callable[[], dict[str, DataFrame]], run, root: str, checkpoint: str) -> None:
-    """Full run per micro-batch; decisions, processed keys, alerts and the archive are written as snapshots.
+def deliver_all(planned: DataFrame) -> DataFrame:
+    """A sender that never fails: one outcome per granted group, its message named by the group's first row."""
+    sent = planned.filter(F.col("stage") == "alerted").groupBy("group_key").agg(F.min_by("item_key", "seq").alias("_first"))
+    return sent.select("group_key", F.lit(True).alias("delivered"), F.concat(F.lit("<"), F.md5("_first"), F.lit(">")).alias("message_id"),
+                       F.col("group_key").alias("subject"))
 
-    ``tables`` returns the current registry, texts, verdicts and threads.
+
+def stream_funnel(notices: DataFrame, tables: Callable[[], dict[str, DataFrame]], run, root: str, checkpoint: str,
+                  deliver: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Full run per micro-batch: notices are decided and sent, and all tables change at once.
+
+    ``tables`` returns the current registry, texts and verdicts; ``run`` is a ``funnel.Run`` or gives one
+    for a batch number.  ``deliver`` maps planned rows to outcomes (group_key, delivered, message_id,
+    subject) and is asked once per batch, as its answer is stored before anything else; without it alerts
+    stay leased for a sender outside.
+
+    Each table gets the rows of touched keys only.  A batch becomes visible by its marker, written last; if
+    it is interrupted before, the next start repeats it from the state before it and keeps the tables it
+    had finished.  A batch that has its marker is skipped.
     """
+    from noticeflow.operators import lookups
     from noticeflow.operators.ranking import ordinal
     from noticeflow.plans import funnel
     from noticeflow.session import cut_lineage
-    from noticeflow.sources.state import read_state, write_state
+    from noticeflow.sources import state
 
     spark = notices.sparkSession
 
+    def touched(table: str, changes: DataFrame) -> DataFrame:
+        """The rows of a table that a run may change."""
+        key = STATE_KEYS[table]
+        return state.read_state(spark, root, table).join(changes.select(key).distinct(), key, "left_semi")
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        t = tables()
-        processed, alerts = read_state(spark, root, "processed_items"), read_state(spark, root, "alerts")
-        decided = funnel.decide(batch, t["registry"], t["texts"], t["verdicts"], processed, alerts, run)
+        if batch_id in state.committed(spark, root):
+            return
+        t, now = tables(), run(batch_id) if callable(run) else run
+        before = {name: state.read_state(spark, root, name) for name in ("processed_items", "alerts", "call_threads", "result_acts")}
+        decided = funnel.decide(batch, t["registry"], t["texts"], t["verdicts"], before["processed_items"], before["alerts"], now, before["result_acts"])
         decided = cut_lineage(ordinal(decided, [], ["item_key", "url", "title"], "seq"))
-        planned = cut_lineage(funnel.plan_alerts(decided, t["threads"], alerts, run))
-        final = funnel.final_decisions(decided, planned).withColumn("updated_at", F.lit(run.utc)).withColumn(
-            "first_seen", F.lit(run.utc)).withColumn("seq", F.lit(batch_id))
-        decisions = read_state(spark, root, "decisions")
-        write_state(state_ops.upsert_decision(decisions, final), root, "decisions")
-        done = final.filter("processed")
-        fresh = state_ops.insert_if_absent(processed, done, "item_key", "published")
-        write_state(processed.unionByName(fresh), root, "processed_items")
-        if "new_status" in planned.columns:
-            write_state(state_ops.lease_alerts(alerts, planned, run.utc), root, "alerts")
+        planned = funnel.plan_alerts(decided, before["call_threads"], before["alerts"], now)
+        outcomes = None
+        if deliver is not None:
+            if not state.written(spark, root, "outcomes", batch_id):
+                state.write_changes(deliver(planned), root, "outcomes", batch_id)
+            outcomes = state.own_changes(spark, root, "outcomes", batch_id)
+        settled = funnel.settle(planned, outcomes, touched("alerts", planned), before["call_threads"], now)
+        final = funnel.final_decisions(decided, settled.planned).withColumn("updated_at", F.lit(now.utc)).withColumn(
+            "first_seen", F.lit(now.utc))
         archive = decided.filter("confirmed").withColumn(
             "opp_key", F.lower(F.concat_ws("|", "school_code", "url"))).withColumn(
-            "first_seen", F.lit(run.utc)).withColumn("last_seen", F.lit(run.utc))
-        write_state(state_ops.upsert_opportunity(read_state(spark, root, "opportunities"), archive), root, "opportunities")
+            "first_seen", F.lit(now.utc)).withColumn("last_seen", F.lit(now.utc))
+        acts = lookups.result_acts(funnel.with_project(batch, t["registry"]))
+        changes = {
+            "alerts": settled.alerts,
+            "call_threads": state_ops.apply_thread_updates(touched("call_threads", settled.changes), settled.changes, now.utc),
+            "decisions": state_ops.upsert_decision(touched("decisions", final), final),
+            "opportunities": state_ops.upsert_opportunity(touched("opportunities", archive), archive),
+            "result_acts": lookups.merge_result_acts(touched("result_acts", acts), acts),
+            "processed_items": state_ops.insert_if_absent(before["processed_items"], final.filter("processed"), "item_key", "seq"),
+        }
+        for table, rows in changes.items():
+            state.write_changes(rows, root, table, batch_id)
+        state.commit(spark, root, batch_id)
 
     run_available(notices, handle, checkpoint)

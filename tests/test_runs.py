@@ -108,6 +108,95 @@ def test_stream_equals_batch_and_replays_nothing(spark, outcome, tables, scratch
     assert archive == {f"s1|http://x.it/{i}" for i in ("new", "same", "other", "hold", "known")}
 
 
+def deliver_but(failing):
+    def deliver(planned):
+        return intake.deliver_all(planned).withColumn("delivered", ~F.col("group_key").contains(failing))
+    return deliver
+
+
+@pytest.fixture
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def everything(spark, root):
+    names = ("alerts", "call_threads", "decisions", "opportunities", "result_acts", "processed_items", "outcomes")
+    return {n: sorted(map(str, store.read_state(spark, root, n).collect())) for n in names}
+
+
+def test_a_run_that_fails_after_any_write_ends_like_one_that_does_not(spark, tables, scratch, monkeypatch, few_partitions):
+    source = f"{scratch}/in"
+    tables["notices"].coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(tables["notices"].schema).parquet(source)
+    asked = []
+
+    def deliver(planned):
+        asked.append(1)
+        return intake.deliver_all(planned)
+
+    def start(root):
+        intake.stream_funnel(stream, lambda: tables, RUN, root, f"{root}/offsets", deliver)
+
+    start(f"{scratch}/whole")
+    wanted = everything(spark, f"{scratch}/whole")
+    assert len(wanted["decisions"]) == len(CASES) and len(wanted["call_threads"]) == len(wanted["outcomes"]) + 1
+    asked.clear()
+    root, write, commit = f"{scratch}/broken", store.write_changes, store.commit
+    for point in (0, 2, 4, 6):
+        count = iter(range(99))
+
+        def failing(df, root, table, batch):
+            write(df, root, table, batch)
+            if next(count) == point:
+                raise RuntimeError(f"lost after {table}")
+        monkeypatch.setattr(store, "write_changes", failing)
+        monkeypatch.setattr(store, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost before the marker")))
+        with pytest.raises(Exception, match="lost"):
+            start(root)
+        assert everything(spark, root) == {n: [] for n in wanted}   # nothing is visible yet
+    monkeypatch.setattr(store, "write_changes", write)
+    monkeypatch.setattr(store, "commit", commit)
+    start(root)
+    assert everything(spark, root) == wanted and len(asked) == 1
+    start(root)
+    for table in wanted:
+        store.compact(spark, root, table)
+    assert everything(spark, root) == wanted
+
+
+def test_runs_build_on_each_other(spark, tables, scratch, few_partitions):
+    """A held process is sent, a failed message is tried again, and a result act of an earlier run closes a later notice."""
+    source, root = f"{scratch}/in", f"{scratch}/state"
+    shape = tables["notices"].schema
+    texts = {}
+
+    def arrive(day, rows, deliver):
+        for i, title, published, text in rows:
+            texts[f"S1|{i}"] = text
+        spark.createDataFrame([("S1", "Argo", i, t, f"http://x.it/{i}", p, "", "") for i, t, p, _ in rows], shape).coalesce(1).write.mode("append").parquet(source)
+        now = dict(tables, texts=spark.createDataFrame([(k, t, "") for k, t in texts.items()], "item_key string, text string, hydrate_error string"),
+                   verdicts=spark.createDataFrame([], tables["verdicts"].schema))
+        stream = spark.readStream.schema(shape).parquet(source)
+        intake.stream_funnel(stream, lambda: now, funnel.Run(as_of=datetime(2026, 6, day, 9)), root, f"{scratch}/offsets", deliver)
+        return {r.item_key.split("|")[1]: r.stage for r in store.read_state(spark, root, "decisions").collect()}
+
+    held = f"procedura di selezione referente CUP {CUP} prot. n. 77 del 08/06/2026"
+    got = arrive(10, [("a", "Avviso di selezione referente", "08/06/2026", held), ("r", f"Graduatoria procedura di selezione {CUP}", "12/06/2026", "graduatoria")], intake.deliver_all)
+    assert got == {"a": "held", "r": "rule_rejected"}
+    go = f"{APPLY} referente CUP {CUP} prot. n. 77 del 08/06/2026"
+    got = arrive(11, [("b", "Avviso di selezione referente", "09/06/2026", go), ("c", f"Procedura di selezione {CUP}", "09/06/2026", APPLY)], deliver_but(""))
+    assert got["b"] == "send_failed" and got["c"] == "superseded"
+    (thread,) = store.read_state(spark, root, "call_threads").collect()
+    assert thread.status == "held" and "S1|b" not in {r.item_key for r in store.read_state(spark, root, "processed_items").collect()}
+    got = arrive(12, [("b", "Avviso di selezione referente", "09/06/2026", go), ("d", f"Procedura di selezione referente {CUP}", "13/06/2026", go)], intake.deliver_all)
+    assert got["b"] == "alerted" and got["d"] == "alerted" and got["a"] == "held"
+    (thread,) = store.read_state(spark, root, "call_threads").collect()
+    assert thread.status == "sent" and thread.message_id and thread.last_item_key in ("S1|b", "S1|d") and thread.created_at.day == 10
+
+
 def test_intake_keeps_each_key_once(spark, tables, scratch):
     source = f"{scratch}/in"
     for n in range(3):
