@@ -4,7 +4,7 @@ import importlib
 
 from noticeflow.catalog.base import ORACLES, QUERIES, Query
 
-MODULES = ("texts", "joins", "state", "payloads", "runs", "settled", "streams")
+MODULES = ("texts", "joins", "state", "payloads", "runs", "settled", "streams", "stored")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

@@ -2,14 +2,14 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.functions.dates import has_deadline, open_status
 from noticeflow.functions.keys import reply_subject
 from noticeflow.functions.text import confidence_word, yes_no
 from noticeflow.operators.ranking import ordinal
-from noticeflow.schemas import EXPORT_COLUMNS
+from noticeflow.schemas import EXPORT_COLUMNS, text_schema
 
 
 def run_stats(funnel: DataFrame, schools: DataFrame) -> DataFrame:
@@ -116,6 +116,21 @@ def export_opportunities(opportunities: DataFrame, today, strict: bool = False)
         *EXPORT_COLUMNS).orderBy(F.desc("first_seen"))
 
 
+def write_export(opportunities: DataFrame, path: str, today, strict: bool = False) -> None:
+    """The export as CSV: a header, columns in fixed order, newest first, quotes doubled, nulls empty.
+
+    Rows are range-partitioned by their order, so the parts read by name are the sorted file and no task
+    holds all of it.
+    """
+    rows = export_opportunities(opportunities, today, strict).orderBy(F.desc("first_seen"), "school_code", "url")
+    rows.write.mode("overwrite").csv(path, header=True, escape='"', nullValue="", emptyValue="")
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """The exported rows; empty values are empty texts."""
+    return spark.read.schema(text_schema(*EXPORT_COLUMNS)).csv(path, header=True, escape='"', multiLine=True).na.fill("")
+
+
 def decision_trail(decisions: DataFrame, school_code: str | None = None) -> DataFrame:
     rows = decisions if school_code is None else decisions.filter(F.col("school_code") == school_code)
     return rows.orderBy(F.desc("updated_at"))

@@ -16,8 +16,7 @@ _ADAPTIVE = {
 def tune(spark: SparkSession) -> SparkSession:
     """Turn on adaptive execution, with hot join partitions split even when that adds a shuffle.
 
-    Catalyst alone decides on broadcasts (by measured size, ``autoBroadcastJoinThreshold``); no
-    operator in this package forces one.
+    Catalyst decides on broadcasts (by measured size, ``autoBroadcastJoinThreshold``).
     """
     for key, value in _ADAPTIVE.items():
         spark.conf.set(key, value)
@@ -54,6 +53,9 @@ def evaluate_once(df: DataFrame) -> DataFrame:
 
     Catalyst moves filters below projections and inlines what they use, which would run a text rule
     once per reference.  A row number nobody can reason about stops both rewrites; it costs an
-    addition per row and leaves column pruning and code generation intact.
+    addition per row and leaves column pruning and code generation intact.  Streams have no row numbers
+    and stay as they are.
     """
+    if df.isStreaming:
+        return df
     return df.withColumn("_row", F.monotonically_increasing_id()).filter(F.col("_row") >= 0).drop("_row")

@@ -3,21 +3,18 @@
 from functools import reduce
 from typing import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow import vocab
-from noticeflow.functions.text import collapse_ws, first_non_empty, html_unescape
+from noticeflow.functions.text import collapse_ws, first_non_empty, html_unescape, let
 from noticeflow.functions.web import anchors, is_pdf_url, url_join
 from noticeflow.operators.ranking import keep_first
 from noticeflow.schemas import NOTICE_COLUMNS
 from noticeflow.session import evaluate_once
+from noticeflow.sources.documents import well_formed_xml
 
-_RSS = (
-    "channel struct<item: array<struct<title: string, link: string, guid: string, pubDate: string>>>, "
-    "_corrupt string"
-)
-_RSS_OPTIONS = {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE", "ignoreNamespace": "true"}
+_ITEM = "title string, link string, guid string, pubDate string"
 _ID = r"[?&]id=(\d+)"
 
 _DATA_PAGE = r'data-page="([^"]+)"'
@@ -40,11 +37,52 @@ def as_notices(df: DataFrame, vendor: str) -> DataFrame:
     return df.select(*columns)
 
 
+def without_cdata(xml: Column) -> Column:
+    """Comments left out and CDATA sections as escaped text, so that tags can be looked for by pattern."""
+    parts = F.split(F.regexp_replace(xml, r"(?s)<!--.*?-->", ""), r"<!\[CDATA\[")
+
+    def escaped(part: Column) -> Column:
+        end = F.instr(part, F.lit("]]>"))
+        inside = F.replace(F.replace(F.substring(part, F.lit(1), end - 1), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+        return F.concat(inside, F.substring(part, end + 3, F.length(part)))
+
+    return let(parts, lambda p: F.concat(
+        F.element_at(p, 1), F.array_join(F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), escaped), "")))
+
+
+def elements(xml: Column, name: str) -> Column:
+    """All elements of a name at any depth, each without those inside it; ``xml`` is without CDATA.
+
+    Innermost elements are taken out first, then the ones around them, as often as the document nests them.
+    """
+    opening = rf"<{name}(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)?(?<!/)>"
+    innermost = rf"(?s){opening}(?:(?!<{name}[\s>]).)*?</{name}\s*>"
+    marks = F.regexp_extract_all(xml, F.lit(rf"(?s)({opening}|</{name}\s*>)"), F.lit(1))
+    depth = F.aggregate(
+        marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda acc, m: let(acc["now"] + F.when(F.startswith(m, F.lit("</")), -1).otherwise(1), lambda now: F.struct(
+            now.alias("now"), F.greatest(acc["most"], now).alias("most"))),
+        lambda acc: acc["most"])
+    rounds = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(
+        rounds, F.struct(xml.alias("rest"), F.array().cast("array<string>").alias("found")),
+        lambda acc, _: F.struct(
+            F.regexp_replace(acc["rest"], innermost, "").alias("rest"),
+            F.concat(acc["found"], F.regexp_extract_all(acc["rest"], F.lit(rf"(?s)({innermost[4:]})"), F.lit(1))).alias("found")),
+        lambda acc: acc["found"])
+
+
 def parse_rss_feed(feeds: DataFrame) -> DataFrame:
-    """RSS documents (school_code, xml) -> notices; malformed XML gives no rows."""
-    parsed = feeds.select("school_code", F.from_xml("xml", _RSS, _RSS_OPTIONS).alias("feed"))
-    items = parsed.filter(F.col("feed._corrupt").isNull()).select(
-        "school_code", F.explode("feed.channel.item").alias("i"))
+    """Feeds (school_code, xml) -> notices, from ``item`` elements at any depth; malformed XML gives no rows.
+
+    Names are taken as they are written: items with a prefix, or of a feed whose first element has a default
+    namespace, are other elements.
+    """
+    plain = ~F.col("xml").rlike(r"(?s)\A\s*(?:<\?.*?\?>|<!--.*?-->|<![^>]*>|\s)*+<[^>]*\sxmlns\s*=\s*[\"'][^\"']")
+    sound = evaluate_once(feeds.filter(well_formed_xml(F.col("xml")) & plain).select(
+        "school_code", without_cdata(F.col("xml")).alias("_xml")))
+    items = sound.select("school_code", F.explode(elements(F.col("_xml"), "item")).alias("_item")).select(
+        "school_code", F.from_xml("_item", _ITEM).alias("i"))
     blank = F.lit("")
     link, guid = F.trim(F.coalesce("i.link", blank)), F.trim(F.coalesce("i.guid", blank))
     item_id = first_non_empty(F.regexp_extract(guid, _ID, 1), F.regexp_extract(link, _ID, 1), guid, link)
