@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import io
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -16,10 +17,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import prefix_sums, text_of
+from noticeflow.llm.common import prefix_sums, stored, text_of
 from noticeflow.session import scratch_path
 
-SHARD_BYTES = 64 << 20      # payload bytes of a shard
+SHARD_BYTES = 64 << 20      # payload bytes of a shard, more if there were over SHARDS of them
+SHARDS = 1 << 16
 ROLL_BYTES = 16 << 20       # compressed bytes of a file, but for its last record
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -30,7 +32,7 @@ _RECORD = ("page_id long, url string, payload_bytes long, payload_digest string,
 
 
 def plan(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """A row per (page_id, payload): digest, shard, and the page that is the response of this payload.
+    """A row per (page_id, payload): digest, shard, and the page that is the response of a payload that occurs again.
 
     Pages in the order of page_id are cut into shards by a prefix sum of payload bytes, so a shard's
     content depends on the pages alone, not on how they were read.  Equal payloads meet in a maximum.
@@ -41,9 +43,8 @@ def plan(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     keepers = sized.groupBy("_sha1").agg(F.max("_id").alias("_keeper"), F.sum("_copies").alias("_same"))
     # only payloads that occur again have to be looked up
     again = keepers.filter("_same > 1").drop("_same")
-    return sized.join(again, "_sha1", "left").select(
-        F.coalesce(F.col("_id").cast("string"), F.lit("null")).alias("_key"), "_sha1",
-        F.coalesce("_keeper", "_id").alias("_keeper"), F.expr(f"start div {shard_bytes}").alias("_shard"))
+    shard = F.expr(f"cast(start div greatest({shard_bytes}, total div {SHARDS} + 1) as int)")
+    return stored(sized.join(again, "_sha1", "left").select("_id", "_sha1", "_keeper", shard.alias("_shard")), "warc-plan")
 
 
 def _identity():
@@ -71,28 +72,42 @@ def _record(page: int | None, copy: int, keeper: int | None, url: str, size: int
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def _packed(pages: DataFrame) -> DataFrame:
-    """Every page as its compressed response record: what is shuffled is about a third of the html."""
+def _packed(pages: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """Every page as its compressed response record, with the shard that ``cuts`` (first page, digest and number of each) give it.
+
+    What is shuffled is about a third of the html, and once.
+    """
+    known = pages.sparkSession.sparkContext.broadcast(cuts)   # SHARDS at most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+
         for batch in batches:
             rows, held = [], 0
             for page, url, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 payload = html.encode()
                 sha1 = hashlib.sha1(payload).hexdigest()
                 record = _record(page, 0, page, url, len(payload), sha1, payload)
-                rows.append((page, "null" if page is None else str(page), sha1, url, len(payload), record))
+                shard = known.value[bisect_right(known.value, (*_place(page), sha1, SHARDS)) - 1][-1]
+                rows.append((shard, page, sha1, None, url, len(payload), record))
                 held += len(record)
                 if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+                    yield made(rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+                yield made(rows)
 
     return pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")), text_of("html")).mapInArrow(
-        run, "_id long, _key string, _sha1 string, _url string, _bytes long, _record binary")
+        run, "_shard int, _id long, _sha1 string, _keeper long, _url string, _bytes long, _record binary")
+
+
+def _place(page: int | None) -> tuple[bool, int]:
+    """Pages in order, null first."""
+    return page is not None, page or 0
 
 
-_PACKED = pa.schema([("_id", pa.int64()), ("_key", pa.string()), ("_sha1", pa.string()), ("_url", pa.string()),
+_PACKED = pa.schema([("_shard", pa.int32()), ("_id", pa.int64()), ("_sha1", pa.string()), ("_keeper", pa.int64()), ("_url", pa.string()),
                      ("_bytes", pa.int64()), ("_record", pa.binary())])
 
 
@@ -146,10 +161,14 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         attempt = f"{task.partitionId()}-{task.taskAttemptId()}"
-        roller, last, copy, done = None, None, 0, []
+        roller, last, copy, keepers, done = None, None, 0, {}, []
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 shard, page, sha1, keeper, url, size, record = row
+                if record is None:   # stands before the records it speaks of
+                    keepers = {(page, sha1): keeper}
+                    continue
+                keeper = keepers.get((page, sha1), page)
                 if roller is None or roller.shard != shard:
                     if roller is not None:
                         done.append(roller.commit())
@@ -165,9 +184,16 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
         if roller is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(("file", "records", "bytes", "sha1"), roller.commit(), strict=True))], _SCHEMA)
 
-    placed = _packed(pages).join(plan(pages, shard_bytes), ["_key", "_sha1"])
-    placed = placed.withColumn("_record", F.when(F.col("_id").eqNullSafe(F.col("_keeper")), F.col("_record")))
-    ordered = placed.repartition("_shard").sortWithinPartitions("_shard", "_id", "_sha1", "_url")
+    placed = plan(pages, shard_bytes)
+    first = F.min(F.struct(F.col("_id").isNotNull().alias("known"), F.coalesce("_id", F.lit(0)).alias("id"), "_sha1"))
+    cuts = placed.groupBy("_shard").agg(first.alias("first")).orderBy("_shard").collect()
+    shards = [(c.first.known, c.first.id, c.first._sha1, c._shard) for c in cuts]
+    told = placed.filter("_keeper IS NOT NULL").select(
+        "_shard", "_id", "_sha1", "_keeper", F.lit(None).cast("string").alias("_url"), F.lit(None).cast("long").alias("_bytes"),
+        F.lit(None).cast("binary").alias("_record"))
+    tasks = shards[-1][-1] + 1 if shards else 1
+    ordered = _packed(pages, shards).union(told).repartitionById(tasks, "_shard").sortWithinPartitions(
+        "_shard", "_id", "_sha1", F.col("_record").isNotNull(), "_url")
     ordered.select("_shard", "_id", "_sha1", "_keeper", "_url", "_bytes", "_record").mapInArrow(run, _MANIFEST).write.mode(
         "overwrite").json(f"{folder}/manifest")
 
