@@ -40,6 +40,9 @@ BESIDE_NAMES = re.compile(
     r"footer|sidebar|side|aside|widget|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|"
     r"related|recommended|comment|comments|commentlist|disqus|reply|replies|form|search|pagination|pager|skip)(?:$|[\s_-])", re.IGNORECASE)
 
+# names of wrappers do not speak of what they hold, but for these
+HELD_NAMES = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|reply|replies|related|recommended)(?:$|[\s_-])", re.IGNORECASE)
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
@@ -51,6 +54,7 @@ class Node:
     path: int
     beside: bool
     main: bool
+    wrapped: bool = False   # beside by nothing but the names of wrappers, or a form around the page
 
 
 def _name(*parts) -> int:
@@ -60,32 +64,39 @@ def _name(*parts) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, parts))) - (1 << 63)
 
 
-_paths: dict[tuple, tuple[int, bool, bool]] = {}
+_paths: dict[tuple, tuple[int, bool, bool, bool]] = {}
+
 
+def _enter(parent: Node | None, tag: str, attributes: str, through: bool = False) -> Node:
+    """The element's place: its path of tags, classes and ids, and whether it stands beside the main text.
 
-def _enter(parent: Node | None, tag: str, attributes: str) -> Node:
-    """The element's place: its path of tags, classes and ids, and whether it stands beside the main text."""
+    With ``through`` an article or main element does not share the fate of wrappers around it.
+    """
     key = (parent.path if parent else 0, tag, attributes if "=" in attributes else "")
     known = _paths.get(key)
     if known is None:
         found = {n.lower(): " ".join((a or b or c).lower().split()) for n, a, b, c in _ATTRIBUTE.findall(attributes)}
         label = f"{found.get('class', '')} {found.get('id', '')}"
-        beside = tag in BESIDE or found.get("role", "") in BESIDE_ROLES or (
-            tag not in ("body", "html") and tag not in MAIN and bool(BESIDE_NAMES.search(label)))
+        strictly = tag in BESIDE or found.get("role", "") in BESIDE_ROLES
+        beside = strictly or (tag not in ("body", "html") and tag not in MAIN and bool(BESIDE_NAMES.search(label)))
+        wrapper = beside and (not strictly or tag == "form") and not HELD_NAMES.search(label)
         stable = re.sub(r"\d+", "0", label)
-        known = (_name(key[0], tag, stable), beside, tag in MAIN or found.get("role") == "main")
+        known = (_name(key[0], tag, stable), beside, tag in MAIN or found.get("role") == "main", wrapper)
         if len(_paths) > 100_000:
             _paths.clear()
         _paths[key] = known
-    path, beside, main = known
-    if parent:
-        # a page's own header inside its article belongs to the text
-        beside = parent.beside or (beside and not (tag == "header" and parent.main))
-        main = main or parent.main
-    return Node(tag, path, beside, main)
-
-
-def events(page: str) -> Iterator[tuple[str, Node | None, str]]:
+    path, own, main, wrapper = known
+    if parent is None:
+        return Node(tag, path, own, main, wrapper)
+    if through and main and not own and parent.beside and parent.wrapped:
+        return Node(tag, path, False, True)
+    # a page's own header inside its article belongs to the text
+    beside = parent.beside or (own and not (tag == "header" and parent.main))
+    wrapped = beside and (wrapper or not own) and (parent.wrapped or not parent.beside)
+    return Node(tag, path, beside, main or parent.main, wrapped)
+
+
+def events(page: str, through: bool = False) -> Iterator[tuple[str, Node | None, str]]:
     """The page as (kind, element, text): ``open`` and ``close`` of elements, ``break`` and ``text``; raw elements are left out."""
     stack: list[Node] = []
     at, end = 0, len(page)
@@ -128,7 +139,7 @@ def events(page: str) -> Iterator[tuple[str, Node | None, str]]:
                     break
                 if stack[i].tag not in INLINE:
                     break
-        stack.append(_enter(stack[-1] if stack else None, tag, attributes))
+        stack.append(_enter(stack[-1] if stack else None, tag, attributes, through))
         yield "open", stack[-1], ""
         if attributes.endswith("/") and tag not in INLINE:
             yield from leave(len(stack) - 1)
@@ -152,7 +163,7 @@ class Block:
     text: str
 
 
-def blocks(page: str, template: frozenset[int] = frozenset()) -> Iterator[Block]:
+def blocks(page: str, template: frozenset[int] = frozenset(), through: bool = False) -> Iterator[Block]:
     """The blocks of a page that do not stand beside the main text, character references decoded."""
     parts: list[str] = []
     first, slot = None, 0
@@ -164,7 +175,7 @@ def blocks(page: str, template: frozenset[int] = frozenset()) -> Iterator[Block]
         parts.clear()
 
     place: list[Node] = []
-    for kind, node, text in events(page):
+    for kind, node, text in events(page, through):
         if kind == "text":
             if not (node and node.beside):
                 if not parts:
@@ -293,6 +304,11 @@ def main_text(page: str, template: dict[int, int]) -> str:
     tokens = frozenset(t for t, c in template.items() if c not in crossed)
     slots: dict[int, list[Block]] = {}
     found = list(blocks(page, tokens))
+    if not any(b.main for b in found):
+        # the article may stand in a wrapper whose name only says how the page is laid out, or in a form around it all
+        inside = [b for b in blocks(page, tokens, through=True) if b.main]
+        if sum(len(b.text) for b in inside) > sum(len(b.text) for b in found):
+            found = inside
     new = [b for b in found if _name(b.path, b.text) not in tokens]
     # where a template holds all of the article, its blocks are the text
     if any(b.main for b in found) and not any(b.main for b in new):

@@ -45,3 +45,16 @@ def test_a_host_of_copies_keeps_its_article(spark):
     rows += [(i, f"http://crawl.example/{i}", f"<body><article><h1>Head</h1><p>Again.</p></article><footer>{i}</footer>", *["x"] * 5) for i in range(20, 32)]
     got = {r.page_id: r.text for r in html_text.extract(data.frame(spark, rows, data.PAGES)).collect()}
     assert got == {**dict.fromkeys(range(11), "Head One article."), 11: "Other 11 Text 11", 12: "Other 12 Text 12", **dict.fromkeys(range(20, 32), "Head Again.")}
+
+
+def test_an_article_is_found_through_wrappers():
+    story = "<h1>Title</h1><p>The story goes on and on.</p><aside>Links</aside><div class='comments'><article>Reader says</article></div>"
+    for page in (f'<div class="content header-layout sidebar"><article>{story}</article></div>', f'<form id="aspnetForm"><main>{story}</main></form>',
+                 f'<form><div class="widget page"><nav>Menu</nav><div role="main">{story}</div></div></form><footer>Imprint</footer>'):
+        assert html_text.main_text(page, {}) == "Title The story goes on and on.", page
+    inside = f'<div class="page widget"><nav><article>Menu of very many things to click on</article></nav><article>{story}</article></div>'
+    assert html_text.main_text(inside, {}) == "Title The story goes on and on."
+    # what an article does not stand in by name alone stays out
+    for page in ("<aside><article>Teaser</article></aside><p>Text</p>", '<div class="comments"><article>Reader says this and that</article></div><p>Text</p>',
+                 '<div class="sidebar"><article>Short</article></div><p>A longer text</p>', '<nav><form><main>Menu of many things</main></form></nav><p>Text</p>'):
+        assert html_text.main_text(page, {}) in ("Text", "A longer text"), page
