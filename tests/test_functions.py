@@ -1,4 +1,5 @@
 import html
+import random
 from datetime import date, datetime, timezone
 from email.utils import parsedate_to_datetime
 from urllib.parse import urljoin
@@ -162,3 +163,15 @@ def test_content_is_sniffed_behind_any_blanks(spark):
     rows = spark.createDataFrame([(0, blank + b"%PDF-1.7"), (1, blank + b"<?xml version='1.0'?>"), (2, blank)], "i int, c binary")
     kinds = rows.select("i", sniff_content(F.col("c"), F.lit("a.pdf"), F.lit("")).alias("k")).orderBy("i").collect()
     assert [r.k for r in kinds] == ["pdf", "xml", "html"]
+
+
+def test_long_lists_are_found_in_one_pass(spark):
+    """Overlapping, nested and repeated terms, and characters that patterns give a meaning."""
+    rng = random.Random(1)
+    for size in (3, text.ONE_PASS_TERMS + 5):
+        terms = tuple("".join(rng.choice("ab.-+ ^]\\$(") for _ in range(rng.randint(1, 5))) for _ in range(size))
+        rows = [("".join(rng.choice("ab.-+ ^]\\$(") for _ in range(rng.randint(0, 30))),) for _ in range(300)]
+        df = spark.createDataFrame(rows + [(None,), ("",)], "x string")
+        for r in df.select("x", text.term_hits(F.col("x"), terms, False).alias("hits"), text.has_any(F.col("x"), terms, False).alias("some")).collect():
+            assert r.hits == [t for t in terms if t in (r.x or "")]
+            assert r.some is None if r.x is None else r.some == any(t in r.x for t in terms)
