@@ -179,14 +179,22 @@ def _best(left: pa.Table, right: pa.Table, keep: int) -> pa.Table:
     load = lambda t: np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(t.num_rows, -1)
     x, q = load(left), load(right)
     take = min(keep, len(x))
-    near = np.argpartition(-(q @ x.T), take - 1, axis=1)[:, :take]
-    # the reported product is summed in one order wherever the pair meets, so equal pairs have equal scores
-    score = np.stack([(x[near[i]] * q[i]).sum(axis=1) for i in range(len(q))])
+    gid, products = left.column("gid").to_numpy(), q @ x.T
+    least = -np.partition(-products, take - 1, axis=1)[:, take - 1]
+    # products differ in their last places by the order they are summed in
+    margin = 1e-12 * np.sqrt((x * x).sum(axis=1).max()) * np.sqrt((q * q).sum(axis=1))
+    gids, scores = [], []
+    for i in range(len(q)):
+        near = np.flatnonzero(products[i] >= least[i] - margin[i])
+        # the reported product is summed in one order wherever the pair meets, so equal pairs have equal scores
+        score = (x[near] * q[i]).sum(axis=1)
+        first = np.lexsort((gid[near], -score))[:take]
+        gids.append(gid[near[first]])
+        scores.append(score[first])
     ends = pa.array(np.arange(len(q) + 1) * take, pa.int32())
-    gids = pa.array(left.column("gid").to_numpy()[near].ravel())
     return pa.Table.from_arrays([
-        pa.array(right.column("gid").to_numpy()), pa.ListArray.from_arrays(ends, gids), pa.ListArray.from_arrays(ends, pa.array(score.ravel()))],
-        schema=_FOUND)
+        pa.array(right.column("gid").to_numpy()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(gids))),
+        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(scores)))], schema=_FOUND)
 
 
 def _merged(keep: int):

@@ -5,7 +5,7 @@ import random
 import data
 import numpy as np
 
-from noticeflow.llm import html_text, line_dedup, toxicity
+from noticeflow.llm import ann, html_text, line_dedup, toxicity
 
 
 def test_toxic_words_of_a_small_language_are_found():
@@ -58,3 +58,18 @@ def test_an_article_is_found_through_wrappers():
     for page in ("<aside><article>Teaser</article></aside><p>Text</p>", '<div class="comments"><article>Reader says this and that</article></div><p>Text</p>',
                  '<div class="sidebar"><article>Short</article></div><p>A longer text</p>', '<nav><form><main>Menu of many things</main></form></nav><p>Text</p>'):
         assert html_text.main_text(page, {}) in ("Text", "A longer text"), page
+
+
+def test_neighbours_of_equal_score_come_in_order_of_their_ids(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2, (400, 16)).astype("f4")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    full = x.astype(float) @ x.astype(float).T
+    used = x.any(axis=1)
+    for q in range(0, 400, 20):
+        if used[q]:
+            want = sorted((i for i in range(400) if i != q and used[i]), key=lambda i: (-full[q, i], i))[:20]
+            assert got[q] == want, q
