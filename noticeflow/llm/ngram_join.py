@@ -241,21 +241,22 @@ def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
 
 
 def _named(docs: DataFrame, words: int) -> DataFrame:
-    """Every document's set: doc_id, node (its digest, null for an empty set), n."""
+    """Every document's set: doc_id, _hash (of its text), node (the set's digest, null for an empty set), n."""
     def rows(batch, sets):
         return pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
-            pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "node", "n"])
+            batch.column("doc_id"), batch.column("_hash"), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
+            pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "_hash", "node", "n"])
 
-    return cut_lineage(_per_document(docs, words, rows, "doc_id long, node binary, n long", (F.col("doc_id").cast("long").alias("doc_id"),)))
+    own = F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("_hash")
+    return cut_lineage(_per_document(docs, words, rows, "doc_id long, _hash long, node binary, n long", own))
 
 
 def _labelled(named: DataFrame, found: DataFrame) -> DataFrame:
     """``named`` with the smallest doc_id of each component; an empty set is its own document's."""
     rooted = named.filter("node is not null").join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(lowest, "root").select("doc_id", "n", "component_id").union(
-        named.filter("node is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return rooted.join(lowest, "root").select("doc_id", "_hash", "n", "component_id").union(
+        named.filter("node is null").select("doc_id", "_hash", "n", F.col("doc_id").alias("component_id")))
 
 
 def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -357,10 +358,12 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay when each class of similar ones keeps one: the smallest doc_id, empty sets all.
 
-    Rows that share the smallest doc_id stay together (repeated rows are for exact dedup); a class
-    without any doc_id stays whole.
+    Rows that share the smallest doc_id stay together (repeated rows are for exact dedup), rows without
+    doc_id lose to any, and a class without any doc_id stays whole.  Rows are told by id and text, so another
+    text with the id of one that goes stays.
     """
     named, found = _classes(docs, words, percent)
-    keep = _labelled(named, found).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_drop")).filter("_drop is not null").distinct()
-    wrapped = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_own"))
-    return wrapped.join(keep, F.col("_own") == F.col("_drop"), "left_anti").select("doc.*")
+    gone = _labelled(named, found).filter("not (doc_id <=> component_id)").select(
+        F.col("doc_id").alias("_drop"), F.col("_hash").alias("_dropped")).distinct()
+    wrapped = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64(text_of()).alias("_text"))
+    return wrapped.join(gone, F.col("_own").eqNullSafe(F.col("_drop")) & (F.col("_text") == F.col("_dropped")), "left_anti").select("doc.*")

@@ -167,6 +167,19 @@ def test_one_of_each_class_stays(rows, docs, empty):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
     assert collections.Counter(r.doc_id for r in kept.collect()) == want
+
+
+def test_rows_that_go_are_told_by_id_and_text(spark):
+    rng = random.Random(3)
+    base, other = data.words(rng, 200), data.words(rng, 200)
+    near = data.edited(rng, base, 2)
+    rest = ("en", "a", 1, *["c"] * 11)
+    table = data.frame(spark, [(1, base, *rest), (7, near, *rest), (7, other, *rest), (None, near, *rest), (None, data.words(rng, 50), *rest)], data.DOCUMENTS)
+    kept = collections.Counter((r.doc_id, r.text == other) for r in ngram_join.one_of_each(table).collect())
+    assert kept == {(1, False): 1, (7, True): 1, (None, False): 1}
+
+
+def test_nothing_to_join(empty):
     assert ngram_join.one_of_each(empty).count() == ngram_join.similar_classes(empty).count() == 0
 
 
