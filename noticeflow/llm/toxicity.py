@@ -194,10 +194,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
         part = marked.filter(F.col("toxic") == label).withColumn("_draw", draw).orderBy("_draw", "doc_id").limit(most)
         picked = part if picked is None else picked.union(part)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(
-        F.octet_length("text") <= SAMPLE_BYTES).dropDuplicates(["doc_id"])
-    # at most SAMPLE_TOXIC + SAMPLE_ORDINARY ids
-    rows = texts.join(F.broadcast(picked), "doc_id", "inner").orderBy("_draw", "doc_id").select("toxic", "text").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
+    # at most SAMPLE_TOXIC + SAMPLE_ORDINARY ids; of rows with one id, the text with the smallest hash is learnt from
+    mine = texts.join(F.broadcast(picked), "doc_id").groupBy("_draw", "doc_id", "toxic").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = mine.orderBy("_draw", "doc_id").select("toxic", "text").collect()
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return fit_model([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0], share)
 
