@@ -297,24 +297,35 @@ _BLOCK = """chr(10) || rn || '. ' || title || chr(10) || '   Link: ' || url || c
     || ' | Verifica IA: ' || CASE WHEN ai_used THEN 'sì' ELSE 'no' END || chr(10) || '   Perché: ' || reason || chr(10)"""
 
 
-@query("digest", f"""
-    SELECT group_key,
-      CASE WHEN reply IS NOT NULL THEN 'Re: ' || reply
+_SUBJECT = """CASE WHEN reply IS NOT NULL THEN 'Re: ' || reply
            WHEN n > 1 THEN 'Opportunità formatore IA PNRR: ' || name || ' — ' || n || ' avvisi'
            WHEN due <> 'non specificata' THEN 'Opportunità formatore IA PNRR: ' || name || ' (scade ' || due || ')'
-           ELSE 'Opportunità formatore IA PNRR: ' || name END AS subject,
-      'Nuova opportunità di formazione PNRR sull''intelligenza artificiale confermata.' || chr(10) || chr(10)
+           ELSE 'Opportunità formatore IA PNRR: ' || name END"""
+_HEADER = """'Nuova opportunità di formazione PNRR sull''intelligenza artificiale confermata.' || chr(10) || chr(10)
       || 'Scuola: ' || name || chr(10) || 'Codice meccanografico: ' || code || chr(10) || 'Regione: ' || reg || chr(10)
       || 'CUP: ' || the_cup || chr(10) || 'CLP: ' || the_clp || chr(10) || 'Importo: ' || amt || chr(10) || chr(10)
-      || 'Avvisi trovati (' || n || '):' || chr(10) || blocks AS body
-    FROM (SELECT group_key, count(*) AS n, arg_min(school_name, seq) AS name, arg_min(school_code, seq) AS code, arg_min(region, seq) AS reg,
+      || 'Avvisi trovati (' || n || '):' || chr(10)"""
+_HEADS = f"""(SELECT group_key, count(*) AS n, arg_min(school_name, seq) AS name, arg_min(school_code, seq) AS code, arg_min(region, seq) AS reg,
                  arg_min(cup, seq) AS the_cup, arg_min(clp, seq) AS the_clp, arg_min(amount, seq) AS amt, arg_min(deadline, seq) AS due,
                  min(reply_subject) AS reply, string_agg({_BLOCK}, '' ORDER BY seq) AS blocks
-          FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY seq) AS rn FROM {ENTRIES.sql}) GROUP BY group_key)""")
+          FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY seq) AS rn FROM {ENTRIES.sql}) GROUP BY group_key)"""
+
+
+@query("digest", f"SELECT group_key, {_SUBJECT} AS subject, {_HEADER} || blocks AS body FROM {_HEADS}")
 def q_digest(spark, sf_dir):
     return reports.digest(ENTRIES.df(spark, sf_dir), ["seq"])
 
 
+@query("digest_parts", f"""
+    SELECT group_key, 0 AS block_no, {_SUBJECT} AS subject, {_HEADER} AS text FROM {_HEADS}
+    UNION ALL SELECT group_key, rn, NULL, {_BLOCK} FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY seq) AS rn FROM {ENTRIES.sql})""")
+def q_digest_parts(spark, sf_dir):
+    """Headers and numbered blocks as rows: what a sender of messages of any size streams."""
+    headers, blocks = reports.digest_parts(ENTRIES.df(spark, sf_dir), ["seq"])
+    top = headers.select("group_key", F.lit(0).cast("long").alias("block_no"), "subject", F.col("header").alias("text"))
+    return top.unionByName(blocks.select("group_key", F.col("block_no").cast("long").alias("block_no"), F.lit(None).cast("string").alias("subject"), "text"))
+
+
 # --- ordered picks --------------------------------------------------------------------------------------------
 
 @query("keep_first_per_key", f"SELECT school_code, category, min(seq) AS seq, arg_min(title, seq) AS title FROM {FEED.sql} GROUP BY 1, 2")

@@ -144,16 +144,21 @@ def q_log(spark, sf_dir):
     return funnel.decision_log(rows, planned(spark, sf_dir, rows)).select("item_key", "stage", "step")
 
 
+_MATCHED_RULE = "g.gate_stage <> 'rule_rejected' AND stage NOT IN ('prefilter_rejected', 'enrich_error', 'outside_search_window', 'expired', 'hydrate_error')"
+
+
 @query("run_stats", f"""
     SELECT (SELECT count(*) FROM {ORGANISATIONS.sql} WHERE region <> 'de') AS schools, (SELECT count(*) FROM {ORGANISATIONS.sql} WHERE region = 'de') AS unsupported,
       count(*) AS new_items, count(*) FILTER (WHERE stage <> 'prefilter_rejected' AND stage <> 'superseded') AS prefiltered,
-      count(*) FILTER (WHERE confirmed) AS confirmed, count(*) FILTER (WHERE stage = 'alerted') AS alerts
-    FROM ({FINAL_SQL})""")
+      count(*) FILTER (WHERE f.confirmed) AS confirmed, count(*) FILTER (WHERE stage = 'alerted') AS alerts,
+      count(*) FILTER (WHERE {_MATCHED_RULE} AND coalesce(v.error, '') <> '') AS ai_failures,
+      count(*) FILTER (WHERE {_MATCHED_RULE} AND g.ai_used) AS ai_verified, count(*) FILTER (WHERE {_MATCHED_RULE} AND NOT g.ai_used) AS rule_only
+    FROM ({FINAL_SQL}) f JOIN {NOTICES.sql} n USING (item_key) JOIN ({_GATED}) g USING (doc_id) LEFT JOIN {VERDICTS.sql} v USING (item_key)""")
 def q_stats(spark, sf_dir):
     rows = decided_once(spark, sf_dir)
     final = funnel.final_decisions(rows, planned(spark, sf_dir, rows))
     polled = ORGANISATIONS.df(spark, sf_dir).select((F.col("region") != "de").alias("supported"))
-    return reports.run_stats(final, polled).select("schools", "unsupported", "new_items", "prefiltered", "confirmed", "alerts")
+    return reports.run_stats(final, polled)
 
 
 @query("alert_digest", f"""SELECT item_key, 1 AS n FROM ({FINAL_SQL}) WHERE stage = 'alerted'""")
