@@ -48,6 +48,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table that is cheap to count: sent to all tasks if it has ``rows`` rows at most, else joined by shuffle.
+
+    Spares the shuffle of a wide table where Catalyst cannot tell how little stands on the other side.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def evaluate_once(df: DataFrame) -> DataFrame:
     """Keep costly columns from being copied into later filters and projections.
 

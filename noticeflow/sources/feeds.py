@@ -11,7 +11,7 @@ from noticeflow.functions.text import collapse_ws, first_non_empty, html_unescap
 from noticeflow.functions.web import anchors, is_pdf_url, url_join
 from noticeflow.operators.ranking import keep_first
 from noticeflow.schemas import NOTICE_COLUMNS
-from noticeflow.session import evaluate_once
+from noticeflow.session import cut_lineage, evaluate_once, small
 from noticeflow.sources.documents import well_formed_xml
 
 _ITEM = "title string, link string, guid string, pubDate string"
@@ -158,11 +158,12 @@ def list_category_documents(registry: DataFrame, pages: DataFrame,
     boards = registry.withColumn("_code", code).filter(F.col("_code") != "").select(
         "school_code", F.concat(F.lit(head), F.col("_code"), F.lit(tail)).alias("url"))
     # only pages that lead to the category take part in the first join, as a short reference
-    leads = pages.join(boards.select("url"), "url", "left_semi").select("url", F.get(
+    leads = pages.join(small(boards.select("url")), "url", "left_semi").select("url", F.get(
         F.filter(anchors(F.col("html")), lambda a: a["label"] == target), F.lit(0))["href"].alias("href"))
-    category = boards.join(evaluate_once(leads).filter(F.col("href").isNotNull()), "url").select(
-        "school_code", url_join(F.col("url"), F.col("href")).alias("url"))
-    listed = category.join(pages, "url").select(
+    category = cut_lineage(boards.join(evaluate_once(leads).filter(F.col("href").isNotNull()), "url").select(
+        "school_code", url_join(F.col("url"), F.col("href")).alias("url")))
+    # page bodies stay where they are while the category pages are few
+    listed = pages.join(small(category), "url").select(
         "school_code", "url", F.posexplode(anchors(F.col("html"))).alias("pos", "a")
     ).filter((F.col("a.label") != "") & ~F.col("a.label").isin(*labels))
     rows = listed.select("school_code", "pos", F.col("a.label").alias("title"),

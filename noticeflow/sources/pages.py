@@ -9,7 +9,7 @@ from noticeflow.functions.web import (
     anchors, html_title, html_to_text, is_pdf_url, last_segment, looks_like_document, url_clean, url_host, url_join,
 )
 from noticeflow.operators.ranking import keep_first, top_k
-from noticeflow.session import cut_lineage, evaluate_once
+from noticeflow.session import cut_lineage, evaluate_once, small
 from noticeflow.sources.feeds import as_notices
 
 
@@ -73,7 +73,8 @@ def crawl_frontier(starts: DataFrame, pages: DataFrame, max_pages: int = vocab.M
     """
     ids = starts.select("start_id", "cup", "clp", url_host(F.col("url")).alias("host"))
     # a crawl stays on its hosts, so pages of no start's host are neither parsed nor moved
-    pages = pages.join(ids.select(F.col("host").alias("_host")).distinct(), url_host(F.col("url")) == F.col("_host"), "left_semi")
+    hosts = small(cut_lineage(ids.select(F.col("host").alias("_host")).distinct()))
+    pages = pages.join(hosts, url_host(F.col("url")) == F.col("_host"), "left_semi")
     leads = cut_lineage(leading_links(pages))
     frontier = starts.select("start_id", "url", F.lit(0).cast("bigint").alias("turn"))
     visited: DataFrame | None = None
@@ -96,7 +97,8 @@ def crawl_frontier(starts: DataFrame, pages: DataFrame, max_pages: int = vocab.M
         turn = F.col("visit_order") * F.lit(1 << 31) + F.col("pos")
         frontier = _outgoing(level, leads, ids).filter("section").select("start_id", "url", turn.alias("turn"))
     html = F.col("html")
-    bodies = visited.join(pages.select("url", "html"), "url").select(
+    # bodies stay where they are while the visits are few
+    bodies = pages.select("url", "html").join(small(visited), "url").select(
         "start_id", "url", "visit_order", html_title(html).alias("title"), html_to_text(html).alias("text"))
     read = evaluate_once(bodies).join(ids, "start_id").filter(
         candidate_page_filter(F.col("url"), F.col("title"), F.col("text"), F.col("cup"), F.col("clp"))
