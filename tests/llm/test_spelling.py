@@ -112,3 +112,16 @@ def test_no_words(spark):
     assert spelling.spelling_variants(spark.createDataFrame([], data.DOCUMENTS)).count() == 0
     few = data.frame(spark, [(1, "once only", *REST), (None, None, *NONE)], data.DOCUMENTS)
     assert spelling.spelling_variants(few).count() == 0
+
+
+def test_sql_equals_the_operator(spark):
+    import duckdb
+
+    from noticeflow.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    want = connection.execute(f"select word, form, root, n, n_near, form_n from ({spelling.SPELLING_SQL})").fetchall()
+    got = queries.op11_spelling(spark, folder).select("word", "form", "root", "n", "n_near", "form_n").collect()
+    assert len(want) > 1000 and sorted(map(tuple, got)) == sorted(want)
