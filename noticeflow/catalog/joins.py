@@ -1,7 +1,9 @@
 """Queries over history joins, threads, groups and ordered picks."""
 
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.catalog.base import FEED, ORDER_NOTICES, PROJECTS, View, case, italian_date, padded, query, table, text
@@ -33,6 +35,21 @@ def q_superseded(spark, sf_dir):
     return lookups.with_superseded(ORDER_NOTICES.df(spark, sf_dir)).select("item_id", "superseded")
 
 
+@query("superseded_over_time", f"""
+    SELECT n.item_id, (n.status = 'O' AND EXISTS (
+        SELECT 1 FROM {ORDER_NOTICES.sql} r WHERE r.school_code = n.school_code AND r.status = 'F' AND r.seq % 3 <= n.seq % 3
+        AND (n.published = '' OR r.published = '' OR r.day >= n.day))) AS superseded FROM {ORDER_NOTICES.sql} n""")
+def q_superseded_over_time(spark, sf_dir):
+    """Three polls: result acts of earlier ones close later notices, those of later ones come too late."""
+    notices, earlier, polls = ORDER_NOTICES.df(spark, sf_dir), None, []
+    for poll in range(3):
+        now = notices.filter(F.col("seq") % 3 == poll)
+        polls.append(lookups.with_superseded(now, earlier=earlier).select("item_id", "superseded"))
+        acts = lookups.result_acts(now)
+        earlier = acts if earlier is None else lookups.merge_result_acts(earlier, acts)
+    return reduce(DataFrame.unionByName, polls)
+
+
 @query("project_lookup", f"""SELECT n.item_id, n.school_code, p.school_name, p.region, p.amount
     FROM {ORDER_NOTICES.sql} n LEFT JOIN {PROJECTS.sql} p ON n.school_code = p.school_code""")
 def q_project(spark, sf_dir):

@@ -9,6 +9,9 @@ from noticeflow.catalog import joins, texts
 from noticeflow.catalog.base import View, case, norm_sql, padded, query, text
 from noticeflow.operators import reports
 from noticeflow.plans import funnel
+from noticeflow.session import scratch_path
+from noticeflow.sources import state
+from noticeflow.streaming import intake
 
 RUN = funnel.Run(as_of=datetime(2026, 6, 15, 9, 30))
 
@@ -169,3 +172,20 @@ def q_alert_digest(spark, sf_dir):
     sent = plan.filter(F.col("stage") == "alerted").select("item_key", "group_key")
     messages = funnel.alert_digest(plan, known).filter(F.length("subject") > 5)
     return sent.join(messages, "group_key").groupBy("item_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_runs", f"SELECT item_key, stage, processed FROM ({FINAL_SQL})")
+def q_stream_runs(spark, sf_dir):
+    """The same run over a stream of notices, from stored state to stored decisions."""
+    alerts, known = _inputs(spark, sf_dir)
+    root, none = scratch_path(spark, "runs"), F.lit(None).cast("string")
+    blank = {c: none for c in ("school_code", "url", "message_id", "subject", "title", "published")}
+    state.write_state(alerts.withColumns(blank | {"created_at": F.col("updated_at")}), root, "alerts")
+    seen = PROCESSED.df(spark, sf_dir).distinct().withColumns(blank | {"first_seen": F.lit(RUN.utc)})
+    state.write_state(seen, root, "processed_items")
+    state.write_state(known.withColumn("created_at", F.col("updated_at")), root, "call_threads")
+    tables = {"registry": ORGANISATIONS.df(spark, sf_dir), "texts": TEXTS.df(spark, sf_dir), "verdicts": VERDICTS.df(spark, sf_dir)}
+    intake.stream_funnel(NOTICES.stream(spark, sf_dir), lambda: tables, RUN, root, scratch_path(spark, "offsets"))
+    done = state.read_state(spark, root, "processed_items").select("item_key", F.lit(True).alias("processed"))
+    return state.read_state(spark, root, "decisions").select("item_key", "stage").join(done, "item_key", "left").withColumn(
+        "processed", F.coalesce("processed", F.lit(False)))
