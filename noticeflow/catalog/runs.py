@@ -137,14 +137,43 @@ def q_policy(spark, sf_dir):
     return final.groupBy("stage", "processed").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Reasons of every step; of a deadline found in a text only the sentence's beginning is compared.
+_RULED = texts._VERDICT_SQL.replace(texts.NOTICES.sql, _DOCS)
+_CAUSE = "CASE WHEN coalesce(v.error, '') <> '' THEN 'disponibile: ' || v.error ELSE 'consultata - mode/budget/key' END"
+_LATE = "Document-stated application deadline "
+
+
+def _quoted(sentence):
+    return "'" + sentence.replace("'", "''") + "'"
+
+
+_REASONS = f"""(SELECT f.*, f.confirmed AND g.unverified AS unverified,
+      CASE WHEN v.answer IS NOT NULL AND coalesce(v.error, '') = '' THEN
+          CASE WHEN len(string_split(v.answer, '|')) > 4 THEN trim(split_part(v.answer, '|', 5)) ELSE trim(v.answer) END
+        WHEN g.unverified THEN 'NON VERIFICATO DA AI - possibile opportunità basata solo sulle regole (AI non ' || {_CAUSE} || '). ' || r.reason ELSE r.reason END AS told,
+      CASE f.stage WHEN 'prefilter_rejected' THEN {_quoted(funnel.PREFILTER_REASON)} WHEN 'enrich_error' THEN left(n.enrich_error, {vocab.ERROR_CHARS})
+        WHEN 'hydrate_error' THEN left(t.hydrate_error, {vocab.ERROR_CHARS})
+        WHEN 'outside_search_window' THEN 'Published ' || n.published || ', older than the rolling {vocab.SEARCH_WINDOW_DAYS}-day search window as of today.'
+        WHEN 'expired' THEN CASE WHEN n.expires = '31/05/2026' THEN 'Platform-reported archive/expiry date ' || n.expires || ' has passed.' ELSE '{_LATE}' END
+        WHEN 'rule_rejected' THEN left(r.reason, {vocab.REASON_CHARS}) WHEN 'ai_rejected' THEN left('AI rejected candidate: ' || trim(v.answer), {vocab.REASON_CHARS})
+        WHEN 'already_alerted' THEN {_quoted(funnel.ALREADY_REASON)} WHEN 'held' THEN {_quoted(funnel.HELD_REASON)}
+        WHEN 'suppressed_duplicate' THEN 'No new information beyond what was already sent (' || m.why || ').' END AS why
+    FROM ({FINAL_SQL}) f JOIN {NOTICES.sql} n USING (item_key) JOIN {TEXTS.sql} t USING (item_key) JOIN ({_GATED}) g USING (doc_id) JOIN {_RULED} r USING (doc_id)
+    LEFT JOIN {VERDICTS.sql} v USING (item_key)
+    LEFT JOIN (WITH funnel_items AS MATERIALIZED {_ITEMS} SELECT item_key AS id, {joins._WHY} AS why FROM {_MATCHED}) m ON m.id = cast(n.doc_id AS string))"""
+
+
 @query("decision_log", f"""
-    SELECT item_key, stage, 3 AS step FROM ({FINAL_SQL})
-    UNION ALL SELECT item_key, 'confirmed', 2 FROM ({FINAL_SQL}) WHERE stage IN ('alerted', 'held', 'suppressed_duplicate')
-    UNION ALL SELECT f.item_key, 'confirmed_unverified', 1 FROM ({FINAL_SQL}) f JOIN {NOTICES.sql} n USING (item_key) JOIN ({_GATED}) g USING (doc_id)
-      WHERE f.confirmed AND g.unverified""")
+    WITH told AS MATERIALIZED (SELECT * FROM {_REASONS})
+    SELECT item_key, stage, 3 AS step, CASE WHEN stage = 'alerted' THEN told WHEN stage LIKE 'ai_unavailable%' THEN 'deferred' ELSE why END AS reason FROM told
+    UNION ALL SELECT item_key, 'confirmed', 2, told FROM told WHERE stage IN ('alerted', 'held', 'suppressed_duplicate')
+    UNION ALL SELECT item_key, 'confirmed_unverified', 1, left(told, {vocab.REASON_CHARS}) FROM told WHERE unverified""")
 def q_log(spark, sf_dir):
     rows = decided_once(spark, sf_dir)
-    return funnel.decision_log(rows, planned(spark, sf_dir, rows)).select("item_key", "stage", "step")
+    log = funnel.decision_log(rows, planned(spark, sf_dir, rows))
+    reason = F.when(F.col("stage").startswith("ai_unavailable"), "deferred").when(
+        F.startswith("reason", F.lit(_LATE)), F.lit(_LATE)).otherwise(F.col("reason"))
+    return log.select("item_key", "stage", "step", reason.alias("reason"))
 
 
 _MATCHED_RULE = "g.gate_stage <> 'rule_rejected' AND stage NOT IN ('prefilter_rejected', 'enrich_error', 'outside_search_window', 'expired', 'hydrate_error')"
