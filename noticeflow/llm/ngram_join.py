@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import components, text_of
+from noticeflow.llm.common import components, stored, text_of
 from noticeflow.llm.shingles import by_bytes, mix64, shingle_sets
 from noticeflow.llm.tables import bit_tables, counted_levels, level_of, ranges_of
 from noticeflow.session import cut_lineage
@@ -93,7 +93,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int, level
     ``delta`` holds what set b has and a lacks, the rarest first, then (salted) what a has and b lacks;
     ``size`` counts both, ``adds`` the first.  It is left out for pairs that have little in common.
     """
-    nodes = cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "ngram-nodes")
     sets = cut_lineage(_sets_of(docs, words, nodes))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,10 +294,10 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
 
     nodes = _per_document(docs, words, prefixes, "node binary, n long, prefix binary, rare int").groupBy("node").agg(
         F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"))
-    nodes = cut_lineage(nodes.withColumn("prefix_name", F.md5(F.concat(F.col("prefix"), F.col("n").cast("string").cast("binary")))))
-    groups = cut_lineage(nodes.groupBy("prefix_name").agg(
+    nodes = stored(nodes.withColumn("prefix_name", F.md5(F.concat(F.col("prefix"), F.col("n").cast("string").cast("binary")))), "ngram-nodes")
+    groups = stored(nodes.groupBy("prefix_name").agg(
         F.min(F.struct("rare", "node")).alias("centre"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"),
-        F.first("prefix").alias("prefix")).select("prefix_name", "members", "n", "prefix", F.col("centre.rare").alias("rare"), F.col("centre.node").alias("g")))
+        F.first("prefix").alias("prefix")).select("prefix_name", "members", "n", "prefix", F.col("centre.rare").alias("rare"), F.col("centre.node").alias("g")), "ngram-groups")
     # shingles that are in one prefix only open no bucket
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     again = spark.sparkContext.broadcast(counted_levels(groups.select("prefix").mapInArrow(_packed(ranges), "range int, keys binary"), ranges, (2,)))
@@ -316,19 +316,19 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
                     pa.array(tokens[some].view(np.int64)), *[batch.column(c).take(of) for c in ("g", "n", "rare")],
                     pa.array(at[some].astype(np.int32))], ["bucket", "g", "n", "rare", "at"])
 
-    rows = cut_lineage(groups.select("g", "n", "rare", "prefix").mapInArrow(spread, "bucket long, g binary, n long, rare int, at int"))
+    rows = stored(groups.select("g", "n", "rare", "prefix").mapInArrow(spread, "bucket long, g binary, n long, rare int, at int"), "ngram-buckets")
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("rare", "g", "n", "at")).alias("hub")).filter("k > 1")
-    shared = cut_lineage(rows.join(shared, "bucket").select("bucket", "g", "n", "at", "hub"))
+    shared = stored(rows.join(shared, "bucket").select("bucket", "g", "n", "at", "hub"), "ngram-shared")
     stars = shared.select("g", "n", "at", "hub").filter("g <> hub.g").filter(_close(percent).replace("x.", "").replace("y.", "hub."))
     stars = stars.select(F.col("hub.g").alias("a"), F.col("g").alias("b"), F.col("hub.rare").alias("rare"))
-    members = cut_lineage(nodes.join(groups.filter("members > 1").select("prefix_name", "g", F.col("rare").alias("centre")), "prefix_name").select(
-        "node", "g", "n", "centre"))
-    tried = cut_lineage(stars.union(members.filter("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"), "centre")).distinct())
+    members = stored(nodes.join(groups.filter("members > 1").select("prefix_name", "g", F.col("rare").alias("centre")), "prefix_name").select(
+        "node", "g", "n", "centre"), "ngram-members")
+    tried = stored(stars.union(members.filter("node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"), "centre")).distinct(), "ngram-tried")
     compared = _compared(tried, docs, words, percent, levels)
     # every node belongs to the most central hub that it has much in common with
     near = compared.filter("delta IS NOT NULL").join(tried, ["a", "b"])
-    near = cut_lineage(near.groupBy(F.col("b").alias("node")).agg(
-        F.min(F.struct("rare", F.col("a").alias("hub"), "n", "ok", "size", "adds", "delta")).alias("m")).select("node", "m.*").drop("rare"))
+    near = stored(near.groupBy(F.col("b").alias("node")).agg(
+        F.min(F.struct("rare", F.col("a").alias("hub"), "n", "ok", "size", "adds", "delta")).alias("m")).select("node", "m.*").drop("rare"), "ngram-near")
     centred = _centred(near, percent)
     links = compared.filter("ok").select("a", "b").union(centred.filter("joined AND m <> node").select("m", "node"))
     found = cut_lineage(components(links))
@@ -339,18 +339,18 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     placed = members.select("node", "g").union(alone).join(found, "node", "left").select(
         "node", "g", F.coalesce("component", "node").alias("c"))
     placed = placed.join(near.select("node", "hub"), "node", "left").withColumn("h", F.coalesce("hub", "node")).drop("hub")
-    placed = cut_lineage(placed.join(shared.select("g").union(members.select("g")).distinct(), "g", "left_semi"))
+    placed = stored(placed.join(shared.select("g").union(members.select("g")).distinct(), "g", "left_semi"), "ngram-placed")
     spans = placed.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     open_ = shared.join(spans, "g").groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("bucket")
     rest = shared.join(open_, "bucket", "left_semi").join(placed, "g").select("bucket", "node", "n", "at", "c", "h")
     split = members.join(spans.filter("low < high").select("g"), "g", "left_semi").join(placed.select("node", "c", "h"), "node").select(
         F.xxhash64("g").alias("bucket"), "node", "n", F.lit(0).alias("at"), "c", "h")
-    rest = cut_lineage(rest.union(split))
+    rest = stored(rest.union(split), "ngram-rest")
     more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket AND x.c < y.c AND x.h <> y.h AND {_close(percent)}")).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(around).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut_lineage(more.join(done, ["a", "b"], "left_anti"))
+    more = stored(more.join(done, ["a", "b"], "left_anti"), "ngram-more")
     links = links.union(_compared(more, docs, words, percent, None).filter("ok").select("a", "b"))
     return named, components(links)
 
