@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from noticeflow.llm.common import components, stored, text_of
 from noticeflow.llm.shingles import by_bytes, mix64, shingle_sets
 from noticeflow.llm.tables import bit_tables, counted_levels, level_of, ranges_of
-from noticeflow.session import cut_lineage
+from noticeflow.session import cut_lineage, small
 
 ZONE = 2                          # prefixes are counted this many times their length
 FREQUENT = (8, 64, 512, 4096)     # documents from which a shingle is of the next level
@@ -115,8 +115,10 @@ def _compared(pairs: DataFrame, docs: DataFrame, words: int, percent: int, level
                 batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(ok, pa.bool_()), pa.array(size, pa.int64()),
                 pa.array(adds, pa.int64()), pa.array(delta, pa.binary())], ["a", "b", "n", "ok", "size", "adds", "delta"])
 
-    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("values").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
+    # of the first sides, often a few hubs, only their own sets move
+    firsts = small(stored(pairs.select(F.col("a").alias("node")).distinct(), "ngram-firsts"))
+    hubs = sets.join(firsts, "node", "left_semi").select(F.col("node").alias("a"), F.col("values").alias("x"))
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("b"), F.col("values").alias("y")), "b").join(hubs, "a")
     return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary, n long, ok boolean, size long, adds long, delta binary"))
 
 
