@@ -155,3 +155,13 @@ def test_state_snapshots(spark, scratch):
     store.write_state(row, scratch, "processed_items")
     store.write_state(store.read_state(spark, scratch, "processed_items").unionByName(row.withColumn("item_key", F.lit("k2"))), scratch, "processed_items")
     assert store.read_state(spark, scratch, "processed_items").count() == 2
+
+
+@pytest.mark.parametrize("hot_rows", [100_000, 1])
+def test_entries_with_equal_order_keep_a_row_each(spark, hot_rows):
+    rows = [("G", 1, ["tutor"], None), ("G", 1, ["rup"], "a"), ("G", 1, ["rup"], "a"), ("G", 2, [], None), ("G", 2, [], None),
+            ("G", 3, ["rup"], None), ("G", 4, [], "a"), ("G", 5, ["esperto"], None), ("G", 5, ["esperto", "tutor"], "b")]
+    df = spark.createDataFrame(rows, "grp string, o bigint, role_signature array<string>, protocol_ref string")
+    found = sorted((r.o, r.role_signature, r.cluster_id) for r in clusters.cluster_new(df, "grp", "o", hot_rows=hot_rows).collect())
+    assert found == [(1, ["rup"], 1), (1, ["rup"], 1), (1, ["tutor"], 1), (2, [], 2), (2, [], 2), (3, ["rup"], 1), (4, [], 1),
+                     (5, ["esperto"], 5), (5, ["esperto", "tutor"], 1)]
