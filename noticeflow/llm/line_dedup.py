@@ -20,10 +20,10 @@ PERCENT = 80          # Jaccard similarity from which lines are linked
 BANDS, BAND = 12, 4   # a pair at 0.8 shares a band with probability 0.998
 LEAST_CHARS = 1       # shorter lines, blank ones, always stay
 BAND_CHARS = 10       # shorter lines are compared exactly only, without bands
-
 _NEWLINE = 10
 _MARK = 20            # bits of a band key that tell the line, when lines with the key are counted
 _BINS = BANDS * BAND
+_WORDS = 32           # of 64 bits, in the bit map of a line's shingles
 
 
 class Lines:
@@ -226,23 +226,83 @@ def _occurrences(docs: DataFrame, repeated: np.ndarray, shared: DataFrame) -> Da
     return stored(_each(docs, rows, "_id long, _hash long, number int, node binary, line binary", _document()), "line-occurrences")
 
 
+def _shingled(rest: DataFrame, rows, schema: str) -> DataFrame:
+    """Apply ``rows(batch, sets)`` (an Arrow batch or None) to lines (node, line) in parts, with their shingle sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_bytes(whole, "line"):
+                lines = Lines(batch.column("line").cast(pa.large_binary()).cast(pa.large_string()))
+                hashes, owner = lines.shingles(np.arange(batch.num_rows))
+                cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+                out = rows(batch, [np.unique(hashes[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
+                if out is not None:
+                    yield out
+
+    return rest.mapInArrow(run, schema)
+
+
+def _outlines(rest: DataFrame) -> DataFrame:
+    """(node, n, u, bits): the size of each line's shingle set, how many of it another line may have, and a bit map of these."""
+    spark = rest.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = _shingled(rest, lambda batch, sets: ranges_of(np.concatenate(sets), ranges), "range int, keys binary")
+    again = spark.sparkContext.broadcast(counted_levels(counts, ranges, (2,)))  # a table of fixed size
+
+    def rows(batch, sets):
+        known = [x[level_of(again.value, x) > 0] for x in sets]
+        words = np.zeros((len(sets), _WORDS), np.uint64)
+        for row, x in zip(words, known, strict=True):
+            at = x >> np.uint64(32)  # the lower half has picked the bit of the table
+            np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64) % _WORDS, np.uint64(1) << (at & np.uint64(63)))
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * _WORDS), pa.array(words.ravel().view(np.int64)))
+        return pa.RecordBatch.from_arrays([
+            batch.column("node"), pa.array([len(x) for x in sets], pa.int32()), pa.array([len(x) for x in known], pa.int32()), bits],
+            ["node", "n", "u", "bits"])
+
+    return stored(_shingled(rest, rows, "node binary, n int, u int, bits array<long>"), "line-outlines")
+
+
+def _close() -> str:
+    """SQL: lines x and y may be similar by their outlines.
+
+    What is in x's bit map and not in y's is in one of the sets only, so both have at most u less that many in common.
+    """
+    apart = "aggregate(zip_with({0}.bits, {1}.bits, (p, q) -> bit_count(p & ~q)), 0, (s, v) -> s + v)"
+    need = f"{PERCENT} * (x.n + y.n)"
+    return (f"x.c <> y.c AND {100 + PERCENT} * least(x.u, y.u) >= {need} AND {100 + PERCENT} * (x.u - {apart.format('x', 'y')}) >= {need} "
+            f"AND {100 + PERCENT} * (y.u - {apart.format('y', 'x')}) >= {need}")
+
+
 def _line_components(shared: DataFrame, seen: DataFrame) -> DataFrame:
     """(node, component) of the lines that are similar to another one.
 
-    Lines that share a band are verified against the most frequent of the band; bands that then still hold
-    several components are paired across components.  So a great group of near copies is joined by one
-    comparison a line, and no pair of a band that could join two components is left out.
+    Lines that share a band are verified against the most frequent of the band.  Bands that then still hold several
+    components, as those of lines that only have a passage in common, are joined to the line with the least
+    shingles no other has, then paired across components; pairs whose outlines show that they have too little in
+    common are not made.  So a great group of near copies is joined by one comparison a line, and no pair of a band
+    that could join two components is left out.
     """
     texts = stored(seen.filter("line IS NOT NULL").groupBy("node").agg(F.first("line").alias("line")), "line-texts")
     tried = stored(shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "line-pairs")
     links = _verified(tried, texts)
     found = cut_lineage(components(links))
-    placed = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
-    rest = stored(placed.join(mixed, "bucket", "left_semi"), "line-rest")
-    more = rest.alias("x").join(rest.alias("y"), F.expr("x.bucket = y.bucket AND x.c < y.c")).select(
-        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = more.join(tried, ["a", "b"], "left_anti")
+
+    def across(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows of bands whose lines are of several components c."""
+        placed = rows.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
+        return placed.join(mixed, "bucket", "left_semi")
+
+    rest = stored(across(shared.select("bucket", "node"), found), "line-rest")
+    outlines = _outlines(texts.join(rest.select("node").distinct(), "node", "left_semi"))
+    rest = stored(rest.join(outlines, "node"), "line-rows")
+    middle = rest.groupBy("bucket").agg(F.min(F.struct((F.col("n") - F.col("u")).alias("own"), "node", "n", "u", "bits", "c")).alias("y"))
+    pair = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
+    stars = rest.alias("x").join(middle, "bucket").filter(_close()).select(*pair).distinct()
+    links = links.union(_verified(stars, texts))
+    found = cut_lineage(components(links))
+    left = stored(across(rest.drop("c"), found), "line-across")
+    more = left.alias("x").join(left.alias("y"), F.expr(f"x.bucket = y.bucket AND x.node < y.node AND {_close()}")).select(*pair).distinct()
     return cut_lineage(components(links.union(_verified(more, texts))))
 
 
