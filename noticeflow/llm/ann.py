@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticeflow.session import cut_lineage
 
@@ -19,7 +20,9 @@ WIDTH = 1.0            # width of a hash interval, in largest norms
 BUCKET = 500           # vectors that a bucket is meant to hold
 RECALL = 0.98          # neighbours that the visited buckets should hold, by the hash functions' own estimate
 SAMPLE, SAMPLE_QUERIES = 4096, 128     # vectors that the neighbour distance is fitted on
-INDEX_BLOCK, QUERY_BLOCK = 2048, 512   # a task's pair of blocks
+INDEX_BLOCK, QUERY_BLOCK = 1 << 22, 1 << 21   # numbers in a task's pair of blocks, at most
+PARTS, PART = 24, 1 << 19     # an index of that many blocks of PART numbers or less is not cut further
+PRODUCTS = 1 << 21     # inner products that a task holds at once
 SPARE = 8              # candidates kept beyond k until the exact scores are known
 
 
@@ -37,6 +40,7 @@ class Hashing:
     functions: int
     norm: float
     radius: float
+    n: int
 
     def __post_init__(self):
         rng = np.random.default_rng(7 + self.dim)
@@ -52,45 +56,56 @@ class Hashing:
         left = np.sqrt(np.maximum(0.0, self.norm**2 - (x * x).sum(axis=1)))
         return np.floor(self._project(x, left)).astype(np.int64)
 
-    def probes(self, q: np.ndarray) -> Iterator[tuple[int, int, tuple[int, ...]]]:
-        """(table, query, bucket) by descending chance, until the tables together should hold RECALL of the neighbours."""
+    def chances(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per table, query and function: the lowest interval in reach, and the chance that a neighbour lies in each from there."""
         scaled = q * (self.norm / np.sqrt((q * q).sum(axis=1)))[:, None]
         at = self._project(scaled, np.zeros(len(q)))
-        enough = 1 - (1 - RECALL) ** (1 / TABLES)
         spread = self.radius / self.norm / WIDTH
         reach = max(1, math.ceil(3 * spread))
+        low = np.floor(at).astype(np.int64) - reach
+        ends = low[..., None] + np.arange(2 * reach + 2)
+        return low, np.diff(np.interp((ends - at[..., None]) / spread, _GRID, _NORMAL), axis=-1)
+
+    def least(self, q: np.ndarray) -> np.ndarray:
+        """Per query and table the least chance of a bucket that is visited: the tables together should hold RECALL of the neighbours."""
+        enough = 1 - (1 - RECALL) ** (1 / TABLES)
+        chances = -np.sort(-self.chances(q)[1], axis=-1)
+        return np.array([[_least(chances[t, i].tolist(), enough) for t in range(TABLES)] for i in range(len(q))]).reshape(len(q), TABLES)
+
+    def visited(self, low: np.ndarray, chances: np.ndarray, least: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """query x vector: whether the vector is in a bucket that the query visits in any table."""
+        out = np.zeros((low.shape[1], buckets.shape[1]), bool)
         for t in range(TABLES):
-            for i in range(len(q)):
-                choices = []
-                for x in at[t, i]:
-                    base = math.floor(x)
-                    ends = [_normal((b - x) / spread) for b in range(base - reach, base + reach + 2)]
-                    chance = sorted(((ends[j + 1] - ends[j], base - reach + j) for j in range(2 * reach + 1)), reverse=True)
-                    choices.append(chance)
-                for bucket in _likeliest(choices, enough):
-                    yield t, i, bucket
+            different, own = np.unique(buckets[t], axis=0, return_inverse=True)
+            chance = np.ones((len(out), len(different)))
+            for f in range(self.functions):
+                step = different[:, f] - low[t, :, f, None]
+                inside = (step >= 0) & (step < chances.shape[-1])
+                chance *= np.where(inside, np.take_along_axis(chances[t, :, f], np.where(inside, step, 0), axis=1), 0)
+            out |= ((chance > 0) & (chance >= least[:, t, None] * (1 - 1e-9)))[:, own.ravel()]
+        return out
 
 
-def _normal(z: float) -> float:
-    return 0.5 * math.erfc(-z / math.sqrt(2))
+_GRID = np.linspace(-9, 9, 1 << 14)
+_NORMAL = np.array([0.5 * math.erfc(-z / math.sqrt(2)) for z in _GRID])
 
 
-def _likeliest(choices: list[list[tuple[float, int]]], enough: float) -> Iterator[tuple[int, ...]]:
-    """Combinations of one choice per function in the order of their product, until ``enough`` is seen."""
+def _least(choices: list[list[float]], enough: float) -> float:
+    """Products of one choice per function (each list descending) are taken in descending order, until ``enough`` is seen: the last one."""
     start = (0,) * len(choices)
-    heap, seen, total = [(-math.prod(c[0][0] for c in choices), start)], {start}, 0.0
+    heap, seen, total, last = [(-math.prod(c[0] for c in choices), start)], {start}, 0.0, 0.0
     while heap and total < enough:
         chance, pick = heapq.heappop(heap)
         if chance == 0:
-            return
-        total -= chance
-        yield tuple(c[p][1] for c, p in zip(choices, pick, strict=True))
+            return last
+        total, last = total - chance, -chance
         for f in range(len(pick)):
             if pick[f] + 1 < len(choices[f]):
                 after = pick[:f] + (pick[f] + 1,) + pick[f + 1:]
                 if after not in seen:
                     seen.add(after)
-                    heapq.heappush(heap, (-math.prod(c[p][0] for c, p in zip(choices, after, strict=True)), after))
+                    heapq.heappush(heap, (-math.prod(c[p] for c, p in zip(choices, after, strict=True)), after))
+    return last
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -101,7 +116,7 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.filter(finite).filter(F.exists("v", lambda x: x != 0))
 
 
-def _distinct(rows: DataFrame, keep: int) -> DataFrame:
+def _distinct(rows: DataFrame, keep: int, kind: str) -> DataFrame:
     """(gid, v, ids): every different vector once, with its ``keep`` smallest ids, of which gid is the first.
 
     Among equal vectors only the smallest ids can be among the nearest.  A partition hands on ``keep`` of
@@ -113,10 +128,10 @@ def _distinct(rows: DataFrame, keep: int) -> DataFrame:
             for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True):
                 held.setdefault(tuple(x + 0.0 for x in v), []).append(i)
             yield pa.RecordBatch.from_arrays([
-                pa.array(list(held), pa.list_(pa.float64())),
+                pa.array(list(held), pa.list_(pa.float32() if kind == "float" else pa.float64())),
                 pa.array([sorted(set(ids))[:keep] for ids in held.values()], pa.list_(pa.int64()))], ["v", "ids"])
 
-    lists = rows.mapInArrow(few, "v array<double>, ids array<long>")
+    lists = rows.mapInArrow(few, f"v array<{kind}>, ids array<long>")
     ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
     return cut_lineage(lists.groupBy("v").agg(ids.alias("ids")).select(F.element_at("ids", 1).alias("gid"), "v", "ids"))
 
@@ -124,7 +139,7 @@ def _distinct(rows: DataFrame, keep: int) -> DataFrame:
 def fit(groups: DataFrame, k: int) -> dict[int, Hashing]:
     """Hash functions per dimension; their number follows the count of vectors, their reach a fitted distance."""
     stats = groups.groupBy(F.size("v").alias("dim")).agg(
-        F.count(F.lit(1)).alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm")).collect()
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).alias("norm")).collect()
     out = {}
     for row in stats:  # one per dimension
         sample = groups.filter(F.size("v") == row.dim).orderBy(F.xxhash64("gid"), "gid").limit(SAMPLE).select("v").collect()
@@ -136,64 +151,64 @@ def fit(groups: DataFrame, k: int) -> dict[int, Hashing]:
         best = -np.sort(-score, axis=1)[:, rank - 1] if len(x) > 1 else np.zeros(1)
         distance = np.sqrt(np.maximum(0, 2 * row.norm**2 - 2 * np.where(np.isfinite(best), best, 0)))
         radius = max(float(np.median(distance)), 1e-3 * row.norm)
-        out[row.dim] = Hashing(row.dim, max(1, round(math.log(max(1.0, row.n / BUCKET), 5))), row.norm, radius)
+        out[row.dim] = Hashing(row.dim, max(1, round(math.log(max(1.0, row.n / BUCKET), 5))), row.norm, radius, row.n)
     return out
 
 
-_HASHED = "dim int, t int, bucket string, gid long, v binary"
+def _vectors(column) -> np.ndarray:
+    """Equally long vectors as rows of doubles."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _hashed(groups: DataFrame, hashing: dict[int, Hashing], query: bool) -> DataFrame:
-    """A row per vector and bucket it lies in (index) or visits (query)."""
+def _asking(groups: DataFrame, hashing: dict[int, Hashing], kind: str) -> DataFrame:
+    """(dim, gid, v, least): the queries, with the least chance of a bucket that each visits per table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
-                gid, vectors = batch.column("gid").to_numpy(zero_copy_only=False), batch.column("v").to_pylist()
-                size = np.array([len(v) for v in vectors])
-                for dim in np.unique(size).tolist():
-                    at = np.flatnonzero(size == dim)
-                    x = np.array([vectors[i] for i in at])
-                    h = hashing[dim]
-                    if query:
-                        rows = [(t, i, ",".join(map(str, b))) for t, i, b in h.probes(x)]
-                    else:
-                        found = h.buckets(x)
-                        rows = [(t, i, ",".join(map(str, found[t, i].tolist()))) for t in range(TABLES) for i in range(len(x))]
-                    raw = [v.tobytes() for v in x]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([dim] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()),
-                        pa.array([r[2] for r in rows]), pa.array([int(gid[at[r[1]]]) for r in rows], pa.int64()),
-                        pa.array([raw[r[1]] for r in rows], pa.binary())], ["dim", "t", "bucket", "gid", "v"])
-
-    return groups.select("gid", "v").mapInArrow(run, _HASHED)
+                dims = batch.column("dim").to_numpy(zero_copy_only=False)
+                for dim in np.unique(dims).tolist():
+                    part = batch.filter(pa.array(dims == dim))
+                    least = hashing[dim].least(_vectors(pa.chunked_array([part.column("v")])))
+                    yield pa.RecordBatch.from_arrays(
+                        [*[part.column(c) for c in ("dim", "gid", "v")], pa.array(least.tolist(), pa.list_(pa.float64()))], ["dim", "gid", "v", "least"])
+
+    return groups.select(F.size("v").alias("dim"), "gid", "v").mapInArrow(run, f"dim int, gid long, v array<{kind}>, least array<double>")
 
 
 _FOUND = pa.schema([("query", pa.int64()), ("gids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
 
-def _best(left: pa.Table, right: pa.Table, keep: int) -> pa.Table:
-    """A row for each query of a query block: the ``keep`` nearest of an index block, by exact inner products."""
+def _best(left: pa.Table, right: pa.Table, keep: int, hashing: Hashing) -> pa.Table:
+    """A row for each query of a query block: the ``keep`` nearest of those of an index block in its buckets, by exact inner products."""
     if not left.num_rows or not right.num_rows:
         return _FOUND.empty_table()
-    load = lambda t: np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(t.num_rows, -1)
-    x, q = load(left), load(right)
-    take = min(keep, len(x))
-    gid, products = left.column("gid").to_numpy(), q @ x.T
-    least = -np.partition(-products, take - 1, axis=1)[:, take - 1]
-    # products differ in their last places by the order they are summed in
-    margin = 1e-12 * np.sqrt((x * x).sum(axis=1).max()) * np.sqrt((q * q).sum(axis=1))
-    gids, scores = [], []
-    for i in range(len(q)):
-        near = np.flatnonzero(products[i] >= least[i] - margin[i])
-        # the reported product is summed in one order wherever the pair meets, so equal pairs have equal scores
-        score = (x[near] * q[i]).sum(axis=1)
-        first = np.lexsort((gid[near], -score))[:take]
-        gids.append(gid[near[first]])
-        scores.append(score[first])
-    ends = pa.array(np.arange(len(q) + 1) * take, pa.int32())
+    every, gid, all_gids = _vectors(left.column("v")), left.column("gid").to_numpy(), right.column("gid").to_numpy()
+    buckets = hashing.buckets(every)
+    all_q, all_least = _vectors(right.column("v")), _vectors(right.column("least"))
+    sizes, gids, scores = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+    step = max(1, PRODUCTS // len(every))
+    for a in range(0, len(all_q), step):
+        q = all_q[a:a + step]
+        visited = hashing.visited(*hashing.chances(q), all_least[a:a + step], buckets)
+        some = np.flatnonzero(visited.any(axis=0))
+        x, own = every[some], gid[some]
+        products = np.where(visited[:, some], q @ x.T, -np.inf)
+        take = min(keep, len(x))
+        least = -np.partition(-products, take - 1, axis=1)[:, take - 1] if take else np.zeros(len(q))
+        # products differ in their last places by the order they are summed in
+        margin = 1e-12 * hashing.norm * np.sqrt((q * q).sum(axis=1))
+        for i in range(len(q)):
+            near = np.flatnonzero((products[i] >= least[i] - margin[i]) & (products[i] > -np.inf))
+            # the reported product is summed in one order wherever the pair meets, so equal pairs have equal scores
+            score = (x[near] * q[i]).sum(axis=1)
+            first = np.lexsort((own[near], -score))[:take]
+            sizes.append(len(first))
+            gids.append(own[near[first]])
+            scores.append(score[first])
+    ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
     return pa.Table.from_arrays([
-        pa.array(right.column("gid").to_numpy()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(gids))),
+        pa.array(all_gids), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(gids))),
         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(scores)))], schema=_FOUND)
 
 
@@ -234,32 +249,32 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     vec_id and as many components.  Vectors that are null, zero or hold null or non-finite components,
     and rows without vec_id, take no part; a repeated row counts once; equal scores rank by vec_id.
 
-    Equal vectors are one entry of the index.  Each table's buckets are cut into blocks, as are the
-    queries that visit them, so neither a full bucket nor a much visited one meets in one task.
+    Equal vectors are one entry of the index.  Index and queries are cut into blocks, and each pair of blocks meets
+    once, whatever the number of buckets: a task hashes its vectors and takes a query's candidates from the buckets
+    the query visits in any table.  So no bucket is copied for the queries that visit it.
     """
-    valid = cut_lineage(usable(rows))
-    groups = _distinct(valid, k + 1)
-    asked = cut_lineage(valid.filter(F.col("vec_id") % every == 0).distinct().join(groups.select("v", "gid"), "v").select(
-        F.col("vec_id").alias("query_id"), "gid"))
+    array = rows.schema["embedding"].dataType
+    kind = "float" if isinstance(array, T.ArrayType) and isinstance(array.elementType, T.FloatType) else "double"
+    valid = usable(rows)
+    groups = _distinct(valid, k + 1, kind)
+    asked = valid.filter(F.col("vec_id") % every == 0).select("vec_id", F.col("v").cast(f"array<{kind}>").alias("v")).distinct()
+    asked = cut_lineage(asked.join(groups.select("v", "gid"), "v").select(F.col("vec_id").alias("query_id"), "gid"))
     hashing = fit(groups, k)
-    index = cut_lineage(_hashed(groups, hashing, query=False))
-    queries = groups.join(asked.select("gid").distinct(), "gid", "left_semi")
-    probes = cut_lineage(_hashed(queries, hashing, query=True))
-    bucket = ["dim", "t", "bucket"]
-    blocks = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
-    counts = index.groupBy(*bucket).agg(blocks(F.count(F.lit(1)), INDEX_BLOCK).alias("n")).join(
-        probes.groupBy(*bucket).agg(blocks(F.count(F.lit(1)), QUERY_BLOCK).alias("m")), bucket)
-    counts = cut_lineage(counts)
+    queries = cut_lineage(_asking(groups.join(asked.select("gid").distinct(), "gid", "left_semi"), hashing, kind))
+    counts = {r.dim: r["count"] for r in queries.groupBy("dim").count().collect()}  # one per dimension
+    size = [(d, max(-(-h.n * d // INDEX_BLOCK), min(PARTS, -(-h.n * d // PART))), max(1, -(-counts.get(d, 0) * d // QUERY_BLOCK)))
+            for d, h in hashing.items()]
+    size = F.broadcast(rows.sparkSession.createDataFrame(size, "dim int, n int, m int"))
     own = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")
     other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(counts, bucket).select(*bucket, own("n").alias("a"), other("m").alias("b"), "gid", "v")
-    right = probes.join(counts, bucket).select(*bucket, other("n").alias("a"), own("m").alias("b"), "gid", "v")
+    left = groups.select(F.size("v").alias("dim"), "gid", "v").join(size, "dim").select("dim", own("n").alias("a"), other("m").alias("b"), "gid", "v")
+    right = queries.join(size, "dim").select("dim", other("n").alias("a"), own("m").alias("b"), "gid", "v", "least")
     keep = k + 1 + SPARE
 
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _best(left, right, keep)
+    def pair(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return _best(left, right, keep, hashing[key[0].as_py()])
 
-    block = [*bucket, "a", "b"]
+    block = ["dim", "a", "b"]
     lists = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(pair, "query long, gids array<long>, scores array<double>")
     found = lists.repartition("query").sortWithinPartitions("query").mapInArrow(_merged(keep), "query long, gid long, score double")
     # every id of the best entries, then every query with its own row taken out

@@ -124,3 +124,25 @@ def test_pipeline_stages(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "mixing", "packing"]
+
+
+def test_a_vector_is_sent_once_per_pair_of_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 16))
+    hashing = ann.Hashing(16, 2, float(np.linalg.norm(x, axis=1).max()), 4.0, len(x))
+    q, least = x[:30], hashing.least(x[:30])
+    seen = hashing.visited(*hashing.chances(q), least, hashing.buckets(x))
+    assert 0.3 < seen.mean() < 1
+    # what is not in a bucket that a query visits is not found, however near
+    import pyarrow as pa
+    lists = lambda v: pa.array(v.tolist(), pa.list_(pa.float64()))
+    index = pa.table({"gid": pa.array(np.arange(4000)), "v": lists(x)})
+    asked = pa.table({"gid": pa.array(np.arange(30)), "v": lists(q), "least": lists(least)})
+    found = ann._best(index, asked, 25, hashing).to_pylist()
+    score = x @ x[:30].T
+    for i, row in enumerate(found):
+        want = sorted(np.flatnonzero(seen[i]).tolist(), key=lambda j: (-score[j, i], j))[:25]
+        assert row["query"] == i and row["gids"] == want
+    moved = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plan = ann.nearest(moved)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" not in plan
