@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.common import text_of
+from noticeflow.llm.tables import bit_tables, level_of
 from noticeflow.session import cut_lineage
 
 LEAST_PAGES = 3        # a host with fewer pages takes the template of all hosts
@@ -242,6 +243,25 @@ def _token_counts(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, _COUNTS)
 
 
+def _different(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages (url, html) in two parts: those whose host and html occur once, where they lie, and one of each of the rest.
+
+    A table of fixed size tells which may occur again, so only these move; what it lets pass by mistake is moved for nothing.
+    """
+    keyed = pages.select("url", "html", _host().alias("_host"), F.xxhash64("html").alias("_hash")).withColumn("_key", F.xxhash64("_host", "_hash"))
+    again = keyed.groupBy(F.col("_key").alias("key")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    table = pages.sparkSession.sparkContext.broadcast(bit_tables(again.select("key", F.lit(1).alias("level")), 1))
+
+    def part(more: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = level_of(table.value, batch.column("_key").to_numpy(zero_copy_only=False).view(np.uint64)) > 0
+                yield batch.filter(pa.array(known == more))
+        return keyed.mapInArrow(run, keyed.schema)
+
+    return part(False).select("url", "html"), part(True).dropDuplicates(["_host", "_hash"]).select("url", "html")
+
+
 def _host() -> Column:
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -257,8 +277,8 @@ def templates(pages: DataFrame) -> DataFrame:
     """
     # wrapping sums: fingerprints are numbers mod 2**64
     half = F.lit(1 << 32)
-    different = pages.select("url", "html", _host().alias("_host"), F.xxhash64("html").alias("_hash")).dropDuplicates(["_host", "_hash"])
-    counts = _token_counts(different.select("url", "html")).groupBy("host", "token", "is_text").agg(
+    once, first = _different(pages)
+    counts = _token_counts(once).union(_token_counts(first)).groupBy("host", "token", "is_text").agg(
         F.sum("pages").alias("pages"),
         F.sum(F.pmod("vector", half)).alias("low"), F.sum(F.shiftright("vector", 32)).alias("high"),
     ).withColumn("vector", F.concat_ws(":", F.pmod("low", half), F.pmod(F.col("high") + F.shiftright("low", 32), half)))

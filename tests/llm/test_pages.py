@@ -126,6 +126,15 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "mixing", "packing"]
 
 
+def test_only_pages_that_may_occur_again_move(spark):
+    rows = [(f"http://h{i % 2}.example/{i}", f"<p>page {i}</p>") for i in range(40)] + [(f"http://h0.example/c{i}", "<p>copy</p>") for i in range(9)]
+    rows += [("http://h1.example/c", "<p>copy</p>"), (None, ""), (None, "")]
+    once, first = html_text._different(spark.createDataFrame(rows, "url string, html string"))
+    assert sorted(r.html for r in once.collect()) == sorted([f"<p>page {i}</p>" for i in range(40)] + ["<p>copy</p>"])
+    assert sorted(r.html for r in first.collect()) == ["", "<p>copy</p>"]
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_vector_is_sent_once_per_pair_of_blocks(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(4000, 16))
