@@ -44,14 +44,11 @@ def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "ordin
         Window.unboundedPreceding, -1)
     shift = sizes.select(
         *keys, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    placed = pinned.withColumn("_local", F.row_number().over(local))
-    same = F.lit(True)
-    right = shift.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_s"), "_shift")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = placed.join(right, same & (F.col("_slice") == F.col("_s")), "left")
-    return joined.withColumn(name, F.col("_local") + F.col("_shift")).select(*df.columns, name)
+    # the shift of a key's slice comes as a row before the slice's own, so rows move once for both
+    marked = pinned.withColumn("_shift", F.lit(None).cast("long")).unionByName(shift, allowMissingColumns=True)
+    local = Window.partitionBy(*keys, "_slice").orderBy(F.col("_shift").isNull(), *order)
+    placed = marked.withColumn("_local", F.row_number().over(local) - 1).withColumn("_before", F.first("_shift").over(local))
+    return placed.filter("_shift IS NULL").withColumn(name, F.col("_local") + F.col("_before")).select(*df.columns, name)
 
 
 def budget_cap(df: DataFrame, key: str, budget: int, *order, spent: str = "granted") -> DataFrame:

@@ -60,6 +60,9 @@ _DIGEST_COLUMNS = (
 )
 
 
+_BLOCK_COLUMNS = ("title", "url", "opportunity_type", "deadline", "confidence", "ai_used", "reason")
+
+
 def digest_parts(entries: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Messages in two tables of the same shape at any size.
 
@@ -72,7 +75,10 @@ def digest_parts(entries: DataFrame, order: list[str]) -> tuple[DataFrame, DataF
         return F.coalesce(F.col(c), F.lit(""))
 
     needed = [c for c in entries.columns if c in ("group_key", *order, *_DIGEST_COLUMNS)]
-    numbered = ordinal(entries.select(*needed), ["group_key"], order, "block_no")
+    # entries of one order key stand in one order for headers and blocks
+    rows = entries.select(*needed).withColumn("_tie", F.xxhash64(*needed))
+    own = [c for c in needed if c in ("group_key", *order, *_BLOCK_COLUMNS)]
+    numbered = ordinal(rows.select(*own, "_tie"), ["group_key"], [*order, "_tie"], "block_no")
     block = F.concat(
         F.lit("\n"), F.col("block_no").cast("string"), F.lit(". "), text("title"),
         F.lit("\n   Link: "), text("url"),
@@ -80,9 +86,9 @@ def digest_parts(entries: DataFrame, order: list[str]) -> tuple[DataFrame, DataF
         F.lit(" | Affidabilità: "), confidence_word(F.col("confidence")),
         F.lit(" | Verifica IA: "), yes_no(F.col("ai_used")),
         F.lit("\n   Perché: "), text("reason"), F.lit("\n"))
-    first = F.when(F.col("block_no") == 1, F.struct(
-        "school_name", "school_code", "region", "cup", "clp", "amount", "deadline", "reply_subject"))
-    heads = numbered.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), F.max(first).alias("_h"))
+    # a header needs the first entry only, which an aggregate finds without moving the others
+    head = F.struct("school_name", "school_code", "region", "cup", "clp", "amount", "deadline", "reply_subject")
+    heads = rows.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), F.min_by(head, F.struct(*order, "_tie")).alias("_h"))
     h, n = F.col("_h"), F.col("n")
 
     def line(label: str, c: str) -> Column:

@@ -165,3 +165,21 @@ def test_entries_with_equal_order_keep_a_row_each(spark, hot_rows):
     found = sorted((r.o, r.role_signature, r.cluster_id) for r in clusters.cluster_new(df, "grp", "o", hot_rows=hot_rows).collect())
     assert found == [(1, ["rup"], 1), (1, ["rup"], 1), (1, ["tutor"], 1), (2, [], 2), (2, [], 2), (3, ["rup"], 1), (4, [], 1),
                      (5, ["esperto"], 5), (5, ["esperto", "tutor"], 1)]
+
+
+def test_digest_rows_move_once_for_their_numbers(spark):
+    columns = "group_key school_name school_code region cup clp amount title url opportunity_type deadline confidence ai_used reason reply_subject".split()
+    rows = [(f"g{i % 3}" if i % 7 else None, f"s{i}", *["c"] * 5, f"t{i}", *["c"] * 3, "high", True, "r", None, i // 4) for i in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'boolean' if c == 'ai_used' else 'string'}" for c in columns) + ", seq long").repartition(5)
+    headers, blocks = reports.digest_parts(df, ["seq"])
+    # a group's header is of the entry that stands first, also where order keys are equal
+    first = {r.group_key: r.text for r in blocks.filter("block_no = 1").collect()}
+    for r in headers.filter("group_key IS NOT NULL").collect():
+        name = r.header.split("Scuola: ")[1].split("\n")[0]
+        assert f"1. t{name[1:]}\n" in first[r.group_key]
+    assert "Join" not in blocks._jdf.queryExecution().executedPlan().toString()
+    numbers = {}
+    for r in blocks.collect():
+        numbers.setdefault(r.group_key, []).append(r.block_no)
+    assert all(sorted(n) == list(range(1, len(n) + 1)) for n in numbers.values())
+    assert sum(map(len, numbers.values())) == 60 and None in numbers
