@@ -4,7 +4,7 @@ Groups ask for their alerts in order, all or nothing: a refused group gives back
 so a later group may have it.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow import vocab
@@ -34,7 +34,11 @@ def settle_groups(requests: DataFrame, alerts: DataFrame, as_of, group: str, ord
     come first for all their alerts, and those are refused that share one with them.  So rounds grow with
     the longest chain of groups that wait for each other, and each round moves undecided groups only.
     """
-    per_key = requests.groupBy(group, "alert_key").agg(F.count(F.lit(1)).alias("_asks"), F.min(rank).alias("_r"))
+    # of what a group asks for one alert, the first two places tell all
+    place = F.dense_rank().over(Window.partitionBy(group, "alert_key").orderBy(order))
+    firsts = requests.select(group, "alert_key", order, rank).withColumn("_place", place).filter("_place <= 2")
+    per_key = firsts.groupBy(group, "alert_key").agg(
+        F.count(F.lit(1)).alias("_asks"), F.min(rank).alias("_r"), F.min(order).alias("_first_ask"), F.max(order).alias("_next_ask"))
     blocked = live_alerts(alerts, as_of).distinct().withColumn("_blocked", F.lit(True))
     asked = per_key.join(blocked, "alert_key", "left").withColumn("_blocked", F.coalesce("_blocked", F.lit(False)))
     hopeless = asked.groupBy(group).agg(F.bool_or(F.col("_blocked") | (F.col("_asks") > 1)).alias("_out"))
@@ -54,12 +58,12 @@ def settle_groups(requests: DataFrame, alerts: DataFrame, as_of, group: str, ord
     granted = granted.withColumn("group_granted", F.lit(True))
 
     holders = asked.join(granted, group).groupBy("alert_key").agg(F.min("_r").alias("_holder"))
-    told = asked.select(group, "alert_key", "_blocked").join(holders, "alert_key", "left")
-    firsts = requests.groupBy(group, "alert_key").agg(F.min(order).alias("_first_ask"))
-    rows = requests.join(told, [group, "alert_key"], "left").join(firsts, [group, "alert_key"], "left").join(granted, group, "left")
-    refused = F.col("_blocked") | F.coalesce(F.col("_holder") < F.col(rank), F.lit(False)) | (F.col(order) > F.col("_first_ask"))
-    ends = rows.groupBy(group).agg(F.min(F.when(refused, F.col(order))).alias("_end"))
-    return rows.join(ends, group).withColumn("group_granted", F.coalesce("group_granted", F.lit(False))).withColumn(
+    taken = F.col("_blocked") | F.coalesce(F.col("_holder") < F.col("_r"), F.lit(False))
+    again = F.when(F.col("_next_ask") > F.col("_first_ask"), F.col("_next_ask"))
+    end = F.when(F.col("alert_key").isNotNull(), F.when(taken, F.col("_first_ask")).otherwise(again))
+    ends = asked.join(holders, "alert_key", "left").groupBy(group).agg(F.min(end).alias("_end"))
+    told = ends.join(granted, group, "left").withColumn("group_granted", F.coalesce("group_granted", F.lit(False)))
+    return requests.join(told, group).withColumn(
         "new_status", F.when(F.col("group_granted"), "sending").when(F.col(order) < F.col("_end"), "failed")
     ).select(*requests.columns, "group_granted", "new_status")
 

@@ -130,3 +130,18 @@ def test_only_the_own_lease_is_given_back(spark):
         "*", "'' school_code", "'' url", "cast(null as string) message_id", "cast(null as string) subject")
     after = settlement.settle_alerts(table, settled, early, RUN)
     assert {r.alert_key: r.status for r in after.collect()} == {"a1": "sending", "a2": "failed"}
+
+
+def test_requests_are_read_once_more_after_the_walk(spark, scratch):
+    rows = [("g1", "a", 1, 1), ("g1", "b", 2, 1), ("g1", "b", 4, 1), ("g1", "c", 5, 1), ("g2", "a", 3, 2), ("g2", "a", 3, 2), ("g3", "d", 6, 3), ("g4", "d", 7, 4),
+            ("g4", "e", 8, 4), ("g5", "e", 9, 5), ("g5", None, 10, 5), ("g5", "f", 11, 5)]
+    spark.createDataFrame(rows, "g string, alert_key string, seq long, _rank long").write.parquet(f"{scratch}/asks")
+    alerts = spark.createDataFrame([("f", "sent", datetime(2026, 6, 15, 9, 0))], "alert_key string, status string, updated_at timestamp")
+    out = settlement.settle_groups(spark.read.parquet(f"{scratch}/asks"), alerts, datetime(2026, 6, 15, 9, 30), "g", "seq")
+    got = {(r.g, r.alert_key, r.seq): (r.group_granted, r.new_status) for r in out.collect()}
+    assert out.count() == len(rows)
+    assert got == {
+        ("g1", "a", 1): (False, "failed"), ("g1", "b", 2): (False, "failed"), ("g1", "b", 4): (False, None), ("g1", "c", 5): (False, None),
+        ("g2", "a", 3): (False, None), ("g3", "d", 6): (True, "sending"), ("g4", "d", 7): (False, None), ("g4", "e", 8): (False, None),
+        ("g5", "e", 9): (False, "failed"), ("g5", None, 10): (False, "failed"), ("g5", "f", 11): (False, None)}
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan parquet") <= 2
