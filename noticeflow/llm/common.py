@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeflow.session import cut_lineage, scratch_path
@@ -22,14 +24,20 @@ def without_white(text: Column) -> Column:
     return text
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to a compressed table in the shared folder, and read again."""
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """The rows written to a compressed table in the shared folder (there in ``folder``), and read again."""
     spark = df.sparkSession
-    at = scratch_path(spark, name)
+    at = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder of one's own; nothing that still has to be computed may read from it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prefix_sums(rows: DataFrame, order: list[str], value: str, unique: bool = False) -> DataFrame:
     """Add ``start`` (sum of ``value`` before the row), ``position`` (rows before it), ``total`` and ``rows``.
 
@@ -95,3 +103,18 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     return nodes.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         nodes.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) that ``links`` (a, b) make of those ``found`` before.
+
+    Only links between different components go through rounds; a component's name stays its smallest node.
+    """
+    first = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    second = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    lifted = cut_lineage(links.join(first, "a", "left").join(second, "b", "left").select(
+        "a", F.coalesce("ca", "a").alias("ca"), "b", F.coalesce("cb", "b").alias("cb")))
+    over = components(lifted.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    known = found.select("node", "component").union(lifted.select("a", "ca")).union(lifted.select("b", "cb")).distinct()
+    return known.join(over.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select(
+        "node", F.coalesce("top", "component").alias("component"))

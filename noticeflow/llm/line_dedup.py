@@ -10,10 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import components, stored, text_of
+from noticeflow.llm.common import components, discard, extended, stored, text_of
 from noticeflow.llm.shingles import _LOWER, _WHITE, by_bytes, mix64, range_hashes, raw_bytes
 from noticeflow.llm.tables import bit_tables, counted_levels, level_of, ranges_of
-from noticeflow.session import cut_lineage
+from noticeflow.session import cut_lineage, scratch_path
 
 CHARS = 8             # characters of a shingle
 PERCENT = 80          # Jaccard similarity from which lines are linked
@@ -125,7 +125,7 @@ def _halves(nodes: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(nodes.to_pylist()), np.uint64).reshape(-1, 2)[:, 0]
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, folder: str) -> DataFrame:
     """(node, times, keys) of the lines of each part of the documents: how often it occurs, and its band keys (short lines: none)."""
     def rows(batch, lines):
         of = np.flatnonzero(lines.long_enough())
@@ -137,7 +137,7 @@ def _signed(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([_node(names[of]), pa.array(times.astype(np.int32)), pa.array(keys, pa.binary())],
                                           ["node", "times", "keys"])
 
-    return stored(_each(docs, rows, "node binary, times int, keys binary"), "signatures")
+    return stored(_each(docs, rows, "node binary, times int, keys binary"), "signatures", folder)
 
 
 def _counted(signed: DataFrame, rows, marked: int = 0) -> np.ndarray:
@@ -172,7 +172,7 @@ def _twice(batch: pa.RecordBatch) -> np.ndarray:
     return np.repeat(_halves(batch.column("node")), np.minimum(2, batch.column("times").to_numpy(zero_copy_only=False)))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """Those (a, b) whose lines' shingle sets have a Jaccard similarity of PERCENT or more."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -191,7 +191,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "line-links")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "line-links", folder)
 
 
 def _key(node: str) -> Column:
@@ -241,7 +241,7 @@ def _shingled(rest: DataFrame, rows, schema: str) -> DataFrame:
     return rest.mapInArrow(run, schema)
 
 
-def _outlines(rest: DataFrame) -> DataFrame:
+def _outlines(rest: DataFrame, folder: str) -> DataFrame:
     """(node, n, u, bits): the size of each line's shingle set, how many of it another line may have, and a bit map of these."""
     spark = rest.sparkSession
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -259,7 +259,7 @@ def _outlines(rest: DataFrame) -> DataFrame:
             batch.column("node"), pa.array([len(x) for x in sets], pa.int32()), pa.array([len(x) for x in known], pa.int32()), bits],
             ["node", "n", "u", "bits"])
 
-    return stored(_shingled(rest, rows, "node binary, n int, u int, bits array<long>"), "line-outlines")
+    return stored(_shingled(rest, rows, "node binary, n int, u int, bits array<long>"), "line-outlines", folder)
 
 
 def _close() -> str:
@@ -273,7 +273,7 @@ def _close() -> str:
             f"AND {100 + PERCENT} * (y.u - {apart.format('y', 'x')}) >= {need}")
 
 
-def _line_components(shared: DataFrame, seen: DataFrame) -> DataFrame:
+def _line_components(shared: DataFrame, seen: DataFrame, folder: str) -> DataFrame:
     """(node, component) of the lines that are similar to another one.
 
     Lines that share a band are verified against the most frequent of the band.  Bands that then still hold several
@@ -282,10 +282,9 @@ def _line_components(shared: DataFrame, seen: DataFrame) -> DataFrame:
     common are not made.  So a great group of near copies is joined by one comparison a line, and no pair of a band
     that could join two components is left out.
     """
-    texts = stored(seen.filter("line IS NOT NULL").groupBy("node").agg(F.first("line").alias("line")), "line-texts")
-    tried = stored(shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "line-pairs")
-    links = _verified(tried, texts)
-    found = cut_lineage(components(links))
+    texts = stored(seen.filter("line IS NOT NULL").groupBy("node").agg(F.first("line").alias("line")), "line-texts", folder)
+    tried = stored(shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "line-pairs", folder)
+    found = cut_lineage(components(_verified(tried, texts, folder)))
 
     def across(rows: DataFrame, found: DataFrame) -> DataFrame:
         """The rows of bands whose lines are of several components c."""
@@ -293,23 +292,24 @@ def _line_components(shared: DataFrame, seen: DataFrame) -> DataFrame:
         mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
         return placed.join(mixed, "bucket", "left_semi")
 
-    rest = stored(across(shared.select("bucket", "node"), found), "line-rest")
-    outlines = _outlines(texts.join(rest.select("node").distinct(), "node", "left_semi"))
-    rest = stored(rest.join(outlines, "node"), "line-rows")
+    rest = stored(across(shared.select("bucket", "node"), found), "line-rest", folder)
+    outlines = _outlines(texts.join(rest.select("node").distinct(), "node", "left_semi"), folder)
+    rest = stored(rest.join(outlines, "node"), "line-rows", folder)
     middle = rest.groupBy("bucket").agg(F.min(F.struct((F.col("n") - F.col("u")).alias("own"), "node", "n", "u", "bits", "c")).alias("y"))
     pair = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
     stars = rest.alias("x").join(middle, "bucket").filter(_close()).select(*pair).distinct()
-    links = links.union(_verified(stars, texts))
-    found = cut_lineage(components(links))
-    left = stored(across(rest.drop("c"), found), "line-across")
+    found = cut_lineage(extended(found, _verified(stars, texts, folder)))
+    left = stored(across(rest.drop("c"), found), "line-across", folder)
     more = left.alias("x").join(left.alias("y"), F.expr(f"x.bucket = y.bucket AND x.node < y.node AND {_close()}")).select(*pair).distinct()
-    return cut_lineage(components(links.union(_verified(more, texts))))
+    return cut_lineage(extended(found, _verified(more, texts, folder)))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(_id, _hash, drop): for each document that loses lines, their numbers; documents are told by id and text."""
     spark = docs.sparkSession
-    signed = _signed(docs)
+    # tables of the steps before the result are deleted as soon as nothing is read from them any more
+    own, work = scratch_path(spark, "line-signatures"), scratch_path(spark, "line-dedup")
+    signed = _signed(docs, own)
     table = spark.sparkContext.broadcast(_counted(signed, _with_line, _MARK))
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,14 +321,17 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
                 [pa.array(keys[line, band].view(np.int64)), batch.column("node").take(of), batch.column("times").take(of)], ["bucket", "node", "times"])
 
     rows = signed.mapInArrow(banded, "bucket long, node binary, times int").groupBy("bucket", "node").agg(F.sum("times").alias("times"))
-    rows = stored(rows, "bands")
+    rows = stored(rows, "bands", work)
     # the line of a band that occurs most often is the one most likely to be the others' origin
     hubs = rows.groupBy("bucket").agg(F.max(F.struct("times", "node")).alias("most"), F.min("node").alias("low"), F.max("node").alias("high")).filter(
         "low < high").select("bucket", F.col("most.node").alias("hub"))
     rows = rows.drop("times")
-    shared = stored(rows.join(hubs, "bucket"), "shared-bands")
-    seen = _occurrences(docs, _counted(signed, _twice), shared)
-    found = _line_components(shared, seen)
+    shared = stored(rows.join(hubs, "bucket"), "shared-bands", work)
+    repeated = _counted(signed, _twice)
+    discard(spark, own)
+    seen = _occurrences(docs, repeated, shared)
+    found = _line_components(shared, seen, work)
+    discard(spark, work)
     rooted = seen.drop("line").distinct().join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "number"))
     keepers = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("k"), first.alias("keep")).filter("k > 1").drop("k")
@@ -352,9 +355,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     null, an empty one has one empty line; repeated rows (same id and text) share their fate.
     """
     lost = dropped_lines(docs)
-    keyed = docs.select(F.struct("*").alias("doc"), text_of().alias("_text"), *[c.alias(f"_own{n}") for c, n in zip(_document(), ("_id", "_hash"), strict=True)])
+    keyed = docs.select(F.struct("*").alias("doc"), *[c.alias(f"_own{n}") for c, n in zip(_document(), ("_id", "_hash"), strict=True)])
     joined = keyed.join(lost, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left")
-    lines = F.split("_text", "\n", -1)
+    lines = F.split(text_of("doc.text"), "\n", -1)  # the text moves once, in doc
     numbered = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     kept = F.array_join(F.transform(F.filter(numbered, lambda s: ~F.array_contains(F.col("drop"), s["i"])), lambda s: s["x"]), "\n")
     return joined.select(

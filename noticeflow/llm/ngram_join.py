@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import components, text_of
+from noticeflow.llm.common import components, extended, text_of
 from noticeflow.llm.shingles import by_bytes, mix64, shingle_sets
 from noticeflow.llm.tables import bit_tables, counted_levels, level_of, ranges_of
 from noticeflow.session import cut_lineage, small
 
 ZONE = 2                          # prefixes are counted this many times their length
 FREQUENT = (8, 64, 512, 4096)     # documents from which a shingle is of the next level
+MAP_WORDS = 16                    # of 64 bits, in a set's bit map
 NEAR = 3                          # a hub's nodes differ from it in at most a third of both sizes
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -26,6 +27,13 @@ def _digest(values: np.ndarray) -> bytes:
     return np.array([mix64(values).sum(dtype=np.uint64) + size, mix64(values ^ _SALT).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
+def _bit_map(values: np.ndarray) -> np.ndarray:
+    """MAP_WORDS words with a bit for every element of a set."""
+    bits = np.zeros(64 * MAP_WORDS, np.uint8)
+    bits[(values >> np.uint64(32)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _prefix(n: int, percent: int) -> int:
     """Any set that is similar enough shares one of this many first shingles."""
     return n - -(-percent * n // 100) + 1
@@ -236,6 +244,12 @@ def _close(percent: int) -> str:
             f"least(x.n - x.at, y.n - y.at) >= {least}")
 
 
+def _maps_close(percent: int) -> str:
+    """SQL: rows x and y may be similar by their bit maps.  A bit that is in one of them stands for an element that is in one set only."""
+    apart = "aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    return f"{100 + percent} * {apart} <= {100 - percent} * (x.n + y.n)"
+
+
 def similar_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (see ``_classes``)."""
     named, found = _classes(docs, words, percent)
@@ -273,7 +287,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
        members with one of them.  This joins the great groups of copies without pairing their members.
     4. Nodes of one hub that are of different components are paired by what they differ in from their common core.
     5. Buckets that still hold several components of different hubs are expanded to members; pairs that
-       sizes and places allow are verified.  Pairs within a component would change nothing.
+       sizes, places and bit maps allow are verified.  Pairs within a component would change nothing.
     """
     spark = docs.sparkSession
     named = _named(docs, words)
@@ -286,16 +300,17 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
                 level, first = level_of(levels.value, values), _prefix(len(values), percent)
                 order = np.argsort(level, kind="stable")[:first]
                 rare = int(1000 * (level[:ZONE * first] == 0).mean())
-                out.append((_digest(values), len(values), values[order].tobytes(), rare))
+                out.append((_digest(values), len(values), values[order].tobytes(), rare, _bit_map(values)))
         if not out:
             return None
-        node, n, first, rare = zip(*out, strict=True)
+        node, n, first, rare, bits = zip(*out, strict=True)
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * MAP_WORDS), pa.array(np.concatenate(bits)))
         return pa.RecordBatch.from_arrays([
-            pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(first, pa.binary()), pa.array(rare, pa.int32())],
-            ["node", "n", "prefix", "rare"])
+            pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(first, pa.binary()), pa.array(rare, pa.int32()), bits],
+            ["node", "n", "prefix", "rare", "bits"])
 
-    nodes = _per_document(docs, words, prefixes, "node binary, n long, prefix binary, rare int").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"))
+    nodes = _per_document(docs, words, prefixes, "node binary, n long, prefix binary, rare int, bits array<long>").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"), F.first("bits").alias("bits"))
     nodes = cut_lineage(nodes.withColumn("prefix_name", F.md5(F.concat(F.col("prefix"), F.col("n").cast("string").cast("binary")))))
     groups = cut_lineage(nodes.groupBy("prefix_name").agg(
         F.min(F.struct("rare", "node")).alias("centre"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"),
@@ -347,14 +362,13 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     rest = shared.join(open_, "bucket", "left_semi").join(placed, "g").select("bucket", "node", "n", "at", "c", "h")
     split = members.join(spans.filter("low < high").select("g"), "g", "left_semi").join(placed.select("node", "c", "h"), "node").select(
         F.xxhash64("g").alias("bucket"), "node", "n", F.lit(0).alias("at"), "c", "h")
-    rest = cut_lineage(rest.union(split))
-    more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket AND x.c < y.c AND x.h <> y.h AND {_close(percent)}")).select(
+    rest = cut_lineage(rest.union(split).join(nodes.select("node", "bits"), "node"))
+    more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket AND x.c < y.c AND x.h <> y.h AND {_close(percent)} AND {_maps_close(percent)}")).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(around).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut_lineage(more.join(done, ["a", "b"], "left_anti"))
-    links = links.union(_compared(more, docs, words, percent, None).filter("ok").select("a", "b"))
-    return named, components(links)
+    return named, extended(found, _compared(more, docs, words, percent, None).filter("ok").select("a", "b"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -23,9 +23,10 @@ def bit_tables(keys: DataFrame, levels: int, bits: int = BITS) -> np.ndarray:
         F.explode(F.sequence(F.lit(1), F.least("level", F.lit(levels)))).alias("level"),
         F.shiftright(at, 6).alias("word"),
         F.expr(f"shiftleft(1L, cast(key & {63} as int))").alias("bit"),
-    ).groupBy("level", "word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    ).groupBy("level", "word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros((levels, bits // 64), np.uint64)
-    out[words["level"].to_numpy(np.int64) - 1, words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    level, word, bits_ = (words[c].to_numpy() for c in ("level", "word", "bits"))
+    out[level - 1, word] = bits_.view(np.uint64)
     return out
 
 
