@@ -125,7 +125,7 @@ def _halves(nodes: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(nodes.to_pylist()), np.uint64).reshape(-1, 2)[:, 0]
 
 
-def _signed(docs: DataFrame, folder: str) -> DataFrame:
+def _signed(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """(node, times, keys) of the lines of each part of the documents: how often it occurs, and its band keys (short lines: none)."""
     def rows(batch, lines):
         of = np.flatnonzero(lines.long_enough())
@@ -172,7 +172,7 @@ def _twice(batch: pa.RecordBatch) -> np.ndarray:
     return np.repeat(_halves(batch.column("node")), np.minimum(2, batch.column("times").to_numpy(zero_copy_only=False)))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those (a, b) whose lines' shingle sets have a Jaccard similarity of PERCENT or more."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -191,7 +191,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "line-links", folder)
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
 def _key(node: str) -> Column:
@@ -241,7 +241,7 @@ def _shingled(rest: DataFrame, rows, schema: str) -> DataFrame:
     return rest.mapInArrow(run, schema)
 
 
-def _outlines(rest: DataFrame, folder: str) -> DataFrame:
+def _outlines(rest: DataFrame, folder: str | None = None) -> DataFrame:
     """(node, n, u, bits): the size of each line's shingle set, how many of it another line may have, and a bit map of these."""
     spark = rest.sparkSession
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -273,7 +273,7 @@ def _close() -> str:
             f"AND {100 + PERCENT} * (y.u - {apart.format('y', 'x')}) >= {need}")
 
 
-def _line_components(shared: DataFrame, seen: DataFrame, folder: str) -> DataFrame:
+def _line_components(shared: DataFrame, seen: DataFrame, folder: str | None = None) -> DataFrame:
     """(node, component) of the lines that are similar to another one.
 
     Lines that share a band are verified against the most frequent of the band.  Bands that then still hold several
@@ -284,7 +284,7 @@ def _line_components(shared: DataFrame, seen: DataFrame, folder: str) -> DataFra
     """
     texts = stored(seen.filter("line IS NOT NULL").groupBy("node").agg(F.first("line").alias("line")), "line-texts", folder)
     tried = stored(shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "line-pairs", folder)
-    found = cut_lineage(components(_verified(tried, texts, folder)))
+    found = cut_lineage(components(stored(_verified(tried, texts), "line-links", folder)))
 
     def across(rows: DataFrame, found: DataFrame) -> DataFrame:
         """The rows of bands whose lines are of several components c."""
@@ -298,10 +298,10 @@ def _line_components(shared: DataFrame, seen: DataFrame, folder: str) -> DataFra
     middle = rest.groupBy("bucket").agg(F.min(F.struct((F.col("n") - F.col("u")).alias("own"), "node", "n", "u", "bits", "c")).alias("y"))
     pair = F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
     stars = rest.alias("x").join(middle, "bucket").filter(_close()).select(*pair).distinct()
-    found = cut_lineage(extended(found, _verified(stars, texts, folder)))
+    found = cut_lineage(extended(found, stored(_verified(stars, texts), "line-links", folder)))
     left = stored(across(rest.drop("c"), found), "line-across", folder)
     more = left.alias("x").join(left.alias("y"), F.expr(f"x.bucket = y.bucket AND x.node < y.node AND {_close()}")).select(*pair).distinct()
-    return cut_lineage(extended(found, _verified(more, texts, folder)))
+    return cut_lineage(extended(found, stored(_verified(more, texts), "line-links", folder)))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
