@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from noticeflow import vocab
 
 _SEPARATORS = "’‘´`'�_-"
+_ASCII_SEPARATORS = "`'_-"
 _ASCII_WS = r"[\t-\r\x1c-\x20]+"
 _ANY_WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
@@ -69,6 +70,11 @@ def fold_marks(c: Column) -> Column:
 
 def _fold(c: Column) -> Column:
     """ASCII values need four replacements; others one more per distinct character that folds."""
+    return reduce(lambda acc, s: F.replace(acc, F.lit(s), F.lit(" ")), _ASCII_SEPARATORS, _unmarked(c))
+
+
+def _unmarked(c: Column) -> Column:
+    """Without combining marks, separators beyond ASCII as spaces."""
     source, target, expanding, expansions = _fold_tables()
     table = F.str_to_map(F.lit(expansions), F.lit("\x01"), F.lit("\x02"))
 
@@ -81,13 +87,13 @@ def _fold(c: Column) -> Column:
     changed = F.filter(pairs, lambda p: p["char"] != p["to"])
     beyond = F.aggregate(changed, c, lambda acc, p: F.replace(acc, p["char"], p["to"]))
     ascii_only = F.octet_length(c) == F.char_length(c)
-    return reduce(lambda acc, s: F.replace(acc, F.lit(s), F.lit(" ")), "`'_-",
-                  F.when(ascii_only, c).otherwise(beyond))
+    return F.when(ascii_only, c).otherwise(beyond)
 
 
 def normalize_text(c: Column) -> Column:
     """Fold accents, turn apostrophes, dashes and underscores into spaces, lower, collapse."""
-    return F.trim(F.regexp_replace(F.lower(fold_marks(c)), _ASCII_WS, " "))
+    # separators become spaces and runs of these one space: both in one pass
+    return F.trim(F.regexp_replace(F.lower(let(c, _unmarked)), f"[{re.escape(_ASCII_SEPARATORS)}{_ASCII_WS[1:]}", " "))
 
 
 def exact_fold():
@@ -162,17 +168,36 @@ def _listed(terms, normalized: bool) -> tuple[str, ...]:
     return tuple(filter(None, dict.fromkeys(map(normalize_term, terms) if normalized else terms)))
 
 
-def term_hits(text: Column, terms, normalized: bool = True) -> Column:
-    """Vocabulary terms contained in the text, in vocabulary order.
+STEM_CHARS = 5   # a text without the stem of some terms, a part of so many characters they share, is not searched for them
 
-    A long list is looked for in one pass: at every place the longest term, overlapping ones included; a
-    shorter term is in the text if one of those found begins with it.
-    """
-    if len(terms) < ONE_PASS_TERMS:
-        return let(text, lambda x: F.filter(term_array(terms, normalized), lambda t: F.contains(x, t)))
-    found = F.regexp_extract_all(text, F.lit(f"(?=({factored(_listed(terms, normalized))}))"), F.lit(1))
-    return let(F.array_distinct(found), lambda longest: F.filter(
-        term_array(terms, normalized), lambda t: F.exists(longest, lambda x: F.startswith(x, t))))
+
+@lru_cache(maxsize=64)
+def stems(terms: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[int, ...]]:
+    """Few texts of which every term contains one, and which one it is for each term."""
+    parts = [{t[a:b] for a in range(len(t)) for b in range(a + STEM_CHARS, len(t) + 1)} or {t} for t in terms]
+    found: list[str] = []
+    of: dict[int, int] = {}
+    while len(of) < len(terms):
+        shared: dict[str, int] = {}
+        for i, own in enumerate(parts):
+            for part in own if i not in of else ():
+                shared[part] = shared.get(part, 0) + 1
+        best = max(shared, key=lambda part: (shared[part], len(part), part))
+        of |= {i: len(found) for i, own in enumerate(parts) if i not in of and best in own}
+        found.append(best)
+    return tuple(found), tuple(of[i] for i in range(len(terms)))
+
+
+def term_hits(text: Column, terms, normalized: bool = True) -> Column:
+    """Vocabulary terms contained in the text, in vocabulary order; terms are looked for where their stem was found."""
+    listed = term_array(terms, normalized)
+    if not terms:
+        return listed
+    parts, of = stems(tuple(map(normalize_term, terms)) if normalized else tuple(terms))
+    which = F.array(*map(F.lit, of))
+    return let(text, lambda x: let(
+        F.transform(term_array(parts, False), lambda part: F.contains(x, part)),
+        lambda there: F.filter(listed, lambda t, i: F.get(there, F.get(which, i)) & F.contains(x, t))))
 
 
 def among(hits: Column, terms) -> Column:

@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pytest
 from pyspark.sql import functions as F
 
+from noticeflow import vocab
 from noticeflow.functions import dates, keys, text, web
 
 
@@ -175,3 +176,22 @@ def test_long_lists_are_found_in_one_pass(spark):
         for r in df.select("x", text.term_hits(F.col("x"), terms, False).alias("hits"), text.has_any(F.col("x"), terms, False).alias("some")).collect():
             assert r.hits == [t for t in terms if t in (r.x or "")]
             assert r.some is None if r.x is None else r.some == any(t in r.x for t in terms)
+
+
+def test_terms_are_looked_for_by_their_stems(spark):
+    lists = [vocab.CALL_CORE_TERMS, vocab.STRONG_NEGATIVE_TERMS + vocab.NEGATIVE_TERMS, ("mepa", "selezione", "selezione esperti", "selezione", "a")]
+    for terms in lists:
+        listed = tuple(text.normalize_term(t) for t in terms)
+        found, of = text.stems(listed)
+        assert len(found) < len(listed) and all(found[i] in t for t, i in zip(listed, of, strict=True))
+        texts = [None, "", *listed, " x ".join(listed), " ".join(t[1:] for t in listed), *(s for s in found)]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        got = {r.i: r.h for r in df.select("i", text.term_hits(F.col("t"), terms).alias("h")).collect()}
+        assert [got[i] for i in range(len(texts))] == [[t for t in listed if t in (x or "")] if x is not None else [] for x in texts]
+
+
+def test_separators_and_white_space_collapse_together(spark):
+    raw = ["A - B__c\t'd`\r\n e", "-_'`", "È l’ora – di_-_\x1cfine", "a\x0b-\x0cb"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "i int, t string")
+    got = {r.i: r.n for r in df.select("i", text.normalize_text(F.col("t")).alias("n")).collect()}
+    assert [got[i] for i in range(len(raw))] == [text.normalize_term(t) for t in raw]
