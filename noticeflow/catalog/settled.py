@@ -80,8 +80,8 @@ _RESERVED = f"""
 
 
 def reserved(spark, sf_dir):
-    ranked = settlement.group_rank(asked(spark, sf_dir), "group_key", "seq", F.col("thread_id").isNotNull(), F.col("school_code"))
-    return settlement.settle_groups(ranked, alerts(spark, sf_dir), RUN, "group_key", "seq")
+    return settlement.settle_in_turn(
+        asked(spark, sf_dir), alerts(spark, sf_dir), RUN, "group_key", "seq", F.col("thread_id").isNotNull(), F.col("school_code"))
 
 
 @query("settle_groups", _RESERVED)

@@ -4,6 +4,8 @@ Groups ask for their alerts in order, all or nothing: a refused group gives back
 so a later group may have it.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +15,22 @@ from noticeflow.operators.state_ops import mark_alerted, mark_failed
 from noticeflow.session import cut_lineage
 
 
+def _ranks(rows: DataFrame, group: str, order: str, threaded: Column, project: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """``_rank`` of every group, or of the ``wanted`` ones only."""
+    late = ~F.coalesce(threaded, F.lit(False))
+    marked = rows.select(group, order, late.alias("_late"), F.when(late, F.coalesce(project, F.col(group))).alias("_project"))
+    own = marked.groupBy(group).agg(F.min("_late").alias("_late"), F.min("_project").alias("_project"), F.min(order).alias("_own"))
+    own = own if wanted is None else cut_lineage(own.join(wanted, group, "left_semi"))
+    first = marked.filter("_late").groupBy("_project").agg(F.min(order).alias("_first"))
+    # a thread stands for itself
+    known = own.filter(~F.col("_late")).withColumn("_first", F.col("_own"))
+    placed = known.unionByName(own.filter("_late").join(first, "_project"))
+    return placed.select(group, F.struct(F.col("_late").cast("int").alias("_late"), "_first", "_own").alias("_rank"))
+
+
 def group_rank(rows: DataFrame, group: str, order: str, threaded: Column, project: Column) -> DataFrame:
     """Add ``_rank``: groups of known threads by their first row, then new groups by project and first row."""
-    marked = rows.withColumn("_late", F.when(threaded, 0).otherwise(1)).withColumn(
-        "_project", F.when(~threaded, project).otherwise(F.col(group)))
-    first = marked.groupBy("_late", "_project").agg(F.min(order).alias("_first"))
-    own = marked.groupBy(group).agg(F.min("_late").alias("_late"), F.min("_project").alias("_project"), F.min(order).alias("_own"))
-    ranks = own.join(first, ["_late", "_project"]).select(group, F.struct("_late", "_first", "_own").alias("_rank"))
-    return rows.join(ranks, group)
+    return rows.join(_ranks(rows, group, order, threaded, project), group)
 
 
 def settle_groups(requests: DataFrame, alerts: DataFrame, as_of, group: str, order: str, rank: str = "_rank") -> DataFrame:
@@ -29,41 +39,69 @@ def settle_groups(requests: DataFrame, alerts: DataFrame, as_of, group: str, ord
     A group is refused if one of its alerts was sent or is leased, if it asks twice for one, or if a group
     before it (by ``rank``) was granted one.  What a refused group reserved before its first refusal
     becomes failed, unless another group is granted it.
+    """
+    return _settle(requests, alerts, as_of, group, order, lambda wanted: requests.select(group, F.col(rank).alias("_rank")).join(
+        wanted, group, "left_semi").groupBy(group).agg(F.min("_rank").alias("_rank")))
+
 
-    Groups that share no alert are decided at once.  Of the others, in every round those are granted that
-    come first for all their alerts, and those are refused that share one with them.  So rounds grow with
-    the longest chain of groups that wait for each other, and each round moves undecided groups only.
+def settle_in_turn(rows: DataFrame, alerts: DataFrame, as_of, group: str, order: str, threaded: Column, project: Column) -> DataFrame:
+    """``settle_groups`` in the order of ``group_rank``, which is asked of groups only that share an alert."""
+    return _settle(rows, alerts, as_of, group, order, lambda wanted: _ranks(rows, group, order, threaded, project, wanted))
+
+
+def _settle(requests: DataFrame, alerts: DataFrame, as_of, group: str, order: str, ranks: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``settle_groups``; ``ranks`` gives ``_rank`` of the groups it is handed.
+
+    All rows move to their alert once, where those that alone ask for a free one are done with, and at last
+    to what their group is told: the refused ones are told, all others are granted.
+
+    Of groups that share an alert, in every round those are granted that come first for all their alerts,
+    and those are refused that share one with them.  So rounds grow with the longest chain of groups that
+    wait for each other, and each round moves undecided groups only.
     """
+    asking = requests.filter(F.col(group).isNotNull())
+    live = live_alerts(alerts, as_of).filter("alert_key IS NOT NULL").withColumn("_live", F.lit(True))
+    meeting = asking.select("alert_key", F.col(group).alias("_who"), F.col(order).alias("_at"), F.lit(False).alias("_live")).unionByName(
+        live, allowMissingColumns=True)
+    # requests for no alert at all meet those of their own group only
+    meeting = meeting.withColumn("_none", F.when(F.col("alert_key").isNull(), F.col("_who")))
+    one = Window.partitionBy("alert_key", "_none")
+    met = meeting.withColumn("_blocked", F.max("_live").over(one)).withColumn("_n", F.count("_who").over(one))
     # of what a group asks for one alert, the first two places tell all
-    place = F.dense_rank().over(Window.partitionBy(group, "alert_key").orderBy(order))
-    firsts = requests.select(group, "alert_key", order, rank).withColumn("_place", place).filter("_place <= 2")
-    per_key = firsts.groupBy(group, "alert_key").agg(
-        F.count(F.lit(1)).alias("_asks"), F.min(rank).alias("_r"), F.min(order).alias("_first_ask"), F.max(order).alias("_next_ask"))
-    blocked = live_alerts(alerts, as_of).distinct().withColumn("_blocked", F.lit(True))
-    asked = per_key.join(blocked, "alert_key", "left").withColumn("_blocked", F.coalesce("_blocked", F.lit(False)))
-    hopeless = asked.groupBy(group).agg(F.bool_or(F.col("_blocked") | (F.col("_asks") > 1)).alias("_out"))
-    asked = cut_lineage(asked.join(hopeless, group))
-    open_asks = asked.filter(~F.col("_out")).select(group, "alert_key", "_r")
-    shared = open_asks.groupBy("alert_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("alert_key")
-    contested = cut_lineage(open_asks.join(shared, "alert_key", "left_semi"))
-    granted = open_asks.select(group).distinct().join(contested.select(group), group, "left_anti")
-    while not contested.isEmpty():
-        first = contested.groupBy("alert_key").agg(F.min("_r").alias("_min"))
-        faced = contested.join(first, "alert_key")
-        winners = cut_lineage(faced.groupBy(group).agg(F.bool_and(F.col("_r") == F.col("_min")).alias("_won")).filter("_won").select(group))
-        taken = contested.join(winners, group, "left_semi").select("alert_key").distinct()
-        losers = contested.join(taken, "alert_key", "left_semi").select(group).distinct()   # winners too
-        granted = granted.unionByName(winners)
-        contested = cut_lineage(contested.join(losers, group, "left_anti"))
-    granted = granted.withColumn("group_granted", F.lit(True))
-
-    holders = asked.join(granted, group).groupBy("alert_key").agg(F.min("_r").alias("_holder"))
-    taken = F.col("_blocked") | F.coalesce(F.col("_holder") < F.col("_r"), F.lit(False))
+    place = F.dense_rank().over(Window.partitionBy("alert_key", "_none", "_who").orderBy("_at"))
+    firsts = met.filter(~F.col("_live") & (F.col("_blocked") | (F.col("_n") > 1))).withColumn("_place", place).filter("_place <= 2")
+    # the group's name comes from an aggregate: what Catalyst infers of a grouping column that is null on one side of a union fails later
+    per_key = firsts.groupBy("alert_key", "_none", "_who").agg(
+        F.min("_who").alias(group), F.max("_blocked").alias("_blocked"), F.count(F.lit(1)).alias("_asks"),
+        F.min("_at").alias("_first_ask"), F.max("_at").alias("_next_ask"))
     again = F.when(F.col("_next_ask") > F.col("_first_ask"), F.col("_next_ask"))
-    end = F.when(F.col("alert_key").isNotNull(), F.when(taken, F.col("_first_ask")).otherwise(again))
-    ends = asked.join(holders, "alert_key", "left").groupBy(group).agg(F.min(end).alias("_end"))
-    told = ends.join(granted, group, "left").withColumn("group_granted", F.coalesce("group_granted", F.lit(False)))
-    return requests.join(told, group).withColumn(
+    end = F.when(F.col("alert_key").isNotNull(), F.when(F.col("_blocked"), F.col("_first_ask")).otherwise(again))
+    asked = cut_lineage(per_key.withColumn("_shared", F.count(F.lit(1)).over(one) > 1).select(
+        group, F.when(F.col("_shared"), F.col("alert_key")).alias("alert_key"), "_shared", (F.col("_blocked") | (F.col("_asks") > 1)).alias("_out"),
+        F.when(F.col("_shared"), F.col("_first_ask")).alias("_first_ask"), end.alias("_end")))
+
+    out = asked.filter("_out").select(group).distinct().withColumn("_hopeless", F.lit(True))
+    rivals = asked.filter("_shared").select(group, "alert_key", "_first_ask", "_end")
+    rivals = cut_lineage(rivals.join(ranks(rivals.select(group).distinct()), group).join(out, group, "left"))
+    undecided = rivals.filter("_hopeless IS NULL").select(group, "alert_key", "_rank")
+    granted = undecided.select(group).limit(0)
+    while not undecided.isEmpty():
+        first = undecided.groupBy("alert_key").agg(F.min("_rank").alias("_min"))
+        faced = undecided.join(first, "alert_key")
+        winners = cut_lineage(faced.groupBy(group).agg(F.bool_and(F.col("_rank") == F.col("_min")).alias("_won")).filter("_won").select(group))
+        taken = undecided.join(winners, group, "left_semi").select("alert_key").distinct()
+        losers = undecided.join(taken, "alert_key", "left_semi").select(group).distinct()   # winners too
+        granted = granted.unionByName(winners)
+        undecided = cut_lineage(undecided.join(losers, group, "left_anti"))
+
+    faced = rivals.join(granted.withColumn("_won", F.lit(True)), group, "left")
+    holders = faced.filter("_won").groupBy("alert_key").agg(F.min("_rank").alias("_holder"))
+    lost = faced.filter("_won IS NULL").join(holders, "alert_key", "left").select(
+        group, F.when(F.col("_holder") < F.col("_rank"), F.col("_first_ask")).otherwise(F.col("_end")).alias("_end"))
+    # an alert that one group asks for is here because that group cannot have it
+    told = asked.filter(~F.col("_shared")).select(group, "_end").unionByName(lost).groupBy(group).agg(F.min("_end").alias("_end"))
+    return asking.join(told.withColumn("_refused", F.lit(True)), group, "left").withColumn(
+        "group_granted", F.col("_refused").isNull()).withColumn(
         "new_status", F.when(F.col("group_granted"), "sending").when(F.col(order) < F.col("_end"), "failed")
     ).select(*requests.columns, "group_granted", "new_status")
 

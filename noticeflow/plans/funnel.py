@@ -196,9 +196,8 @@ def plan_alerts(decided: DataFrame, open_calls: DataFrame, alerts: DataFrame, ru
     grouped = cut_lineage(fresh.unionByName(
         resolved.filter(F.col("thread_id").isNotNull()).withColumn("group_key", F.col("thread_id"))))
     acted = grouped.join(threads.group_action(grouped, "group_key"), "group_key", "left")
-    asking = settlement.group_rank(acted.filter(F.col("group_action").isin("send_new", "send_reply")), "group_key", order,
-                                   F.col("thread_id").isNotNull(), project)
-    reserved = settlement.settle_groups(asking, alerts, run.utc, "group_key", order).drop("_rank")
+    asking = acted.filter(F.col("group_action").isin("send_new", "send_reply"))
+    reserved = settlement.settle_in_turn(asking, alerts, run.utc, "group_key", order, F.col("thread_id").isNotNull(), project)
     quiet = acted.filter(~F.col("group_action").isin("send_new", "send_reply"))
     rows = reserved.unionByName(quiet, allowMissingColumns=True)
     stage = (

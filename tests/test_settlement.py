@@ -145,3 +145,46 @@ def test_requests_are_read_once_more_after_the_walk(spark, scratch):
         ("g2", "a", 3): (False, None), ("g3", "d", 6): (True, "sending"), ("g4", "d", 7): (False, None), ("g4", "e", 8): (False, None),
         ("g5", "e", 9): (False, "failed"), ("g5", None, 10): (False, "failed"), ("g5", "f", 11): (False, None)}
     assert out._jdf.queryExecution().executedPlan().toString().count("Scan parquet") <= 2
+
+
+def shuffled_rows(spark, since=-1):
+    """Rows written to shuffles by stages after ``since``, and the last stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    seen = [(stages.apply(i).stageId(), stages.apply(i).shuffleWriteRecords()) for i in range(stages.size())]
+    return sum(n for stage, n in seen if stage > since), max((stage for stage, _ in seen), default=-1)
+
+
+def test_requests_move_to_their_alert_their_group_and_their_rank_only(spark):
+    n, wide = 20_000, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # every hundredth group asks for the alert of the one before it, every tenth for one that was sent
+    asks = spark.range(n).selectExpr("id seq", "concat('g', id) g", "concat('a', if(id % 100 = 7, id - 1, id)) alert_key", "id _rank")
+    table = spark.range(0, n, 10).selectExpr("concat('a', id) alert_key", "'sent' status").withColumn("updated_at", F.lit(RUN))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_rows(spark)[1]
+        got = settlement.settle_groups(asks, table, RUN, "g", "seq").groupBy("group_granted", "new_status").agg(F.count("*"), F.sum("seq")).collect()
+        moved = shuffled_rows(spark, before)[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", wide)
+    refused = [i for i in range(n) if i % 10 == 0 or i % 100 == 7]
+    assert {tuple(r) for r in got} == {
+        (True, "sending", n - len(refused), n * (n - 1) // 2 - sum(refused)), (False, None, len(refused), sum(refused))}
+    assert moved < 4 * n
+
+
+def test_ranks_looked_up_late_are_those_of_group_rank(spark):
+    rnd = random.Random(7)
+    rows = []
+    for i in range(300):
+        thread = f"T{rnd.randrange(40)}" if rnd.random() < 0.5 else None
+        project = f"p{rnd.randrange(6)}"
+        rows.append((i, thread or f"{project}#{rnd.randrange(9)}", thread, project, rnd.choice((None, *(f"k{n}" for n in range(150))))))
+    table = spark.createDataFrame([("k3", "", "", "sent", None, None, RUN, RUN), (None, "", "", "sent", None, None, RUN, RUN)], ALERTS)
+    asks = spark.createDataFrame(rows, ASK)
+    how = F.col("thread_id").isNotNull(), F.col("project")
+    early = settlement.settle_groups(settlement.group_rank(asks, "group_key", "seq", *how), table, RUN, "group_key", "seq").drop("_rank")
+    late = settlement.settle_in_turn(asks, table, RUN, "group_key", "seq", *how)
+    assert late.columns == [*asks.columns, "group_granted", "new_status"]
+    assert sorted(map(str, late.collect())) == sorted(map(str, early.select(late.columns).collect()))
