@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from noticeflow import vocab
 from noticeflow.operators.lookups import live_alerts
 from noticeflow.operators.state_ops import mark_alerted, mark_failed
-from noticeflow.session import cut_lineage
+from noticeflow.session import cut_lineage, small
 
 
 def _ranks(rows: DataFrame, group: str, order: str, threaded: Column, project: Column, wanted: DataFrame | None = None) -> DataFrame:
@@ -85,18 +85,21 @@ def _settle(requests: DataFrame, alerts: DataFrame, as_of, group: str, order: st
     rivals = cut_lineage(rivals.join(ranks(rivals.select(group).distinct()), group).join(out, group, "left"))
     undecided = rivals.filter("_hopeless IS NULL").select(group, "alert_key", "_rank")
     granted = undecided.select(group).limit(0)
+    at = Window.partitionBy("alert_key")
     while not undecided.isEmpty():
-        first = undecided.groupBy("alert_key").agg(F.min("_rank").alias("_min"))
-        faced = undecided.join(first, "alert_key")
-        winners = cut_lineage(faced.groupBy(group).agg(F.bool_and(F.col("_rank") == F.col("_min")).alias("_won")).filter("_won").select(group))
-        taken = undecided.join(winners, group, "left_semi").select("alert_key").distinct()
-        losers = undecided.join(taken, "alert_key", "left_semi").select(group).distinct()   # winners too
-        granted = granted.unionByName(winners)
-        undecided = cut_lineage(undecided.join(losers, group, "left_anti"))
-
-    faced = rivals.join(granted.withColumn("_won", F.lit(True)), group, "left")
-    holders = faced.filter("_won").groupBy("alert_key").agg(F.min("_rank").alias("_holder"))
-    lost = faced.filter("_won IS NULL").join(holders, "alert_key", "left").select(
+        led = undecided.withColumn("_first", F.min(F.struct("_rank", group)).over(at)).select(
+            group, (F.col("_rank") == F.col("_first._rank")).alias("_leads"), F.col("_first").getField(group).alias("_lead"))
+        won = led.groupBy(group).agg(F.bool_and("_leads").alias("_won"))
+        winners = won.filter("_won").select(F.col(group).alias("_lead"))
+        losers = led.filter(~F.col("_leads")).join(winners, "_lead", "left_semi").select(group).distinct().withColumn("_lost", F.lit(True))
+        decided = cut_lineage(won.join(losers, group, "left"))
+        granted = granted.unionByName(decided.filter("_won").select(group))
+        waiting = small(decided.filter(~F.col("_won") & F.col("_lost").isNull()).select(group))
+        undecided = cut_lineage(undecided.join(waiting, group, "left_semi"))
+
+    held = rivals.join(granted.withColumn("_won", F.lit(True)), group, "left").withColumn(
+        "_holder", F.min(F.when(F.col("_won"), F.col("_rank"))).over(at))
+    lost = held.filter("_won IS NULL").select(
         group, F.when(F.col("_holder") < F.col("_rank"), F.col("_first_ask")).otherwise(F.col("_end")).alias("_end"))
     # an alert that one group asks for is here because that group cannot have it
     told = asked.filter(~F.col("_shared")).select(group, "_end").unionByName(lost).groupBy(group).agg(F.min("_end").alias("_end"))
