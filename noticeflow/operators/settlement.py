@@ -53,7 +53,8 @@ def _settle(requests: DataFrame, alerts: DataFrame, as_of, group: str, order: st
     """``settle_groups``; ``ranks`` gives ``_rank`` of the groups it is handed.
 
     All rows move to their alert once, where those that alone ask for a free one are done with, and at last
-    to what their group is told: the refused ones are told, all others are granted.
+    to what their group is told: the refused ones are told, all others are granted.  Ranks are asked of groups
+    only that share an alert.
 
     Of groups that share an alert, in every round those are granted that come first for all their alerts,
     and those are refused that share one with them.  So rounds grow with the longest chain of groups that
